@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is written now
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -151,5 +154,169 @@ def word_spans(data: np.ndarray, off: np.ndarray, separator: np.ndarray = IS_SPA
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    values = (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[data]
-    return span_hash(prefix_hash(values), start, end)
+    """A hash of each word, block by block: few bytes at a time need eight bytes each."""
+    table, out = BYTE_VALUES[LOWER] if lower else BYTE_VALUES, np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 18), "right")))
+        base = start[at]
+        out[at:to] = span_hash(prefix_hash(table[data[base : end[to - 1]]]), start[at:to] - base, end[at:to] - base)
+        at = to
+    return out
+
+
+# --- keys that occur more than once -----------------------------------------------------------------------------------
+
+#: Text bytes that are hashed together in a task, and text bytes for each bucket of keys (which bounds a task's memory).
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+_BLOCK = "_bucket int, _ids binary, _nulls binary, _hashes binary, _counts binary, _keys binary, _at binary, _known boolean"
+
+
+def n_buckets(docs: DataFrame, text_col: str) -> int:
+    spark = docs.sparkSession
+    volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where in it each run begins (with one more at the end)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return order, np.append(begin, len(k))
+
+
+def ranks(ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each document by id (null last) and text hash; equal ones share a place."""
+    order = np.lexsort((hashes, ids, null))
+    a = np.stack([null[order].astype(np.int64), ids[order], hashes[order]])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (a[:, 1:] != a[:, :-1]).any(0)])) if len(ids) else 0
+    return out
+
+
+def judged(keys, place, known, later: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries repeat (with `later`: start after the first of their key), and one entry of each key: its first.
+
+    place: document rank and position in one number; known: the key is already known to occur twice."""
+    order, begin = runs(keys)
+    size = np.diff(begin)
+    hit = np.zeros(len(keys), bool)
+    if not len(keys):
+        return hit, order
+    one = order[begin[:-1]].copy()
+    many = np.flatnonzero(size > 1)
+    inside = np.repeat(size > 1, size)
+    own, lens = order[inside], size[many]
+    start = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
+    if len(many):
+        least = np.minimum.reduceat(place[own], start)
+        first = np.lexsort((place[own], np.repeat(np.arange(len(many)), lens)))[start]
+        one[many] = own[first]
+        hit[own] = place[own] > np.repeat(least, lens) if later else True
+    if not later:
+        hit |= known
+    return hit, one
+
+
+def _packed(at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """Numbers grouped by doc (ascending) to one binary of int32 for each doc that has any."""
+    counts = np.bincount(doc, minlength=n)
+    some = np.flatnonzero(counts)
+    off = 4 * np.concatenate([[0], np.cumsum(counts[some])])
+    return some, binary_array(at.astype("<i4").view(np.uint8), off, False)
+
+
+def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Which of a document's keys occur elsewhere: (_id, _hash, _at array<binary>), the last holding int32 key numbers.
+
+    keyer(bytes, offsets) returns (keys, bucket numbers 0..2**32-1, first key of each document). Each chunk of documents
+    sends one entry for each of its distinct keys, so a key has as many entries as there are chunks at most. With `later`
+    only entries after the first by (id, key number) count; rows of equal id are ordered by their text's hash, and rows
+    equal in both count as one. Buckets are read whole by one task and hold about BUCKET_BYTES of text each.
+    """
+    n = n_buckets(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+
+    def blocks(it):
+        for b in it:
+            data, off = buffers(b.column("_text"))
+            ids, null = np.asarray(b.column("_id").fill_null(0)), np.asarray(b.column("_id").is_null())
+            hashes = np.asarray(b.column("_hash"))
+            for i, j in slices(off, CHUNK_BYTES):
+                keys, route, first = keyer(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                if not len(keys):
+                    continue
+                doc = np.repeat(np.arange(j - i), np.diff(first))
+                at = np.arange(len(keys)) - first[doc]
+                place = (ranks(ids[i:j], null[i:j], hashes[i:j])[doc] << 32) | at
+                hit, one = judged(keys, place, np.zeros(len(keys), bool), later)
+                bucket = ((route.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+                if hit.any():
+                    yield block(0, ids[i:j], null[i:j], hashes[i:j], doc[hit], None, at[hit])
+                known = hit[one] & (not later)
+                for sure in (False, True):
+                    own = np.sort(one[known == sure])
+                    by = np.argsort(bucket[own].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")
+                    own = own[by]
+                    at_bucket = np.searchsorted(bucket[own], np.arange(n + 1)) if n < len(own) else None
+                    cuts = at_bucket if at_bucket is not None else np.append(np.flatnonzero(np.concatenate([[True], np.diff(bucket[own]) > 0])) if len(own) else [], len(own)).astype(np.int64)
+                    for x, y in zip(cuts[:-1], cuts[1:]):
+                        if y > x:
+                            mine = own[x:y]
+                            yield block(int(bucket[mine[0]]), ids[i:j], null[i:j], hashes[i:j], doc[mine], keys[mine], at[mine], sure)
+
+    def block(bucket, ids, null, hashes, doc, keys, at, known=False):
+        some, counts = np.unique(doc, return_counts=True)
+        delta = np.diff(at, prepend=0)
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        delta[starts] = at[starts]
+        planes = np.ascontiguousarray(delta.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # low bytes first: the rest compresses away
+        cell = lambda x: pa.array([x], pa.binary())
+        return pa.record_batch([pa.array([bucket], pa.int32()), cell(ids[some].tobytes()), cell(null[some].tobytes()), cell(hashes[some].tobytes()), cell(counts.astype("<u4").tobytes()), cell(None if keys is None else keys.tobytes()), cell(planes.tobytes()), pa.array([known])], names=["_bucket", "_ids", "_nulls", "_hashes", "_counts", "_keys", "_at", "_known"])
+
+    def whole(it):
+        parts = []
+        for b in it:
+            for r in range(b.num_rows):
+                get = lambda c, t: np.frombuffer(b.column(c)[r].as_buffer(), t)  # noqa: B023, E731
+                ids, null, hashes, counts = get("_ids", np.int64), get("_nulls", bool), get("_hashes", np.int64), get("_counts", "<u4").astype(np.int64)
+                planes = get("_at", np.uint8).reshape(4, -1)
+                total = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                at = total - np.repeat(np.where(starts > 0, total[starts - 1], 0), counts)
+                if b.column("_keys")[r].is_valid:
+                    parts.append((ids, null, hashes, counts, get("_keys", np.uint64).copy(), at.astype(np.int32), b.column("_known")[r].as_py()))
+                else:
+                    yield reply(ids, null, hashes, np.repeat(np.arange(len(ids)), counts), at)
+        if parts:
+            ids, null, hashes, counts, keys, at = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            known = np.repeat([p[6] for p in parts], [len(p[4]) for p in parts])
+            parts.clear()
+            doc = np.repeat(np.arange(len(ids)), counts)
+            hit, _ = judged(keys, (ranks(ids, null, hashes)[doc] << 32) | at, known, later)
+            hit &= ~known  # its chunk has said so already
+            if hit.any():
+                yield reply(ids, null, hashes, doc[hit], at[hit])
+
+    def reply(ids, null, hashes, doc, at):
+        some, packed = _packed(at, doc, len(ids))
+        return pa.record_batch([pa.array(ids[some], mask=null[some]), pa.array(hashes[some]), packed], names=["_id", "_hash", "_at"])
+
+    sent = rows.mapInArrow(blocks, _BLOCK)
+    found = sent.repartitionById(n, F.when(F.col("_keys").isNull(), F.pmod(F.hash("_hashes"), F.lit(n))).otherwise(F.col("_bucket"))).mapInArrow(whole, "_id long, _hash long, _at binary")
+    return stored(found, "repeated").groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
+
+
+def with_repeated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+    """The documents with their `_at`, null where nothing repeats."""
+    found = found.select(F.col("_id").alias("_found_id"), F.col("_hash").alias("_found_hash"), "_at")
+    rows = docs.drop("_at").withColumn("_text_hash", F.xxhash64(text_col))
+    return rows.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_found_id")) & (F.col("_text_hash") == F.col("_found_hash")), how).drop("_found_id", "_found_hash", "_text_hash")
+
+
+def numbers(at) -> np.ndarray:
+    """The key numbers of one document (an Arrow list scalar of binaries)."""
+    if not at.is_valid:
+        return np.zeros(0, np.int64)
+    return np.concatenate([np.frombuffer(x, "<i4") for x in at.as_py()] or [np.zeros(0, np.int32)]).astype(np.int64)
