@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -31,8 +32,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of what is written now
+    for _ in range(2):  # lets Spark's cleaner remove the shuffle files of what is written now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -169,7 +172,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 
 #: Text bytes that are hashed together in a task, and text bytes for each bucket of keys (which bounds a task's memory).
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-_BLOCK = "_bucket int, _ids binary, _nulls binary, _hashes binary, _counts binary, _keys binary, _at binary, _known boolean"
+_BLOCK = "_home int, _bucket int, _ids binary, _nulls binary, _hashes binary, _counts binary, _keys binary, _at binary, _known boolean"
+_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 
 
 def n_buckets(docs: DataFrame, text_col: str) -> int:
@@ -219,14 +223,6 @@ def judged(keys, place, known, later: bool) -> tuple[np.ndarray, np.ndarray]:
     return hit, one
 
 
-def _packed(at: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
-    """Numbers grouped by doc (ascending) to one binary of int32 for each doc that has any."""
-    counts = np.bincount(doc, minlength=n)
-    some = np.flatnonzero(counts)
-    off = 4 * np.concatenate([[0], np.cumsum(counts[some])])
-    return some, binary_array(at.astype("<i4").view(np.uint8), off, False)
-
-
 def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Which of a document's keys occur elsewhere: (_id, _hash, _at array<binary>), the last holding int32 key numbers.
 
@@ -247,64 +243,91 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
                 keys, route, first = keyer(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 if not len(keys):
                     continue
+                own = ids[i:j], null[i:j], hashes[i:j]
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 at = np.arange(len(keys)) - first[doc]
-                place = (ranks(ids[i:j], null[i:j], hashes[i:j])[doc] << 32) | at
-                hit, one = judged(keys, place, np.zeros(len(keys), bool), later)
-                bucket = ((route.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+                hit, one = judged(keys, (ranks(*own)[doc] << 32) | at, np.zeros(len(keys), bool), later)
+                home = int(hashes[i]) & 0x7FFFFFFF  # where this chunk's answers meet
                 if hit.any():
-                    yield block(0, ids[i:j], null[i:j], hashes[i:j], doc[hit], None, at[hit])
-                known = hit[one] & (not later)
-                for sure in (False, True):
-                    own = np.sort(one[known == sure])
-                    by = np.argsort(bucket[own].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")
-                    own = own[by]
-                    at_bucket = np.searchsorted(bucket[own], np.arange(n + 1)) if n < len(own) else None
-                    cuts = at_bucket if at_bucket is not None else np.append(np.flatnonzero(np.concatenate([[True], np.diff(bucket[own]) > 0])) if len(own) else [], len(own)).astype(np.int64)
+                    yield block(home, home % n, own, doc[hit], at[hit])
+                bucket = ((route.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n < 1 << 16 else np.int64)
+                sure = hit[one] & (not later)
+                for known in (False, True):
+                    mine = np.sort(one[sure == known])
+                    mine = mine[np.argsort(bucket[mine], kind="stable")]
+                    to = bucket[mine]
+                    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(mine) else np.zeros(1, np.int64)
                     for x, y in zip(cuts[:-1], cuts[1:]):
-                        if y > x:
-                            mine = own[x:y]
-                            yield block(int(bucket[mine[0]]), ids[i:j], null[i:j], hashes[i:j], doc[mine], keys[mine], at[mine], sure)
+                        yield block(home, int(to[x]), own, doc[mine[x:y]], at[mine[x:y]], keys[mine[x:y]], known)
 
-    def block(bucket, ids, null, hashes, doc, keys, at, known=False):
-        some, counts = np.unique(doc, return_counts=True)
+    def block(home, bucket, own, doc, at, keys=None, known=False):
+        """Entries in the order of their documents as one row."""
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        some, counts = doc[first], np.diff(np.append(first, len(doc)))
         delta = np.diff(at, prepend=0)
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        delta[starts] = at[starts]
+        delta[first] = at[first]
         planes = np.ascontiguousarray(delta.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # low bytes first: the rest compresses away
         cell = lambda x: pa.array([x], pa.binary())
-        return pa.record_batch([pa.array([bucket], pa.int32()), cell(ids[some].tobytes()), cell(null[some].tobytes()), cell(hashes[some].tobytes()), cell(counts.astype("<u4").tobytes()), cell(None if keys is None else keys.tobytes()), cell(planes.tobytes()), pa.array([known])], names=["_bucket", "_ids", "_nulls", "_hashes", "_counts", "_keys", "_at", "_known"])
+        return pa.record_batch([pa.array([home], pa.int32()), pa.array([bucket], pa.int32()), *(cell(x[some].tobytes()) for x in own), cell(counts.astype("<u4").tobytes()), cell(None if keys is None else keys.tobytes()), cell(planes.tobytes()), pa.array([known])], names=_NAMES)
+
+    def read(b, r):
+        get = lambda c, t: np.frombuffer(b.column(c)[r].as_buffer(), t)
+        counts, planes = get("_counts", "<u4").astype(np.int64), get("_at", np.uint8).reshape(4, -1)
+        total = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        at = total - np.repeat(np.where(starts > 0, total[starts - 1], 0), counts)
+        return (get("_ids", np.int64), get("_nulls", bool), get("_hashes", np.int64)), counts, at
 
     def whole(it):
-        parts = []
+        """All of one bucket."""
+        parts, answers = [], []
         for b in it:
             for r in range(b.num_rows):
-                get = lambda c, t: np.frombuffer(b.column(c)[r].as_buffer(), t)  # noqa: B023, E731
-                ids, null, hashes, counts = get("_ids", np.int64), get("_nulls", bool), get("_hashes", np.int64), get("_counts", "<u4").astype(np.int64)
-                planes = get("_at", np.uint8).reshape(4, -1)
-                total = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
-                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                at = total - np.repeat(np.where(starts > 0, total[starts - 1], 0), counts)
                 if b.column("_keys")[r].is_valid:
-                    parts.append((ids, null, hashes, counts, get("_keys", np.uint64).copy(), at.astype(np.int32), b.column("_known")[r].as_py()))
+                    own, counts, at = read(b, r)
+                    parts.append((own, counts, at.astype(np.int32), np.frombuffer(b.column("_keys")[r].as_buffer(), np.uint64), b.column("_known")[r].as_py(), b.column("_home")[r].as_py()))
                 else:
-                    yield reply(ids, null, hashes, np.repeat(np.arange(len(ids)), counts), at)
+                    yield b.slice(r, 1)
         if parts:
-            ids, null, hashes, counts, keys, at = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            known = np.repeat([p[6] for p in parts], [len(p[4]) for p in parts])
-            parts.clear()
-            doc = np.repeat(np.arange(len(ids)), counts)
+            ids, null, hashes = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
+            doc = np.repeat(np.arange(len(ids)), np.concatenate([p[1] for p in parts]))
+            at, keys = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+            known = np.repeat([p[4] for p in parts], [len(p[2]) for p in parts])
             hit, _ = judged(keys, (ranks(ids, null, hashes)[doc] << 32) | at, known, later)
             hit &= ~known  # its chunk has said so already
-            if hit.any():
-                yield reply(ids, null, hashes, doc[hit], at[hit])
-
-    def reply(ids, null, hashes, doc, at):
-        some, packed = _packed(at, doc, len(ids))
-        return pa.record_batch([pa.array(ids[some], mask=null[some]), pa.array(hashes[some]), packed], names=["_id", "_hash", "_at"])
+            upto = 0
+            for own, counts, at, _, _, home in parts:
+                mine = hit[upto : upto + len(at)]
+                upto += len(at)
+                if mine.any():
+                    answers.append(block(home, 0, own, np.repeat(np.arange(len(counts)), counts)[mine], at[mine].astype(np.int64)))
+                    if len(answers) >= 64:
+                        yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
+                        answers = []
+        if answers:
+            yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
+
+    def meet(it):
+        """All answers for some chunks: one row for each document."""
+        parts = [read(b, r) for b in it for r in range(b.num_rows)]
+        if not parts:
+            return
+        own = [np.concatenate([p[0][k] for p in parts]) for k in range(3)]
+        doc, at = np.repeat(ranks(own[0], own[1], own[2]), np.concatenate([p[1] for p in parts])), np.concatenate([p[2] for p in parts])
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order].astype("<i4")
+        source = np.repeat(np.arange(len(own[0])), np.concatenate([p[1] for p in parts]))[order]
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        some = source[begin]
+        for x in range(0, len(begin), 4096):
+            y = min(x + 4096, len(begin))
+            edge = np.append(begin, len(doc))[x : y + 1]
+            packed = binary_array(at[edge[0] : edge[-1]].view(np.uint8), 4 * (edge - edge[0]), False)
+            yield pa.record_batch([pa.array(own[0][some[x:y]], mask=own[1][some[x:y]]), pa.array(own[2][some[x:y]]), packed], names=["_id", "_hash", "_at"])
 
     sent = rows.mapInArrow(blocks, _BLOCK)
-    found = sent.repartitionById(n, F.when(F.col("_keys").isNull(), F.pmod(F.hash("_hashes"), F.lit(n))).otherwise(F.col("_bucket"))).mapInArrow(whole, "_id long, _hash long, _at binary")
+    found = sent.repartitionById(n, "_bucket").mapInArrow(whole, _BLOCK)
+    found = found.repartitionById(n, F.pmod("_home", F.lit(n))).mapInArrow(meet, "_id long, _hash long, _at binary")
     return stored(found, "repeated").groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
 
 
