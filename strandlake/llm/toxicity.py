@@ -8,7 +8,8 @@ The model is fitted with numpy on the driver on a bounded sample of labelled tex
 with the smallest seeded hashes of their ids, as term numbers and not as texts. Scoring runs in Arrow batches over all
 texts, whole. Only terms of at least `min_df` sample documents have weights, so the model sent to the tasks is bounded.
 
-Defined cases: null, empty and wordless texts get the bias alone; without usable labels all scores are 0; rows whose
+Defined cases: null, empty and wordless texts get the bias alone; without labels of both kinds all scores
+are below 1e-12, so nothing is rejected; rows whose
 label or id is null teach nothing; of several labels for an id the largest holds; rows and columns pass through.
 """
 
@@ -78,7 +79,7 @@ def fit(found: list[np.ndarray], label: np.ndarray, bits: int = 20, factors: int
     slot = np.full(1 << bits, len(used), np.int32)
     slot[used] = np.arange(len(used))
     n, rng = len(used) + 1, np.random.default_rng(seed)
-    model = Model(bits, 0.0, slot, np.zeros(n), np.zeros((n, factors)))
+    model = Model(bits, -30.0, slot, np.zeros(n), np.zeros((n, factors)))
     if not len(label) or label.min() == label.max():
         return model
     rows, first = slot[flat], np.concatenate([[0], np.cumsum(sizes)])
