@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 RAW_UNIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 32 << 20
 
 
 def words(text):
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words as they are written; splitting a trimmed text is much cheaper than matching each word."""
+    bare = F.trim(text, F.lit(SEPARATORS))
+    return F.when(text.isNull() | (bare == ""), F.array().cast("array<string>")).otherwise(F.split(bare, SEPARATOR))
 
 
 def windows(items: DataFrame, width: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(_item, _gram array<string>, _len, _key, _at): every distinct window of an item, its longest word and where that stands."""
-    w = items.select(F.col(id_col).cast("string").alias("_item"), words(F.col(text_col)).alias("_w")).filter(F.size("_w") > 0)
+    w = items.select(F.col(id_col).cast("string").alias("_item"), F.transform(words(F.col(text_col)), lower_ascii).alias("_w")).filter(F.size("_w") > 0)
     last = F.greatest(F.size("_w") - width + 1, F.lit(1))
     grams = w.select("_item", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice("_w", i, width))).alias("_gram"))
     longest = F.array_max(F.transform("_gram", lambda x: F.length(x)))
@@ -42,13 +45,14 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), words(F.col(text_col)).alias("_words"))
     if volume * width <= broadcast_bytes:
         seen = rows.select("_id", "_text_hash", "_words", F.posexplode("_words").alias("_pos", "_word"))
-        found = seen.join(F.broadcast(grams), F.col("_word") == F.col("_key"))
+        # lower() is quicker than lower_ascii() and merges more words, which the comparison with the whole window tells apart
+        found = seen.join(F.broadcast(grams), F.lower("_word") == F.lower("_key"))
         start = F.col("_pos") - F.col("_at") + 1
-        found = found.filter((start >= 0) & (start + F.col("_len") <= F.size("_words"))).filter(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("_len")) == F.col("_gram"))
+        found = found.filter((start >= 0) & (start + F.col("_len") <= F.size("_words"))).filter(F.transform(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("_len")), lower_ascii) == F.col("_gram"))
         found = found.select("_id", "_text_hash", start.alias("start"), (start + F.col("_len")).alias("end"), "_item")
     else:
         lengths = [r[0] for r in grams.select("_len").distinct().collect()]  # at most `width` numbers
-        parts = []
+        parts, rows = [], rows.withColumn("_words", F.transform("_words", lower_ascii))
         for n in lengths:
             width_n = F.lit(n)
             texts = F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, width_n), " "))
