@@ -27,12 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    release: let Spark's cleaner remove the shuffle files of finished queries now, for those with large ones."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for _ in range(2):  # lets Spark's cleaner remove the shuffle files of what is written now
+    for _ in range(2 * release):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
@@ -328,7 +330,7 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
     sent = rows.mapInArrow(blocks, _BLOCK)
     found = sent.repartitionById(n, "_bucket").mapInArrow(whole, _BLOCK)
     found = found.repartitionById(n, F.pmod("_home", F.lit(n))).mapInArrow(meet, "_id long, _hash long, _at binary")
-    return stored(found, "repeated").groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
+    return stored(found, "repeated", release=True).groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
 
 
 def with_repeated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:

@@ -167,15 +167,22 @@ def test_toxicity_edges(spark):
 
 
 def test_pairs_beyond_linear():
-    """Only the pair is toxic: additive weights can't separate it from its parts."""
+    """Either of two terms is toxic unless both are there: only a pair's weight can tell."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    found, label = [], []
-    for i in range(4000):
-        a, b = rng.random() < 0.5, rng.random() < 0.5
-        found.append(np.array(sorted({*( [3] if a else []), *([9] if b else []), *rng.integers(20, 60, 5)})))
-        label.append(float(a and b))
-    m = toxicity.fit(found, np.array(label), bits=8, l1=0.5, epochs=30)
-    p = [1 / (1 + np.exp(-m.logits(m.slot[np.array(x)], np.array([0, len(x)]))[0])) for x in ([3], [9], [3, 9])]
-    assert p[0] < 0.5 and p[1] < 0.5 and p[2] > 0.5
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        found, label = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            found.append(np.array(sorted({*([3] if a else []), *([9] if b else []), *rng.integers(20, 60, 5)})))
+            label.append(float(a != b))
+        return found, np.array(label)
+
+    def right(model):
+        found, label = made(1000, 2)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        return ((model.logits(model.slot[np.concatenate(found)], first) > 0) == label).mean()
+
+    assert right(toxicity.fit(*made(4000, 1), bits=8, l1=0.5, epochs=30)) > 0.95
+    assert right(toxicity.fit(*made(4000, 1), bits=8, l1=0.5, epochs=30, factors=0)) < 0.6
