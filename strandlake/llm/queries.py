@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, substring, topk, toxicity, warc
+from . import decontam, html_text, jaccard, mixing, substring, topk, toxicity, warc
 from .common import crc_mod, table
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_warc, op4_exact_topk, op5_curriculum_mix, op6_decontaminate, op7_ngram_jaccard, op9_toxicity, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_html_text, op3_warc, op4_exact_topk, op5_curriculum_mix, op6_decontaminate, op7_ngram_jaccard, op9_toxicity, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
