@@ -48,7 +48,9 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_
         # lower() is quicker than lower_ascii() and merges more words, which the comparison with the whole window tells apart
         found = seen.join(F.broadcast(grams), F.lower("_word") == F.lower("_key"))
         start = F.col("_pos") - F.col("_at") + 1
-        found = found.filter((start >= 0) & (start + F.col("_len") <= F.size("_words"))).filter(F.transform(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("_len")), lower_ascii) == F.col("_gram"))
+        found = found.filter((start >= 0) & (start + F.col("_len") <= F.size("_words")))
+        # as one string: a lambda here would keep the explode, join and filter from being compiled together
+        found = found.filter(lower_ascii(F.array_join(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("_len")), " ")) == F.array_join("_gram", " "))
         found = found.select("_id", "_text_hash", start.alias("start"), (start + F.col("_len")).alias("end"), "_item")
     else:
         lengths = [r[0] for r in grams.select("_len").distinct().collect()]  # at most `width` numbers
