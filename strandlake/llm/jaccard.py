@@ -9,8 +9,9 @@ without words is empty and linked with nothing. Two documents link when den * |b
    least. Each document takes the l whose cost is least: the summed lengths of the prefix's lists, and what verifying
    costs, since at most one in l of the rows counted can become a candidate. A pair needs min(l, l') shared tokens.
 3. In a first round each list pairs its members with one pivot only. Verified links make components. A second round pairs
-   members of different components in all lists, so that no link that joins two components is missed while a group
-   of thousands of copies does not make all its pairs. Equal sets are one set throughout.
+   members of different components in all lists, so that no link that joins two components is missed. Lists of more
+   than `long_list` members meet block by block as matrices, so a group of thousands of copies does not make its pairs
+   as rows. Equal sets are one set throughout.
 4. Components grow by alternating large-star and small-star steps over DataFrames, each step a written table.
 
 Sets are compared by 64-bit hashes of their shingles, and equal sets found by 128 bits.
@@ -124,6 +125,58 @@ def verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     return pairs.select("_a", "_b").join(side("_a"), "_a").join(side("_b"), "_b").mapInArrow(exact, "_a binary, _b binary")
 
 
+def dense_links(lists: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(_a, _b) that join what links within each list, for long ones: blocks of members meet as matrices, no pair is a row.
+
+    A pair of blocks yields each member with the first of its component there, so two rows for each member at most."""
+
+    def sizes(x, y):
+        """How many hashes each member of x has in common with each of y."""
+        keys, owner = [np.concatenate(v) for v in (x, y)], [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+        known = np.intersect1d(keys[0], keys[1])
+        at = [np.searchsorted(known, k) for k in keys]
+        ok = [known[np.minimum(a, len(known) - 1)] == k if len(known) else np.zeros(len(k), bool) for a, k in zip(at, keys)]
+        both = np.zeros((len(x), len(y)), np.float32)
+        order = [np.flatnonzero(o)[np.argsort(a[o], kind="stable")] for a, o in zip(at, ok)]
+        for low in range(0, len(known), 2048):
+            part = []
+            for v, (a, own, o) in zip((x, y), zip(at, owner, order)):
+                own_at = a[o]
+                i, j = np.searchsorted(own_at, [low, low + 2048])
+                m = np.zeros((len(v), 2048), np.float32)
+                m[own[o[i:j]], own_at[i:j] - low] = 1
+                part.append(m)
+            both += part[0] @ part[1].T
+        return both
+
+    def met(it):
+        for b in it:
+            for r in range(b.num_rows):
+                side = []
+                for c in ("_x", "_y"):
+                    m = b.column(c)[r].values
+                    side.append(([np.frombuffer(s.as_buffer(), np.uint64) for s in m.field("_shared")], np.asarray(m.field("_n")), m.field("_k").to_pylist()))
+                (x, xn, xk), (y, yn, yk) = side
+                both = sizes(x, y)
+                linked = den * both >= num * (xn[:, None] + yn[None, :] - both)
+                label_x, label_y = np.arange(len(x)), np.full(len(y), len(x))
+                while True:  # the smallest label of whatever is connected
+                    new_y = np.minimum(label_y, np.where(linked, label_x[:, None], len(x)).min(0))
+                    new_x = np.minimum(label_x, np.where(linked, new_y[None, :], len(x)).min(1))
+                    if (new_x == label_x).all() and (new_y == label_y).all():
+                        break
+                    label_x, label_y = new_x, new_y
+                found = [(xk[i], xk[j]) for i, j in enumerate(label_x) if i != j] + [(yk[i], xk[j]) for i, j in enumerate(label_y) if j < len(x) and yk[i] != xk[j]]
+                if found:
+                    yield pa.record_batch([pa.array(v, pa.binary()) for v in zip(*found)], names=["_a", "_b"])
+
+    members = lists.select("_token", "_k", "_size").join(reps.select("_k", "_n", "_shared"), "_k")
+    cut = F.pmod(F.xxhash64("_k"), F.ceil(F.col("_size") / F.lit(float(block))))
+    blocks = members.groupBy("_token", cut.alias("_block")).agg(F.collect_list(F.struct("_k", "_n", "_shared")).alias("_x"))
+    other = blocks.select("_token", F.col("_block").alias("_other"), F.col("_x").alias("_y"))
+    return blocks.join(other, "_token").filter("_block <= _other").select("_x", "_y").mapInArrow(met, "_a binary, _b binary")
+
+
 def grouped(links: DataFrame, name: str) -> DataFrame:
     """(_k, _c): for every linked node the smallest of its component, by alternating large-star and small-star steps."""
     edges, before = stored(links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).distinct(), name), None
@@ -141,7 +194,7 @@ def grouped(links: DataFrame, name: str) -> DataFrame:
         edges = stored(edges, name)
 
 
-def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most: int = 4, long_list: int = 64, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (_id, _hash, _n, _component, _component_id), the last the smallest id of its component.
 
     _hash is xxhash64 of the text; _component is null for a document that has no partner in sight."""
@@ -160,13 +213,15 @@ def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most:
 
     # second round: members of different components, in the lists that have any
     rest = lists.join(groups, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
-    mixed = rest.groupBy("_token").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y")).filter("_x <> _y").select("_token")
-    rest = stored(rest.join(mixed, "_token", "left_semi"), "mixed")
-    a, b = (rest.select("_token", *(F.col(c).alias(f"{s}{c}") for c in ("_k", "_n", "_l", "_c"))) for s in ("_a", "_b"))
+    mixed = rest.groupBy("_token").agg(F.min("_c").alias("_x"), F.max("_c").alias("_y"), F.count(F.lit(1)).alias("_size")).filter("_x <> _y").select("_token", "_size")
+    rest = stored(rest.join(mixed, "_token"), "mixed")
+    # pairs that meet in a long list are compared there, so the short lists alone decide on the others
+    short = rest.filter(F.col("_size") <= long_list)
+    a, b = (short.select("_token", *(F.col(c).alias(f"{s}{c}") for c in ("_k", "_n", "_l", "_c"))) for s in ("_a", "_b"))
     pairs = a.join(b, "_token").filter((F.col("_a_c") < F.col("_b_c")) & fit(F.col("_a_n"), F.col("_b_n")))
     pairs = pairs.groupBy(F.col("_a_k").alias("_a"), F.col("_b_k").alias("_b")).agg(F.count(F.lit(1)).alias("_shares"), F.first(F.least("_a_l", "_b_l")).alias("_need")).filter("_shares >= _need")
-    more = verified(pairs, reps, num, den)
-    groups = grouped(links.union(more), "components")
+    more = verified(pairs, reps, num, den).union(dense_links(rest.filter(F.col("_size") > long_list), reps, num, den, block))
+    groups = grouped(groups.select(F.col("_k").alias("_a"), F.col("_c").alias("_b")).union(more), "components")
 
     named = reps.join(groups, "_k", "left").select("_k", "_least", F.coalesce("_c", "_k").alias("_component"))
     least = named.groupBy("_component").agg(F.min("_least").alias("_component_id"))

@@ -64,9 +64,9 @@ def test_random_near_copies(spark, monkeypatch):
     docs += [(None, docs[0][1]), (900, None), (901, ""), (902, " "), (903, "one"), (904, "One"), (905, "one two"), (5, docs[5][1]), (5, docs[5][1])]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_n", F.lit("x")).repartition(3)
-    for width, num, den in ((3, 9, 10), (5, 4, 5), (2, 1, 2)):
+    for width, num, den, long_list, block in ((3, 9, 10, 64, 512), (5, 4, 5, 3, 4), (2, 1, 2, 1, 512)):
         want = brute(docs, width, num, den)
-        got = jaccard.labelled(df, width, num, den).collect()
+        got = jaccard.labelled(df, width, num, den, long_list=long_list, block=block).collect()
         assert sorted((r._id is None, r._id, r._n, r._component_id) if r._id is not None else (True, 0, r._n, r._component_id) for r in got) == sorted((d is None, d or 0, n, c) for d, n, c in want)
     kept = jaccard.drop_near_duplicates(df).collect()
     comps = {(d, c) for d, _, c in brute(docs, 5, 4, 5)}
