@@ -156,7 +156,8 @@ def read(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield batch(held)
 
-    return archives.repartition("_archive").mapInArrow(records, RECORDS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced, small as the list of names is
+    return archives.repartition(tasks, "_archive").mapInArrow(records, RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **more) -> DataFrame:
