@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontam, mixing, toxicity
+from strandlake.llm import decontam, jaccard, mixing, substring, toxicity
 from strandlake.llm.common import stored, table
 
 ORACLE_SQL = None
@@ -16,6 +16,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more over shingles of five words one stays."""
+    return jaccard.drop_near_duplicates(docs, width=5, num=4, den=5)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 20 that have stood earlier in the collection go; texts that lose none stay as they are."""
+    out = substring.remove_repeats(docs).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lies in windows of the benchmark go."""
     return decontam.drop_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -26,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(mixing.mix(docs)).withColumnRenamed("_target", "target").drop("_size", "_source_size", "_taken")
 
 
-STAGES = [("toxicity", toxic), ("benchmark", benchmark), ("mixing", mixture)]
+STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("passages", passages), ("benchmark", benchmark), ("mixing", mixture)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
