@@ -225,7 +225,7 @@ def judged(keys, place, known, later: bool) -> tuple[np.ndarray, np.ndarray]:
     return hit, one
 
 
-def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_col: str = "text", chunk: int | None = None) -> DataFrame:
     """Which of a document's keys occur elsewhere: (_id, _hash, _at array<binary>), the last holding int32 key numbers.
 
     keyer(bytes, offsets) returns (keys, bucket numbers 0..2**32-1, first key of each document). Each chunk of documents
@@ -241,7 +241,7 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
             data, off = buffers(b.column("_text"))
             ids, null = np.asarray(b.column("_id").fill_null(0)), np.asarray(b.column("_id").is_null())
             hashes = np.asarray(b.column("_hash"))
-            for i, j in slices(off, CHUNK_BYTES):
+            for i, j in slices(off, chunk or CHUNK_BYTES):
                 keys, route, first = keyer(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 if not len(keys):
                     continue

@@ -33,7 +33,9 @@ from .common import BASE, BASE_INVERSE, BYTE_VALUES, binary_array, buffers, mix,
 from .substring import ROUTE_BASE, ROUTE_INVERSE
 
 #: Pieces whose suffixes are sorted together; all pieces of one anchor stay together.
-COLLECTION = 1 << 15
+COLLECTION = 1 << 14
+#: Text bytes whose anchors are found at once: every byte needs some 64 for that.
+CHUNK = 3 << 19
 _PIECES = "_key long, _id long, _hash long, _start int, _left int, _bytes binary, _runs binary"
 
 
@@ -120,7 +122,7 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
         for b in it:
             data, off = buffers(b.column("_text"))
             ids, hashes, at = b.column("_id"), b.column("_hash"), b.column("_at")
-            for i, j in slices(off, 2 << 20):
+            for i, j in slices(off, CHUNK):
                 own, lines = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 keys, low, high, place, first, prefix = pieces(own, lines, length, anchor)
                 chosen = [np.unique(numbers(at[r])) + first[r - i] for r in range(i, j)]
@@ -158,6 +160,7 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
         symbols = np.zeros((m, wide - 1 + length), np.uint16)  # column wide - 1 is that of the anchor
         row = np.repeat(np.arange(m), size)
         symbols[row, np.arange(off[-1]) + np.repeat(wide - 1 - left - off[:-1], size)] = raw.astype(np.uint16) + 1
+        del row
         hit = np.zeros((m, wide + 1), bool)
         for column, found in columns_sorted(symbols, length, wide):
             hit[found, column] = True
@@ -198,7 +201,7 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
         if n:
             yield from answers(held)
 
-    found = repeated(rows, keyer, False, "_id", "_text")
+    found = repeated(rows, keyer, False, "_id", "_text", CHUNK)
     chosen = with_repeated(rows, found, "_id", "_text", "inner").select("_id", "_hash", "_text", "_at").mapInArrow(sent, _PIECES)
     dealt = chosen.repartition(n_buckets(docs, text_col), F.coalesce("_key", "_hash")).sortWithinPartitions("_key")
     runs = stored(dealt.mapInArrow(sorted_pieces, "_id long, _hash long, _runs binary"), "runs", release=True)
