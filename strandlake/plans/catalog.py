@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import attachments_normalised, length_bucket, percent, stable_hash
-from ..operators import dedup, rules, stats
+from ..operators import dedup, graphs, rules, stats
 from ..sources import poly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _PICK = "CASE p_partkey % 5 WHEN 0 THEN '*' WHEN 1 THEN '[*]' WHEN 2 THEN '[[*]]' WHEN 3 THEN '[[[*]]]' ELSE '{}' END"
 _OPEN, _CLOSE = _PICK.format("[*:1]"), _PICK.format("[*:2]")
-_UNIT = "repeat('C', p_size % 5 + 1) || CASE split_part(p_type, ' ', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in poly.LINKERS.items()) + " ELSE '' END"
+_CHAIN = "repeat('C', p_size % 5 + 1)"
+_LINKER = "(CASE split_part(p_type, ' ', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in poly.LINKERS.items()) + " ELSE '' END)"
+_UNIT = f"CASE WHEN p_partkey % 7 = 0 AND {_LINKER} IN ('O', 'S') THEN {_LINKER} || {_CHAIN} ELSE {_CHAIN} || {_LINKER} END"
 _POLY = f"""poly AS (SELECT p_partkey, CASE WHEN p_partkey % 97 = 0 THEN w || '.[Na+]' WHEN p_partkey % 89 = 0 THEN o || '[R1]' || u || c
     WHEN p_partkey % 83 = 0 THEN w || ',' || w WHEN p_partkey % 79 = 0 THEN o || u WHEN p_partkey % 73 = 0 THEN u
     WHEN p_partkey % 71 = 0 THEN w || w ELSE w END AS smiles
@@ -91,6 +93,38 @@ def stable_ids(spark, sf_dir):
     return dedup.with_ids(main, "normalized", "ru", "record_id")
 
 
+_MAIN = f"{_STR}, l AS (SELECT normalized, sum(n)::BIGINT AS n FROM c WHERE record_type = 'main_repeat_unit' GROUP BY 1)"
+
+
+def main_graphs(spark, sf_dir):
+    level2 = dedup.level2(strings(spark, sf_dir))
+    return level2, graphs.graphs(level2, "normalized")
+
+
+@query(f"{_MAIN}, k AS (SELECT *, CASE WHEN normalized[2] IN ('O', 'S') THEN '*' || normalized[3:length(normalized) - 1] || normalized[2] || '*' ELSE normalized END AS class FROM l) SELECT count(*) AS source_count, sum(n)::BIGINT AS property_record_count, array_to_string(list(normalized ORDER BY normalized)[1:5], '|') AS examples FROM k GROUP BY class")
+def level3_canonical_dedup(spark, sf_dir):
+    return graphs.level3(*main_graphs(spark, sf_dir)).drop("class_key")
+
+
+@query(f"""{_MAIN} SELECT normalized AS smiles, a AS n_atoms, a - 1 + contains(normalized, 'c1')::INT AS n_bonds, CASE WHEN contains(normalized, 'c1') THEN 6 ELSE 0 END AS n_ring_atoms,
+    (length(regexp_extract(normalized, '^\*[OS]?(C+)', 1)) + CASE WHEN contains(normalized, 'c1') THEN 4 WHEN contains(normalized, 'C(=O)') THEN 1 WHEN contains(normalized, 'C#N') THEN 0 WHEN normalized LIKE '*CC%' OR normalized LIKE '*C%' OR normalized LIKE '*O%' OR normalized LIKE '*S%' THEN 1 END)::INT AS backbone_length
+  FROM (SELECT *, len(regexp_extract_all(normalized, '[A-Za-z*]'))::INT AS a FROM l)""")
+def graph_sizes(spark, sf_dir):
+    found = main_graphs(spark, sf_dir)[1]
+    ring = F.size(F.filter("nodes", lambda x: x["ring_membership"]))
+    return found.select("smiles", F.size("nodes").alias("n_atoms"), F.size("edges").alias("n_bonds"), ring.alias("n_ring_atoms"), "backbone_length")
+
+
+@query(f"{_MAIN} SELECT normalized AS smiles, upper(e) AS element, count(*) AS n FROM (SELECT normalized, unnest(regexp_extract_all(normalized, '[A-Za-z*]')) AS e FROM l) GROUP BY 1, 2")
+def graph_elements(spark, sf_dir):
+    return graphs.nodes(main_graphs(spark, sf_dir)[1]).groupBy("smiles", "element").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_MAIN} SELECT normalized AS smiles, 2 * (len(regexp_extract_all(normalized, '[A-Za-z*]')) - 1 + contains(normalized, 'c1')::INT)::BIGINT AS degree_sum FROM l")
+def graph_degree(spark, sf_dir):
+    return graphs.degrees(main_graphs(spark, sf_dir)[1]).groupBy("smiles").agg(F.sum("degree").alias("degree_sum"))
+
+
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", stable_hash(F.col("text")).alias("content_hash"))

@@ -25,7 +25,9 @@ def poly_column() -> Column:
     for name, text in LINKERS.items():
         linker = F.when(first == name, text).otherwise(linker)
     begin, end = (_pick(k % 5, [s[i] for s in SPELLINGS]) for i in (0, 1))
-    unit = F.concat(F.repeat(F.lit("C"), F.col("p_size") % 5 + 1), linker)
+    chain = F.repeat(F.lit("C"), F.col("p_size") % 5 + 1)
+    # some are written the other way round: another spelling of the same graph
+    unit = F.when((k % 7 == 0) & linker.isin("O", "S"), F.concat(linker, chain)).otherwise(F.concat(chain, linker))
     whole = F.concat(begin, unit, end)
     return (
         F.when(k % 97 == 0, F.concat(whole, F.lit(".[Na+]")))
