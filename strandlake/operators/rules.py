@@ -111,8 +111,11 @@ def overlaps(membership: DataFrame, group: str, record: str, min_jaccard: float,
 
 def motifs(rows: DataFrame, support: int, most: int, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
     """Word n-grams with the number of records that have them, the most common ones."""
-    words = F.split(F.lower(text_col), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+    # the words are bound once: named inside the inner function they would be split again for each n-gram
+    def of(words):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    grams = F.flatten(F.transform(F.array(F.split(F.lower(text_col), " ")), of))
     found = rows.select(F.col(id_col).alias("_r"), F.explode(grams).alias("motif"))
     per = found.groupBy("motif", "_r").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("motif").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("matches")).filter(F.col("records") >= support).orderBy(F.desc("records"), "motif").limit(most)

@@ -107,7 +107,7 @@ def level3_canonical_dedup(spark, sf_dir):
 
 
 @query(f"""{_MAIN} SELECT normalized AS smiles, a AS n_atoms, a - 1 + contains(normalized, 'c1')::INT AS n_bonds, CASE WHEN contains(normalized, 'c1') THEN 6 ELSE 0 END AS n_ring_atoms,
-    (length(regexp_extract(normalized, '^\*[OS]?(C+)', 1)) + CASE WHEN contains(normalized, 'c1') THEN 4 WHEN contains(normalized, 'C(=O)') THEN 1 WHEN contains(normalized, 'C#N') THEN 0 WHEN normalized LIKE '*CC%' OR normalized LIKE '*C%' OR normalized LIKE '*O%' OR normalized LIKE '*S%' THEN 1 END)::INT AS backbone_length
+    (length(regexp_extract(normalized, '^[*][OS]?(C+)', 1)) + CASE WHEN contains(normalized, 'c1') THEN 4 WHEN contains(normalized, 'C(=O)') THEN 1 WHEN contains(normalized, 'C#N') THEN 0 WHEN normalized LIKE '*CC%' OR normalized LIKE '*C%' OR normalized LIKE '*O%' OR normalized LIKE '*S%' THEN 1 END)::INT AS backbone_length
   FROM (SELECT *, len(regexp_extract_all(normalized, '[A-Za-z*]'))::INT AS a FROM l)""")
 def graph_sizes(spark, sf_dir):
     found = main_graphs(spark, sf_dir)[1]
