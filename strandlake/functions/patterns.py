@@ -1,4 +1,6 @@
-"""Atom patterns as column expressions: a pattern is read once by the driver and becomes higher-order functions over a record's nodes.
+"""Atom patterns as SQL expressions: a pattern is read once by the driver and becomes higher-order functions over a record's nodes.
+
+The expressions are texts for F.expr, as an expression of a rule set made call by call takes the driver half a minute.
 
 Nodes are array<struct<atom_id, element, aromatic, charge, hydrogens, degree, ring_count, ring_sizes, near>>, with near an
 array<struct<to, bond, in_ring>>; atom_id is the place in the array. A match is an array of atom ids, one for each pattern atom.
@@ -9,12 +11,10 @@ bonds `-` `=` `#` `:` `~` `@` with `!`, branches, ring closures and atom maps. A
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # fixed values: atomic numbers of the elements that occur
 NUMBERS = {0: "*", 1: "H", 5: "B", 6: "C", 7: "N", 8: "O", 9: "F", 11: "Na", 14: "Si", 15: "P", 16: "S", 17: "Cl", 34: "Se", 35: "Br", 50: "Sn", 53: "I"}
 BONDS = {"-": 1, "=": 2, "#": 3, ":": 4}
@@ -124,96 +124,94 @@ def _parts(body: str) -> list[list[list[tuple[bool, object]]]]:
     return [[inner(x) for x in _split(part, ",")] for part in _split(body, ";")]
 
 
-def _primitive(m, node: Column, nodes: Column) -> Column:
+def _quoted(element: str) -> str:
+    return f"'{element}'"
+
+
+def _primitive(m, node: str) -> str:
     if isinstance(m, Pattern):
-        return starts_at(m, node, nodes)
+        return starts_at(m, node)
     if m[1]:
-        return node["element"] == NUMBERS[int(m[1])]
-    if m[2] == "X":
-        return node["degree"] + node["hydrogens"] == int(m[3] or 1)
-    if m[2] == "D":
-        return node["degree"] == int(m[3] or 1)
-    if m[2] == "H":
-        return node["hydrogens"] == int(m[3] or 1)
+        return f"{node}.element = {_quoted(NUMBERS[int(m[1])])}"
+    if m[2] in ("X", "D", "H"):
+        left = {"X": f"{node}.degree + {node}.hydrogens", "D": f"{node}.degree", "H": f"{node}.hydrogens"}[m[2]]
+        return f"{left} = {int(m[3] or 1)}"
     if m[2] == "R":
-        return node["ring_count"] == int(m[3]) if m[3] else node["ring_count"] > 0
+        return f"{node}.ring_count = {m[3]}" if m[3] else f"{node}.ring_count > 0"
     if m[2] == "r":
-        return F.coalesce(F.array_min(node["ring_sizes"]) == int(m[3]), F.lit(False)) if m[3] else node["ring_count"] > 0
+        return f"coalesce(array_min({node}.ring_sizes) = {m[3]}, false)" if m[3] else f"{node}.ring_count > 0"
     if m[4]:
-        return node["charge"] == (int(m[5] or 1) if m[4] == "+" else -int(m[5] or 1))
+        return f"{node}.charge = {int(m[5] or 1) if m[4] == '+' else -int(m[5] or 1)}"
     if m[6]:
-        return {"*": F.lit(True), "a": node["aromatic"], "A": ~node["aromatic"]}[m[6]]
+        return {"*": "true", "a": f"{node}.aromatic", "A": f"NOT {node}.aromatic"}[m[6]]
     if m[7]:
-        return (node["element"] == m[7]) & ~node["aromatic"]
-    return (node["element"] == m[8].upper()) & node["aromatic"]
+        return f"({node}.element = {_quoted(m[7])} AND NOT {node}.aromatic)"
+    return f"({node}.element = {_quoted(m[8].upper())} AND {node}.aromatic)"
 
 
-def _all(tests) -> Column:
-    out = None
-    for t in tests:
-        out = t if out is None else out & t
-    return F.lit(True) if out is None else out
+def atom_test(body: str, node: str) -> str:
+    """The condition that an atom test puts on the struct named `node`."""
+    one = lambda tests: " AND ".join(_primitive(m, node) if wanted else f"NOT ({_primitive(m, node)})" for wanted, m in tests)
+    return " AND ".join("(" + " OR ".join(f"({one(tests)})" for tests in alternatives) + ")" for alternatives in _parts(body))
 
 
-def atom_test(body: str, node: Column, nodes: Column) -> Column:
-    conditions = []
-    for alternatives in _parts(body):
-        any_of = None
-        for tests in alternatives:
-            one = _all(_primitive(m, node, nodes) if wanted else ~_primitive(m, node, nodes) for wanted, m in tests)
-            any_of = one if any_of is None else any_of | one
-        conditions.append(any_of)
-    return _all(conditions)
-
-
-def bond_test(text: str, edge: Column) -> Column:
+def bond_test(text: str, edge: str) -> str:
     if not text:
-        return edge["bond"].isin(1, 4)
-    tests, wanted = [], True
+        return f"{edge}.bond IN (1, 4)"
+    tests, negated = [], ""
     for c in text:
         if c == "!":
-            wanted = False
+            negated = "NOT "
             continue
-        test = F.lit(True) if c == "~" else edge["in_ring"] if c == "@" else edge["bond"] == BONDS[c]
-        tests.append(test if wanted else ~test)
-        wanted = True
-    return _all(tests)
+        tests.append(negated + ("true" if c == "~" else f"{edge}.in_ring" if c == "@" else f"({edge}.bond = {BONDS[c]})"))
+        negated = ""
+    return " AND ".join(tests)
+
 
+_names = itertools.count()
 
-def _linked(p: Pattern, link: tuple[int, int, str], found: Column, nodes: Column) -> Column:
+
+def name() -> str:
+    """A lambda variable that no enclosing one hides."""
+    return f"v{next(_names)}"
+
+
+def holds(body: str, atom: str) -> str:
+    """Whether the atom of that number passes a test."""
+    n = name()
+    return f"exists(array(nodes[{atom}]), {n} -> {atom_test(body, n)})"
+
+
+def _linked(p: Pattern, link: tuple[int, int, str], found: str) -> str:
     """Matches that a link allows, with the new atom if it brings one; atoms are read in order, so that atom's place is the length so far."""
-    a, b, bond = link
-    near = lambda m: F.get(nodes, F.get(m, F.lit(a)))["near"]
+    (a, b, bond), m, e = link, name(), name()
+    near = f"nodes[{m}[{a}]].near"
     if b < a:
-        return F.filter(found, lambda m: F.exists(near(m), lambda e: (e["to"] == F.get(m, F.lit(b))) & bond_test(bond, e)))
-    fits = lambda e: F.exists(F.array(F.get(nodes, e["to"])), lambda n: atom_test(p.atoms[b], n, nodes))
-    grown = lambda m: F.transform(F.filter(near(m), lambda e: bond_test(bond, e) & ~F.array_contains(m, e["to"]) & fits(e)), lambda e: F.concat(m, F.array(e["to"])))
-    return F.flatten(F.transform(found, grown))
+        return f"filter({found}, {m} -> exists({near}, {e} -> {e}.to = {m}[{b}] AND {bond_test(bond, e)}))"
+    x = name()
+    fits = f"filter({near}, {e} -> {bond_test(bond, e)} AND NOT array_contains({m}, {e}.to) AND {holds(p.atoms[b], f'{e}.to')})"
+    return f"flatten(transform({found}, {m} -> transform({fits}, {x} -> concat({m}, array({x}.to)))))"
 
 
-def _grown(p: Pattern, found: Column, nodes: Column) -> Column:
+def _grown(p: Pattern, found: str) -> str:
     """Matches grown from those of the first atom, a link at a time."""
     for link in p.links:
-        found = _linked(p, link, found, nodes)
+        found = _linked(p, link, found)
     return found
 
 
-def starts_at(p: Pattern, node: Column, nodes: Column) -> Column:
+def starts_at(p: Pattern, node: str) -> str:
     """Whether a match of the pattern begins at the node."""
-    first = atom_test(p.atoms[0], node, nodes)
-    return first & (F.size(_grown(p, F.array(F.array(node["atom_id"])), nodes)) > 0) if p.links else first
+    first = atom_test(p.atoms[0], node)
+    return f"({first} AND size({_grown(p, f'array(array({node}.atom_id))')}) > 0)" if p.links else f"({first})"
 
 
-def matches(p: Pattern, nodes: Column) -> Column:
-    """array<array<int>>: all matches in order, of those with the same atoms the first."""
-    seeds = F.transform(F.filter(nodes, lambda n: atom_test(p.atoms[0], n, nodes)), lambda n: F.array(n["atom_id"]))
-    found = F.array_sort(_grown(p, seeds, nodes))
+def matches(p: Pattern) -> str:
+    """An array<array<int>>: all matches in order, of those with the same atoms the first."""
+    n, x = name(), name()
+    found = f"array_sort({_grown(p, f'transform(filter(nodes, {n} -> {atom_test(p.atoms[0], n)}), {x} -> array({x}.atom_id))')})"
     if len(p.atoms) == 1:
         return found
-
-    def first_of_each(all_found):
-        keys = F.transform(all_found, lambda m: F.array_sort(m))
-        firsts = lambda both: F.filter(all_found, lambda m, i: F.array_position(both, F.array_sort(m)) == i + 1)
-        return F.flatten(F.transform(F.array(keys), firsts))
-
-    return F.flatten(F.transform(F.array(found), first_of_each))
+    rows, both, m, i, k = name(), name(), name(), name(), name()
+    first = f"filter({both}.rows, ({m}, {i}) -> array_position({both}.keys, array_sort({m})) = {i} + 1)"
+    return f"flatten(transform(transform(array({found}), {rows} -> struct({rows} AS rows, transform({rows}, {k} -> array_sort({k})) AS keys)), {both} -> {first}))"

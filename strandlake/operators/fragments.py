@@ -143,72 +143,58 @@ def _at(nodes: Column, i: Column) -> Column:
     return F.get(nodes, i)
 
 
-def _ring_ok(rule: Rule, ring: Column, nodes: Column) -> Column:
-    ok = F.size(ring) == rule.ring_size
+def _raw(rule: Rule) -> str:
+    """All matches of a rule in order, as an expression over nodes and rings."""
+    if rule.ring_size is None:
+        return patterns.matches(patterns.read(rule.pattern))
     test = {
-        "any": None,
-        "carbocycle": F.forall(ring, lambda i: _at(nodes, i)["element"] == "C"),
-        "heterocycle": F.exists(ring, lambda i: _at(nodes, i)["element"] != "C"),
-        "polycyclic": F.exists(ring, lambda i: _at(nodes, i)["ring_count"] > 1),
-        "aromatic": F.forall(ring, lambda i: _at(nodes, i)["aromatic"]),
-        "nonaromatic": F.exists(ring, lambda i: ~_at(nodes, i)["aromatic"]),
+        "any": "true",
+        "carbocycle": "forall(r, i -> nodes[i].element = 'C')",
+        "heterocycle": "exists(r, i -> nodes[i].element <> 'C')",
+        "polycyclic": "exists(r, i -> nodes[i].ring_count > 1)",
+        "aromatic": "forall(r, i -> nodes[i].aromatic)",
+        "nonaromatic": "exists(r, i -> NOT nodes[i].aromatic)",
     }[rule.ring_filter]
-    return ok if test is None else ok & test
+    return f"filter(rings, r -> size(r) = {rule.ring_size} AND {test})"
 
 
-def _roles_of(rule: Rule, roles, m: Column) -> Column:
-    return F.array(*(F.get(m, F.lit(rule.place(r))) for r in roles))
+def _roles_of(rule: Rule, roles, m: str) -> str:
+    return f"array({', '.join(f'{m}[{rule.place(r)}]' for r in roles)})"
 
 
-def _key(rule: Rule, m: Column) -> Column:
+def _key(rule: Rule, m: str) -> str:
     if rule.ring_size is not None:
-        return F.array_sort(m)
+        return f"array_sort({m})"
     parts = [_roles_of(rule, rule.roles, m)] if rule.roles else []
-    parts += [F.array_sort(_roles_of(rule, g, m)) for g in rule.groups]
-    return F.concat(*parts) if parts else _roles_of(rule, [rule.anchor], m)
+    parts += [f"array_sort({_roles_of(rule, g, m)})" for g in rule.groups]
+    return f"concat({', '.join(parts)})" if parts else _roles_of(rule, [rule.anchor], m)
 
 
-def _holds(rule: Rule, role: str, test: str, m: Column, nodes: Column) -> Column:
-    """Whether the atom of a role passes a test."""
-    return F.exists(F.array(_at(nodes, F.get(m, F.lit(rule.place(role))))), lambda n: patterns.atom_test(test, n, nodes))
-
-
-def _passes(rule: Rule, m: Column, nodes: Column) -> Column:
-    ok = F.lit(True)
+def _passes(rule: Rule, m: str) -> str:
+    tests = ["true"]
     for name, value in rule.constraints.items():
         if name == "exact_fluorine_count":
-            atom = _at(nodes, F.get(m, F.lit(rule.place("trifluoromethyl_carbon"))))
-            ok = ok & (F.size(F.filter(atom["near"], lambda e: _at(nodes, e["to"])["element"] == "F")) == int(value))
+            e = patterns.name()
+            tests.append(f"size(filter(nodes[{m}[{rule.place('trifluoromethyl_carbon')}]].near, {e} -> nodes[{e}.to].element = 'F')) = {int(value)}")
         elif name in CONSTRAINTS:
-            ok = ok & _holds(rule, value, CONSTRAINTS[name], m, nodes)
+            tests.append(patterns.holds(CONSTRAINTS[name], f"{m}[{rule.place(value)}]"))
         elif name == "exclude_perfluoroalkyl_chain":
             if value in rule.atom_roles:
-                ok = ok & _holds(rule, value, "!$(*~[#6]~[#9])", m, nodes)
+                tests.append(patterns.holds("!$(*~[#6]~[#9])", f"{m}[{rule.place(value)}]"))
         else:
             raise ValueError(f"{rule.fragment_id}: unknown constraint {name}")
-    return ok
+    return " AND ".join(tests)
 
 
 def matched(found: DataFrame, rules) -> DataFrame:
     """`found` with a column `_<fragment_id>` for each rule: array<struct<atoms, key, passes>>, the raw matches in order."""
-    nodes = F.col("nodes")
-
-    def of(rule):
-        raw = F.filter(F.col("rings"), lambda r: _ring_ok(rule, r, nodes)) if rule.ring_size is not None else patterns.matches(patterns.read(rule.pattern), nodes)
-        return F.transform(raw, lambda m: F.struct(m.alias("atoms"), _key(rule, m).alias("key"), _passes(rule, m, nodes).alias("passes")))
-
+    of = lambda r: F.expr(f"transform({_raw(r)}, m -> named_struct('atoms', m, 'key', {_key(r, 'm')}, 'passes', {_passes(r, 'm')}))")
     return found.filter("nodes is not null").withColumns({f"_{r.fragment_id}": of(r) for r in rules})
 
 
-def _normalised(column: Column) -> Column:
+def _normalised(column: str) -> Column:
     """Matches that pass, of those with one key the first."""
-    kept = F.filter(column, lambda m: m["passes"])
-    of = lambda rows: F.filter(rows, lambda m, i: F.array_position(F.transform(rows, lambda x: x["key"]), m["key"]) == i + 1)
-    return F.flatten(F.transform(F.array(kept), of))
-
-
-def _atom_sets(column: Column, rule: Rule, roles) -> Column:
-    return F.transform(column, lambda m: F.array_sort(_roles_of(rule, roles, m["atoms"])))
+    return F.expr(f"flatten(transform(array(filter(`{column}`, m -> m.passes)), x -> filter(x, (m, i) -> array_position(x.key, m.key) = i + 1)))")
 
 
 def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> DataFrame:
@@ -217,18 +203,17 @@ def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> Data
     Covering matches are the normalised ones, so suppression doesn't chain and priorities play no part."""
     by_id = {r.fragment_id: r for r in rules}
     rows = matched(found, rules)
-    rows = rows.withColumns({f"n_{r.fragment_id}": _normalised(F.col(f"_{r.fragment_id}")) for r in rules})
+    rows = rows.withColumns({f"n_{r.fragment_id}": _normalised(f"_{r.fragment_id}") for r in rules})
     out = []
     for r in rules:
         if r.status != "core":
             continue
-        stays = F.col(f"n_{r.fragment_id}")
+        stays = f"`n_{r.fragment_id}`"
         if r.covered_by:
-            covers = F.concat(*(_atom_sets(F.col(f"n_{f}"), by_id[f], roles) for f, roles in r.covered_by))
-            stays = F.filter(stays, lambda m: ~F.array_contains(covers, F.array_sort(_roles_of(r, r.core, m["atoms"]))))  # noqa: B023
-        atoms = lambda c: F.transform(c, lambda m: m["atoms"])
-        out.append(F.struct(F.lit(r.fragment_id).alias("fragment_id"), atoms(F.col(f"_{r.fragment_id}")).alias("raw"), atoms(F.col(f"n_{r.fragment_id}")).alias("normalized"), atoms(stays).alias("resolved")))
-    return rows.select(*keep, F.inline(F.array(*out)))
+            covers = ", ".join(f"transform(`n_{f}`, c -> array_sort({_roles_of(by_id[f], roles, 'c.atoms')}))" for f, roles in r.covered_by)
+            stays = f"filter({stays}, m -> NOT array_contains(concat({covers}), array_sort({_roles_of(r, r.core, 'm.atoms')})))"
+        out.append(f"named_struct('fragment_id', '{r.fragment_id}', 'raw', `_{r.fragment_id}`.atoms, 'normalized', `n_{r.fragment_id}`.atoms, 'resolved', {stays}.atoms)")
+    return rows.select(*keep, F.expr(f"inline(array({', '.join(out)}))"))
 
 
 def match_rows(rows: DataFrame, level: str = "resolved") -> DataFrame:
@@ -268,7 +253,7 @@ def attributes(found: DataFrame, rules, ladders: dict, level: str = "resolved")
     for f, r in by_id.items():
         steps = None
         for label, role, test in reversed(ladders[f]):
-            holds = _holds(r, role, test, F.col("atoms"), nodes)
+            holds = F.expr(patterns.holds(test, f"atoms[{r.place(role)}]"))
             steps = F.lit(label) if steps is None else F.when(holds, label).otherwise(steps)
         mine = F.col("fragment_id") == f
         environment = F.when(mine, steps) if environment is None else environment.when(mine, steps)

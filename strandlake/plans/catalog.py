@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import attachments_normalised, length_bucket, percent, stable_hash
-from ..operators import dedup, graphs, rules, stats
+from ..operators import dedup, fragments, graphs, periods, rules, stats
+from ..operators.core_rules import CORE, LADDERS
 from ..sources import poly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,3 +314,64 @@ def stratified_sample(spark, sf_dir):
 def rule_validate(spark, sf_dir):
     rows = [("A", "x", "core", []), ("A", None, "core", []), ("B", "y", "odd", ["B"]), ("C", "z", "rejected", ["A"])]
     return rules.rule_errors(spark.createDataFrame(rows, "fragment_id string, pattern string, status string, covered_by array<string>"))
+
+
+# closed forms of the generated repeat units: what each linker holds, and how long its backbone is
+_UNITS = f"""{_STR}, u AS (SELECT *, length(normalized) - 2 - length(linker) AS n FROM (SELECT DISTINCT normalized,
+    CASE WHEN contains(normalized, 'C(=O)O') THEN 'C(=O)O' WHEN contains(normalized, 'C(=O)N') THEN 'C(=O)N' WHEN contains(normalized, 'c1') THEN 'c1ccc(cc1)'
+    WHEN contains(normalized, 'C(C#N)') THEN 'C(C#N)' WHEN contains(normalized, 'O') THEN 'O' WHEN contains(normalized, 'S') THEN 'S' ELSE '' END AS linker
+    FROM c WHERE record_type = 'main_repeat_unit'))"""
+_HELD = """h AS (SELECT * FROM (VALUES ('O', 4, 1, 1, 1), ('C(=O)O', 3, 1, 1, 1), ('C(=O)O', 14, 1, 1, 0), ('C(=O)N', 1, 1, 1, 1), ('C(=O)N', 14, 1, 1, 0), ('C(=O)N', 13, 2, 0, 0), ('C(=O)N', 23, 1, 0, 0),
+    ('c1ccc(cc1)', 19, 1, 1, 1), ('S', 8, 1, 1, 1), ('C(C#N)', 11, 1, 1, 1)) t(linker, f, a, b, c))"""
+
+
+def main_units(spark, sf_dir):
+    rows = dedup.classified(dedup.by_string(poly.property_records(spark, sf_dir)))
+    return rows.filter("record_type = 'main_repeat_unit'").select(F.col("normalized").alias("smiles")).distinct()
+
+
+@query(f"""{_UNITS}, {_HELD} SELECT 'fragment_' || lpad(i::VARCHAR, 3, '0') AS fragment_id, coalesce(sum(a), 0) AS raw, coalesce(sum(b), 0) AS normalized, coalesce(sum(c), 0) AS resolved
+    FROM range(1, 32) r(i) LEFT JOIN (SELECT f, a, b, h.c FROM u JOIN h USING (linker)) ON f = i GROUP BY i""")
+def fragment_levels(spark, sf_dir):
+    found = fragments.levels(fragments.molecules(main_units(spark, sf_dir)), CORE)
+    return fragments.statistics(found, spark, CORE).select("fragment_id", F.col("raw_matches").alias("raw"), F.col("normalized_matches").alias("normalized"), F.col("resolved_matches").alias("resolved"))
+
+
+@query(f"{_UNITS} SELECT normalized AS smiles FROM u WHERE linker = ''")
+def fragment_uncovered(spark, sf_dir):
+    return fragments.uncovered(fragments.levels(fragments.molecules(main_units(spark, sf_dir)), CORE))
+
+
+@query(f"""{_UNITS} SELECT fragment_id, environment, neighbour_signature, count(*) AS n FROM u JOIN (VALUES ('O', 'fragment_004', 'boundary_alkyl_ether', '*,C_aliphatic'), ('S', 'fragment_008', 'boundary_alkyl_thioether', '*,C_aliphatic'),
+    ('C(C#N)', 'fragment_011', 'aliphatic_nitrile', 'C_aliphatic,N'), ('C(=O)O', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,O,O'), ('C(=O)N', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,N,O'),
+    ('C(=O)N', 'fragment_013', 'secondary_nonring', '*,C_aliphatic'), ('C(=O)N', 'fragment_013', 'secondary_nonring', '*,C_aliphatic'), ('C(=O)N', 'fragment_023', 'secondary_amine_linker', '*,C_aliphatic')) t(linker, fragment_id, environment, neighbour_signature) USING (linker) GROUP BY 1, 2, 3""")
+def fragment_environments(spark, sf_dir):
+    found = fragments.attributes(fragments.molecules(main_units(spark, sf_dir)), CORE, LADDERS, "raw")
+    return found.groupBy("fragment_id", "environment", "neighbour_signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_UNITS} SELECT normalized AS smiles, 6 AS ring_size, 'carbocycle' AS ring_atom_class, 'none' AS hetero_atom_signature, 'fully_aromatic' AS ring_aromaticity_class, '1,4' AS exocyclic_substituent_topology, 1 AS attachment_count FROM u WHERE linker = 'c1ccc(cc1)'""")
+def ring_attributes(spark, sf_dir):
+    return fragments.ring_attributes(fragments.molecules(main_units(spark, sf_dir))).select("smiles", "ring_size", "ring_atom_class", "hetero_atom_signature", "ring_aromaticity_class", "exocyclic_substituent_topology", "attachment_count")
+
+
+_BACK = "(n + CASE linker WHEN '' THEN 0 WHEN 'C(=O)O' THEN 2 WHEN 'C(=O)N' THEN 2 WHEN 'c1ccc(cc1)' THEN 4 ELSE 1 END)"
+
+
+@query(f"""{_UNITS} SELECT normalized AS source_smiles, 2 * {_BACK} - 1 AS windows, CASE WHEN linker = '' THEN 1 WHEN linker IN ('C(=O)O', 'C(=O)N') THEN n + 2 ELSE (n + 2) // 2 END AS periods FROM u""")
+def period_expansion(spark, sf_dir):
+    rows = periods.candidates(periods.expanded(main_units(spark, sf_dir)))
+    return rows.groupBy("source_smiles").agg(F.first("sliding_positions_total").alias("windows"), F.count(F.lit(1)).alias("periods"))
+
+
+@query(f"""{_UNITS}, k AS (SELECT DISTINCT linker, n FROM u) SELECT sum(CASE WHEN linker = '' THEN 1 WHEN linker IN ('C(=O)O', 'C(=O)N') THEN n + 2 ELSE (n + 2) // 2 END) AS kept FROM k""")
+def period_dedup(spark, sf_dir):
+    rows = periods.candidates(periods.expanded(main_units(spark, sf_dir)))
+    return periods.deduplicated(rows).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'anchor_not_in_roles'), ('a', 'duplicate_id'), ('b', 'pattern_does_not_compile'), ('c', 'unknown_covering_rule')) t(fragment_id, problem)")
+def fragment_rule_problems(spark, sf_dir):
+    R = fragments.Rule
+    bad = [R("a", "", "", 1, "[C:1]", ("x",), "y"), R("b", "", "", 1, "[C:1", ("x",), "x"), R("c", "", "", 1, "[C:1]", ("x",), "x", covered_by=(("z", ("x",)),)), R("a", "", "", 1, "[C:1]", ("x",), "x")]
+    return spark.createDataFrame(fragments.problems(bad), "fragment_id string, problem string").distinct()
