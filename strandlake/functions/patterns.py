@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 # fixed values: atomic numbers of the elements that occur
 NUMBERS = {0: "*", 1: "H", 5: "B", 6: "C", 7: "N", 8: "O", 9: "F", 11: "Na", 14: "Si", 15: "P", 16: "S", 17: "Cl", 34: "Se", 35: "Br", 50: "Sn", 53: "I"}
 BONDS = {"-": 1, "=": 2, "#": 3, ":": 4}
-PRIMITIVE = re.compile(r"#(\d+)|([XDHRr])(\d*)(?![a-z])|([+-])(\d*)|(\*|[aA](?![a-z]))|(Cl|Br|Si|Se|Na|Sn|[BCNOPSFI])|([bcnops])")
+PRIMITIVE = re.compile(r"#(\d+)|([XDHRr])(?![a-z])(\d*)|([+-])(\d*)|(\*|[aA](?![a-z]))|(Cl|Br|Si|Se|Na|Sn|[BCNOPSFI])|([bcnops])")
 
 
 @dataclass

@@ -238,6 +238,30 @@ def uncovered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("smiles").agg(F.sum(F.size("resolved")).alias("_n")).filter("_n = 0").select("smiles")
 
 
+def audit(units: DataFrame, periods: DataFrame, sources: DataFrame, spark: SparkSession, rules) -> DataFrame:
+    """Each active rule's records and resolved matches among units, and among periods with the sources these come from; zeros where none.
+
+    `units` and `periods` are rows of `levels`, `sources` (smiles, source_smiles) says where a period comes from."""
+    n = F.size("resolved")
+    from_units = units.groupBy("fragment_id").agg(F.count(F.when(n > 0, 1)).alias("unit_records"), F.sum(n).cast("long").alias("unit_matches"))
+    hit = periods.filter(n > 0).join(sources, "smiles")
+    from_periods = hit.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("period_records"), F.sum(n).cast("long").alias("period_matches"), F.count_distinct("source_smiles").alias("period_sources"))
+    ids = spark.createDataFrame([(r.fragment_id, r.name, r.status) for r in rules if r.status == "core"], "fragment_id string, fragment_name string, core_status string")
+    return ids.join(from_units, "fragment_id", "left").join(from_periods, "fragment_id", "left").fillna(0)
+
+
+def distribution(rows: DataFrame, label: str) -> DataFrame:
+    """Records and matches for each fragment and value of an attribute, commonest first."""
+    return rows.groupBy("fragment_id", label).agg(F.count_distinct("smiles").alias("records"), F.count(F.lit(1)).alias("matches")).orderBy("fragment_id", F.desc("matches"), label)
+
+
+def together(rows: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Records that any fragment of a group hits, each counted once, and the matches of all."""
+    pairs = [F.struct(F.lit(name).alias("name"), F.col("fragment_id").isin(*ids).alias("of")) for name, ids in groups.items()]
+    hit = rows.filter(F.size("resolved") > 0).select("smiles", F.size("resolved").alias("n"), F.explode(F.array(*pairs)).alias("g")).filter("g.of")
+    return hit.groupBy(F.col("g.name").alias("name")).agg(F.count_distinct("smiles").alias("records"), F.sum("n").cast("long").alias("matches"))
+
+
 def _label(n: Column) -> Column:
     return F.when(n["element"] != "C", n["element"]).when(n["aromatic"], "C_aromatic").otherwise("C_aliphatic")
 

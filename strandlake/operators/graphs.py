@@ -5,6 +5,8 @@ Distinct strings are parsed in Arrow batches; everything after that is joins and
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,3 +70,34 @@ def level3(level2: DataFrame, found: DataFrame, examples: int = 5) -> DataFrame:
     ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("class_key").orderBy("normalized")))
     first = F.array_sort(F.collect_list(F.when(F.col("_place") <= examples, F.col("normalized"))))
     return ranked.groupBy("class_key").agg(F.count(F.lit(1)).alias("source_count"), F.sum("property_record_count").alias("property_record_count"), F.array_join(first, "|").alias("examples"))
+
+
+def environments(strings: DataFrame, column: str = "smiles", least: int = 2, most: int = 8) -> DataFrame:
+    """(smiles, motif, atom_count, occurrences): the surroundings of each atom, counted within each distinct string."""
+
+    def found(it):
+        for b in it:
+            out = []
+            for text in b.column("smiles").to_pylist():
+                g = chem.parse(text)
+                for (motif, size), n in Counter(chem.environments(g, least, most) if g else ()).items():
+                    out.append((text, motif, size, n))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64())], names=["smiles", "motif", "atom_count", "occurrences"])
+
+    return strings.select(F.col(column).alias("smiles")).distinct().mapInArrow(found, "smiles string, motif string, atom_count int, occurrences long")
+
+
+def mined(found: DataFrame, total: int, support: int = 15, most: int = 300) -> DataFrame:
+    """The `most` motifs that most records have, at least `support`: records, their share, occurrences, status, the first record."""
+    rows = found.groupBy("motif", "atom_count").agg(F.count(F.lit(1)).alias("records"), F.sum("occurrences").alias("matches"), F.min("smiles").alias("example"))
+    core = F.col("records") >= F.greatest(F.lit(50), F.ceil(F.lit(total * 0.004)))
+    rows = rows.filter(F.col("records") >= support).withColumn("share", F.col("records") / F.lit(float(total)))
+    return rows.withColumn("status", F.when(core, "accepted_core_candidate").otherwise("accepted_auxiliary_candidate")).orderBy(F.desc("records"), "motif").limit(most)
+
+
+def clusters(rows: DataFrame, most: int = 50) -> DataFrame:
+    """Motifs by their number of atoms: how many, and the first `most` in order of records."""
+    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("atom_count").orderBy(F.desc("records"), "motif")))
+    first = F.array_sort(F.collect_list(F.when(F.col("_place") <= most, F.struct("_place", "motif"))))
+    return ranked.groupBy("atom_count").agg(F.count(F.lit(1)).alias("motif_count"), F.transform(first, lambda x: x["motif"]).alias("motifs"))

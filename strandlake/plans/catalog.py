@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import attachments_normalised, length_bucket, percent, stable_hash
 from ..operators import dedup, fragments, graphs, periods, rules, stats
 from ..operators.core_rules import CORE, LADDERS
+from ..operators.seed_rules import SEED
 from ..sources import poly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,3 +376,28 @@ def fragment_rule_problems(spark, sf_dir):
     R = fragments.Rule
     bad = [R("a", "", "", 1, "[C:1]", ("x",), "y"), R("b", "", "", 1, "[C:1", ("x",), "x"), R("c", "", "", 1, "[C:1]", ("x",), "x", covered_by=(("z", ("x",)),)), R("a", "", "", 1, "[C:1]", ("x",), "x")]
     return spark.createDataFrame(fragments.problems(bad), "fragment_id string, problem string").distinct()
+
+
+@query()
+def fragment_audit(spark, sf_dir):
+    units = main_units(spark, sf_dir)
+    kept = periods.deduplicated(periods.candidates(periods.expanded(units)))
+    return fragments.audit(fragments.levels(fragments.molecules(units), CORE), fragments.levels(fragments.molecules(kept), CORE), kept, spark, CORE)
+
+
+@query(f"{_UNITS} SELECT 'six_rings' AS name, count(*) AS records, count(*) AS matches FROM u WHERE linker = 'c1ccc(cc1)' UNION ALL SELECT 'acids', count(*), count(*) FROM u WHERE linker IN ('C(=O)O', 'C(=O)N')")
+def fragment_unions(spark, sf_dir):
+    found = fragments.levels(fragments.molecules(main_units(spark, sf_dir)), CORE)
+    return fragments.together(found, {"six_rings": ("fragment_019", "fragment_020"), "five_rings": ("fragment_017", "fragment_018"), "acids": ("fragment_001", "fragment_003")})
+
+
+@query()
+def seed_rule_coverage(spark, sf_dir):
+    found = fragments.levels(fragments.molecules(main_units(spark, sf_dir)), SEED)
+    return fragments.statistics(found, spark, SEED).select("fragment_id", "category", F.col("raw_records").alias("records"), F.col("raw_matches").alias("matches"))
+
+
+@query()
+def graph_motifs(spark, sf_dir):
+    units = main_units(spark, sf_dir)
+    return graphs.mined(graphs.environments(units), units.count(), support=1)

@@ -25,7 +25,7 @@ def rows(names, data):
     return sorted(tuple(cell(r[i]) for i in order) for r in data)
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
 def test_query(spark, oracle, name):
     got = catalog.QUERIES[name](spark, SF)
     want = oracle.execute(catalog.ORACLE_SQL[name])

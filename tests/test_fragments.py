@@ -3,8 +3,9 @@
 import pytest
 
 from strandlake.functions import chem, patterns
-from strandlake.operators import fragments
+from strandlake.operators import fragments, graphs, periods
 from strandlake.operators.core_rules import CORE, LADDERS
+from strandlake.operators.seed_rules import SEED
 
 CASES = {
     # string: fragment number -> (raw, normalized, resolved)
@@ -105,3 +106,53 @@ def test_periods():
     for text in ("CC", "*C", "*(C)C*", "**"):
         with pytest.raises(ValueError):
             chem.periods(chem.parse(text))
+
+
+def test_seed_rules(spark):
+    want = {  # string: rules and raw matches that it must have
+        "CC(=O)Nc1ccccc1": {"FG_AMIDE": 1, "COMP_AROMATIC_AMIDE_N": 1, "RING_AROMATIC_6": 1, "SUB_METHYL": 1, "FG_SECONDARY_AMINE": 1},
+        "C1OC1C": {"FG_EPOXY": 1, "FG_ETHER": 1},
+        "C[N+](=O)[O-]": {"FG_NITRO": 1},
+        "c1ccc2ccccc2c1": {"RING_FUSED_AROMATIC_ATOM": 6, "RING_AROMATIC_6": 2},
+        "C1CCCCC1": {"RING_CYCLOALIPHATIC_6": 1, "LINK_METHYLENE": 6, "LINK_ALKYL": 6},
+        "CC(C)(C)C": {"SUB_TERT_BUTYL": 1, "SUB_METHYL": 4},
+        "*c1ccc(*)cc1": {"LINK_PHENYLENE_PARA": 1},
+    }
+    assert len(SEED) == 70 and fragments.problems(SEED) == []
+    found = fragments.levels(fragments.molecules(spark.createDataFrame([(s,) for s in want], "smiles string")), SEED)
+    got = {(r["smiles"], r["fragment_id"]): len(r["raw"]) for r in found.collect()}
+    assert {(s, f): got[s, f] for s, x in want.items() for f in x} == {(s, f): n for s, x in want.items() for f, n in x.items()}
+
+
+def test_motifs(spark):
+    found = graphs.environments(spark.createDataFrame([("*CCO*",), ("CO",), ("[R]",), (None,)], "smiles string"))
+    got = {(r["smiles"], r["motif"]): (r["atom_count"], r["occurrences"]) for r in found.collect()}
+    assert got["CO", "CO"] == (2, 2) and got["*CCO*", "*CCO"] == (4, 1) and got["*CCO*", "CCO"] == (3, 1)
+    rows = graphs.mined(found, 2, support=1)
+    assert graphs.clusters(rows).filter("atom_count = 2").first()["motif_count"] == sum(r["atom_count"] == 2 for r in rows.collect())
+
+
+def test_period_tables(spark):
+    rows = spark.createDataFrame([("*CC(=O)O*",), ("*OCC(=O)*",), ("*CC*",), ("*C",), (None,), (None,)], "smiles string")
+    found = periods.expanded(rows)
+    assert sorted((r["smiles"], r["source_smiles"], r["sources"]) for r in periods.deduplicated(periods.candidates(found)).collect()) == [
+        ("*C(=O)CO*", "*CC(=O)O*", 2), ("*CC(=O)O*", "*CC(=O)O*", 2), ("*CC*", "*CC*", 1), ("*COC(=O)*", "*CC(=O)O*", 2)]
+    assert periods.failures(found).count() == 2
+    assert {r["periods"]: r["sources"] for r in periods.per_source(found).collect()} == {0: 2, 1: 1, 3: 2}
+    levels = fragments.levels(fragments.molecules(rows.dropna()), CORE)
+    kept = periods.deduplicated(periods.candidates(found))
+    ester = fragments.audit(levels, fragments.levels(fragments.molecules(kept), CORE), kept, spark, CORE).filter("fragment_id = 'fragment_003'").first()
+    assert (ester["unit_records"], ester["period_records"], ester["period_sources"]) == (1, 2, 1)
+
+
+def test_rules_from_json(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text("""[{"fragment_id": "a", "fragment_name": "amide", "category": "x", "match_rule": {"type": "smarts", "pattern": "[NX3:1][CX3:2](=[O:3])"}, "atom_roles": {"1": "n", "2": "c", "3": "o"},
+      "anchor_rule": {"anchor_role": "c"}, "overlap_policy": {"priority": 3}}, {"fragment_id": "b", "fragment_name": "carbonyl", "category": "x", "match_rule": {"pattern": "[C:1]=[O:2]"}, "atom_roles": {"1": "c", "2": "o"}, "anchor_rule": {"anchor_role": "c"},
+      "overlap_policy": {"instance_suppression": {"mode": "drop_if_anchor_covered_by_higher_priority", "anchor_role": "c", "covering_fragments": [{"fragment_id": "a", "anchor_role": "c"}]}}}]""")
+    rules = fragments.load_rules(str(path))
+    got = {r["fragment_id"]: (len(r["normalized"]), len(r["resolved"])) for r in fragments.levels(fragments.molecules(spark.createDataFrame([("CC(=O)NCC(=O)C",)], "smiles string")), rules).collect()}
+    assert got == {"a": (1, 1), "b": (2, 1)}
+    path.write_text(path.read_text().replace("drop_if_anchor_covered", "odd"))
+    with pytest.raises(ValueError):
+        fragments.load_rules(str(path))
