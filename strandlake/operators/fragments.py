@@ -212,8 +212,10 @@ def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> Data
         if r.covered_by:
             covers = ", ".join(f"transform(`n_{f}`, c -> array_sort({_roles_of(by_id[f], roles, 'c.atoms')}))" for f, roles in r.covered_by)
             stays = f"filter({stays}, m -> NOT array_contains(concat({covers}), array_sort({_roles_of(r, r.core, 'm.atoms')})))"
-        out.append(f"named_struct('fragment_id', '{r.fragment_id}', 'raw', `_{r.fragment_id}`.atoms, 'normalized', `n_{r.fragment_id}`.atoms, 'resolved', {stays}.atoms)")
-    return rows.select(*keep, F.expr(f"inline(array({', '.join(out)}))"))
+        out.append(f"named_struct('id', '{r.fragment_id}', 'raw', `_{r.fragment_id}`, 'normal', `n_{r.fragment_id}`, 'rest', {stays})")
+    # within a lambda the fields stay out of the generated code, which would outgrow what compiles
+    row = "named_struct('fragment_id', x.id, 'raw', x.raw.atoms, 'normalized', x.normal.atoms, 'resolved', x.rest.atoms)"
+    return rows.select(*keep, F.expr(f"inline(transform(array({', '.join(out)}), x -> {row}))"))
 
 
 def match_rows(rows: DataFrame, level: str = "resolved") -> DataFrame:
@@ -273,15 +275,14 @@ def attributes(found: DataFrame, rules, ladders: dict, level: str = "resolved")
     by_id = {r.fragment_id: r for r in rules if r.fragment_id in ladders}
     rows = match_rows(levels(found, rules, ("smiles", "nodes")), level).filter(F.col("fragment_id").isin(*by_id))
     nodes = F.col("nodes")
-    anchor = place = environment = None
+    environment, place = [], []
     for f, r in by_id.items():
-        steps = None
-        for label, role, test in reversed(ladders[f]):
-            holds = F.expr(patterns.holds(test, f"atoms[{r.place(role)}]"))
-            steps = F.lit(label) if steps is None else F.when(holds, label).otherwise(steps)
-        mine = F.col("fragment_id") == f
-        environment = F.when(mine, steps) if environment is None else environment.when(mine, steps)
-        place = F.when(mine, r.place(r.anchor)) if place is None else place.when(mine, r.place(r.anchor))
+        steps = " ".join(f"WHEN {patterns.holds(test, f'a[{r.place(role)}]')} THEN '{label}'" for label, role, test in ladders[f])
+        environment.append(f"WHEN fragment_id = '{f}' THEN CASE {steps} END")
+        place.append(f"WHEN fragment_id = '{f}' THEN {r.place(r.anchor)}")
+    # within a lambda the ladders stay out of the generated code, which would outgrow what compiles
+    environment = F.expr(f"transform(array(atoms), a -> CASE {' '.join(environment)} END)[0]")
+    place = F.expr(f"CASE {' '.join(place)} END")
     anchor = _at(nodes, F.get("atoms", place))
     rows = rows.select("smiles", "fragment_id", "match_index", environment.alias("environment"), anchor.alias("_a"), F.transform(anchor["near"], lambda e: _at(nodes, e["to"])).alias("_near"))
     number = lambda test: F.size(F.filter("_near", test))
