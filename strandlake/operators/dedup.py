@@ -25,7 +25,8 @@ def by_string(records: DataFrame) -> DataFrame:
 
 def classified(strings: DataFrame) -> DataFrame:
     """Adds the normalised string and the record's class."""
-    return strings.withColumn("normalized", attachments_normalised(F.col("smiles"))).withColumn("record_type", record_type(F.col("normalized")))
+    # within a lambda the normalised text is bound once; a pushed-down filter would repeat it beyond what compiles
+    return strings.withColumn("normalized", attachments_normalised(F.col("smiles"))).withColumn("record_type", F.transform(F.array("normalized"), record_type)[0])
 
 
 def type_counts(strings: DataFrame) -> DataFrame:

@@ -18,31 +18,30 @@ def _pick(key: Column, values) -> Column:
     return out
 
 
-def poly_column() -> Column:
-    k = F.col("p_partkey")
-    first = F.split_part("p_type", F.lit(" "), F.lit(1))
-    linker = F.lit("")
+def poly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, smiles): one string for each part.
+
+    Made in steps, as one expression names its parts so often that the generated code would not compile."""
+    k, first, linker = F.col("p_partkey"), F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("")
     for name, text in LINKERS.items():
         linker = F.when(first == name, text).otherwise(linker)
     begin, end = (_pick(k % 5, [s[i] for s in SPELLINGS]) for i in (0, 1))
     chain = F.repeat(F.lit("C"), F.col("p_size") % 5 + 1)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", linker.alias("_linker"), chain.alias("_chain"), begin.alias("_begin"), end.alias("_end"))
     # some are written the other way round: another spelling of the same graph
-    unit = F.when((k % 7 == 0) & linker.isin("O", "S"), F.concat(linker, chain)).otherwise(F.concat(chain, linker))
-    whole = F.concat(begin, unit, end)
-    return (
-        F.when(k % 97 == 0, F.concat(whole, F.lit(".[Na+]")))
-        .when(k % 89 == 0, F.concat(begin, F.lit("[R1]"), unit, end))
-        .when(k % 83 == 0, F.concat(whole, F.lit(","), whole))
-        .when(k % 79 == 0, F.concat(begin, unit))
-        .when(k % 73 == 0, unit)
-        .when(k % 71 == 0, F.concat(whole, whole))
-        .otherwise(whole)
+    turned = (k % 7 == 0) & F.col("_linker").isin("O", "S")
+    rows = rows.withColumn("_unit", F.when(turned, F.concat("_linker", "_chain")).otherwise(F.concat("_chain", "_linker")))
+    rows = rows.withColumn("_whole", F.concat("_begin", "_unit", "_end"))
+    text = (
+        F.when(k % 97 == 0, F.concat("_whole", F.lit(".[Na+]")))
+        .when(k % 89 == 0, F.concat("_begin", F.lit("[R1]"), "_unit", "_end"))
+        .when(k % 83 == 0, F.concat("_whole", F.lit(","), "_whole"))
+        .when(k % 79 == 0, F.concat("_begin", "_unit"))
+        .when(k % 73 == 0, F.col("_unit"))
+        .when(k % 71 == 0, F.concat("_whole", "_whole"))
+        .otherwise(F.col("_whole"))
     )
-
-
-def poly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(p_partkey, smiles): one string for each part."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", poly_column().alias("smiles"))
+    return rows.select("p_partkey", text.alias("smiles"))
 
 
 def property_records(spark: SparkSession, sf_dir: str) -> DataFrame:
