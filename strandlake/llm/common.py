@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,6 +175,8 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 
 #: Text bytes that are hashed together in a task, and text bytes for each bucket of keys (which bounds a task's memory).
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Answers after which those for the chunks read so far are handed on.
+MEET_ENTRIES = 1 << 19
 _BLOCK = "_home int, _bucket int, _ids binary, _nulls binary, _hashes binary, _counts binary, _keys binary, _at binary, _known boolean"
 _NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 
@@ -225,18 +228,25 @@ def judged(keys, place, known, later: bool) -> tuple[np.ndarray, np.ndarray]:
     return hit, one
 
 
+def chunk_number(part: int, number: int) -> int:
+    """31 bits for a task's chunk: the same in a retry, and apart for chunks of equal texts and ids."""
+    return int(mix(np.array([part << 32 | number], np.uint64))[0]) & 0x7FFFFFFF
+
+
 def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_col: str = "text", chunk: int | None = None) -> DataFrame:
     """Which of a document's keys occur elsewhere: (_id, _hash, _at array<binary>), the last holding int32 key numbers.
 
     keyer(bytes, offsets) returns (keys, bucket numbers 0..2**32-1, first key of each document). Each chunk of documents
     sends one entry for each of its distinct keys, so a key has as many entries as there are chunks at most. With `later`
     only entries after the first by (id, key number) count; rows of equal id are ordered by their text's hash, and rows
-    equal in both count as one. Buckets are read whole by one task and hold about BUCKET_BYTES of text each.
+    equal in both count as one. Buckets are read whole by one task and hold about BUCKET_BYTES of text each. The answers
+    for a chunk meet in a partition drawn for the chunk, whatever its texts are, and are read chunk by chunk.
     """
     n = n_buckets(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 
     def blocks(it):
+        part, number = TaskContext.get().partitionId(), 0
         for b in it:
             data, off = buffers(b.column("_text"))
             ids, null = np.asarray(b.column("_id").fill_null(0)), np.asarray(b.column("_id").is_null())
@@ -249,7 +259,8 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 at = np.arange(len(keys)) - first[doc]
                 hit, one = judged(keys, (ranks(*own)[doc] << 32) | at, np.zeros(len(keys), bool), later)
-                home = int(hashes[i]) & 0x7FFFFFFF  # where this chunk's answers meet
+                home = chunk_number(part, number)  # where this chunk's answers meet
+                number += 1
                 if hit.any():
                     yield block(home, home % n, own, doc[hit], at[hit])
                 bucket = ((route.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n < 1 << 16 else np.int64)
@@ -310,10 +321,19 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
             yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
 
     def meet(it):
-        """All answers for some chunks: one row for each document."""
-        parts = [read(b, r) for b in it for r in range(b.num_rows)]
-        if not parts:
-            return
+        """All answers for some chunks, which come one after the other: one row for each document."""
+        parts, held, last = [], 0, None
+        for b in it:
+            for r, home in enumerate(b.column("_home").to_pylist()):
+                if home != last and held >= MEET_ENTRIES:
+                    yield from met(parts)
+                    parts, held = [], 0
+                parts.append(read(b, r))
+                held, last = held + len(parts[-1][2]), home
+        if parts:
+            yield from met(parts)
+
+    def met(parts):
         own = [np.concatenate([p[0][k] for p in parts]) for k in range(3)]
         doc, at = np.repeat(ranks(own[0], own[1], own[2]), np.concatenate([p[1] for p in parts])), np.concatenate([p[2] for p in parts])
         order = np.argsort(doc, kind="stable")
@@ -329,7 +349,7 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
 
     sent = rows.mapInArrow(blocks, _BLOCK)
     found = sent.repartitionById(n, "_bucket").mapInArrow(whole, _BLOCK)
-    found = found.repartitionById(n, F.pmod("_home", F.lit(n))).mapInArrow(meet, "_id long, _hash long, _at binary")
+    found = found.repartitionById(n, F.pmod("_home", F.lit(n))).sortWithinPartitions("_home").mapInArrow(meet, "_id long, _hash long, _at binary")
     return stored(found, "repeated", release=True).groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
 
 

@@ -56,3 +56,18 @@ def test_small_chunks_and_edges(spark, monkeypatch):
     assert substring.remove_repeats(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert {r.doc_id: r._n_removed for r in substring.remove_repeats(nulls, width=3).collect()} == {None: 3, 1: 0}
+
+
+def test_answers_of_copies_part(spark, monkeypatch):
+    """Chunks that begin with one text, and hold nothing else, do not send all their answers to one task."""
+    caught = []
+    monkeypatch.setattr(common, "stored", lambda df, *_, **__: caught.append(df) or df)
+    monkeypatch.setattr(common, "MEET_ENTRIES", 50, raising=False)
+    copy = "one text that a third of all rows hold"
+    for ids in (range(200), [None] * 200):
+        df = spark.createDataFrame([(i, copy) for i in ids], "doc_id long, text string").repartition(5)
+        found = common.repeated(df, lambda data, off: substring.window_keys(data, off, 3), False, chunk=2 * len(copy))
+        sizes = [r["count"] for r in caught.pop().groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes), sizes
+        for r in found.collect():
+            assert {int(x) for x in common.np.concatenate([common.np.frombuffer(b, "<i4") for b in r._at])} == set(range(len(copy.split()) - 2))
