@@ -36,7 +36,7 @@ def graphs(strings: DataFrame, column: str = "smiles") -> DataFrame:
                 atoms, bonds = g
                 ring = chem.ring_bonds(len(atoms), bonds)
                 inside = {i for pair in ring for i in pair}
-                keys.append(chem.class_key(g) or f"text:{text}")
+                keys.append(chem.class_key(g))
                 lengths.append(chem.backbone(g))
                 nodes.append([{"atom_id": i, "element": a[0], "aromatic": a[1], "formal_charge": a[2], "ring_membership": i in inside, "is_attachment": a[0] == "*"} for i, a in enumerate(atoms)])
                 edges.append([{"begin_atom_id": x, "end_atom_id": y, "bond_type": BOND_NAMES[o], "ring_membership": (x, y) in ring} for x, y, o in bonds])

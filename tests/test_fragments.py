@@ -1,5 +1,7 @@
 """Patterns, rules and periods on hand-checked strings."""
 
+import random
+
 import pytest
 
 from strandlake.functions import chem, patterns
@@ -156,3 +158,18 @@ def test_rules_from_json(spark, tmp_path):
     path.write_text(path.read_text().replace("drop_if_anchor_covered", "odd"))
     with pytest.raises(ValueError):
         fragments.load_rules(str(path))
+
+
+@pytest.mark.parametrize("text, distinct", [("*C(C(F)(F)F)(C(F)(F)F)C(C(F)(F)F)(C(F)(F)F)C(C(F)(F)F)O*", 4), ("*CC(" + "C(F)(F)" * 11 + "F)*", 1), ("*CC(c1ccccc1)(c1ccccc1)C(c1ccccc1)(c1ccccc1)C*", 3), ("*CC(C(=O)OC(C)(C)C)C(C(C)(C)C)C(C(C)(C)C)(C(C)(C)C)C*", 5)])
+def test_symmetric_units(text, distinct):
+    """Units of many equal groups have a spelling, a class and every period, whatever the order of their atoms."""
+    g = chem.parse(text)
+    row, _, found = chem.periods(g)
+    assert row and len(found) == distinct
+    assert all(chem.written(chem.parse(x)) == x for x in [row, *found])
+    rng = random.Random(3)
+    for _ in range(3):
+        to = rng.sample(range(len(g[0])), len(g[0]))
+        atoms = [a for _, a in sorted(zip(to, g[0]))]
+        again = atoms, sorted((min(to[a], to[b]), max(to[a], to[b]), o) for a, b, o in g[1])
+        assert chem.class_key(again) == chem.class_key(g) and chem.written(again) == chem.written(g)
