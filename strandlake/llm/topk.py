@@ -6,7 +6,8 @@ bound score + |rest of query| * |rest of candidate| is compared with the query's
 that no query of a small group can still use are compacted away. The k best of each query carry over from block to block
 of candidates within a task, and tasks send k rows a query to the merge.
 
-All queries meet all rows: that is the search itself, in blocks. Nothing is broadcast; a task holds one block of each.
+All queries meet all rows: that is the search itself, in blocks. Nothing is broadcast. Blocks of queries are dealt to groups
+and blocks of candidates to slices, whose numbers grow with the table; a task holds one group and one slice at a time.
 
 Defined cases: null vectors and such with null or non-finite components take no part; vectors of other lengths are not
 compared with each other; an empty vector takes no part; a query's own row is every row of its id; repeated rows count
@@ -20,6 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import mix
+
+#: Numbers in a group of queries and in a slice of candidates, about (which bounds a task's memory).
+QUERY_VALUES, CANDIDATE_VALUES = 1 << 20, 1 << 22
 _PACKED = "_block int, _slice int, _dim int, _ids binary, _values binary"
 
 
@@ -40,7 +45,7 @@ def packed(rows: DataFrame, block: int, slices: int) -> DataFrame:
             ids, values = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for at in range(0, len(ids), block):
                 i, v = ids[at : at + block], values[at : at + block]
-                number = int((int(i[0]) * 0x9E3779B1 + dim) & 0x7FFFFFFF)
+                number = int(mix(i[:1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim))[0]) & 0x7FFFFFFF
                 yield pa.record_batch([pa.array([number], pa.int32()), pa.array([number % slices], pa.int32()), pa.array([dim], pa.int32()), pa.array([i.tobytes()]), pa.array([np.ascontiguousarray(v.T).tobytes()])], names=["_block", "_slice", "_dim", "_ids", "_values"])
 
         for b in it:
@@ -93,25 +98,38 @@ def best(q_ids, q, c_ids, c, least, k: int, step: int, group: int):
             yield at + r, ids[fit[order]], scores[r, fit[order]]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, block: int = 4096, query_block: int = 1024, slices: int | None = None, step: int = 8, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products of every query with all other rows."""
-    spark = vectors.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dealt(vectors: DataFrame, is_query: Column, scale: float, block: int, query_block: int, slices: int | None, groups: int | None, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """Packed queries and candidates with the keys (_group, _slice) by which each block of queries meets each block of candidates once."""
+    n = F.greatest(F.coalesce(F.size(vector_col), F.lit(0)), F.lit(0)).cast("long")
+    all_values, query_values = vectors.agg(F.sum(n), F.sum(F.when(is_query, n))).first()
+    slices = slices or max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(all_values or 0) // CANDIDATE_VALUES))
+    groups = groups or max(1, -(-(query_values or 0) // QUERY_VALUES))
     candidates = packed(quantised(vectors, scale, id_col, vector_col), block, slices)
-    queries = packed(quantised(vectors.filter(is_query), scale, id_col, vector_col).repartition(max(1, slices // 8), "_id"), query_block, 1)
-    # every block of queries goes to every slice of the candidates of its length
-    queries = queries.select(F.col("_block").alias("_q_block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"), F.col("_dim").alias("_q_dim"), F.col("_ids").alias("_q_ids"), F.col("_values").alias("_q_values"))
+    queries = packed(quantised(vectors.filter(is_query), scale, id_col, vector_col).repartition(max(1, slices // 8), "_id"), query_block, groups)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.select(F.col("_slice").alias("_group"), numbers(slices).alias("_slice"), F.col("_dim").alias("_q_dim"), F.col("_ids").alias("_q_ids"), F.col("_values").alias("_q_values"))
+    return queries, candidates.select(numbers(groups).alias("_group"), "_slice", "_dim", "_ids", "_values")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, block: int = 4096, query_block: int = 1024, slices: int | None = None, step: int = 8, group: int = 16, id_col: str = "vec_id", vector_col: str = "embedding", groups: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products of every query with all other rows."""
+    queries, candidates = dealt(vectors, is_query, scale, block, query_block, slices, groups, id_col, vector_col)
 
     def met(key, left, right):
         dims = set(left.column("_q_dim").to_pylist()) & set(right.column("_dim").to_pylist())
         out = []
-        cells = lambda t, dim, kind, ids, values: [(np.frombuffer(r[ids], np.int64), np.frombuffer(r[values]).reshape(dim, -1)) for r in t.to_pylist() if r[kind] == dim]
+
+        def cells(t, dim, kind, ids, values):
+            buffer = lambda c, r: t.column(c)[r].as_buffer()
+            for r in np.flatnonzero(t.column(kind).to_numpy() == dim).tolist():
+                yield np.frombuffer(buffer(ids, r), np.int64), np.frombuffer(buffer(values, r)).reshape(dim, -1)
+
         for dim in dims:
-            blocks = cells(right, dim, "_dim", "_ids", "_values")
+            blocks = lambda: cells(right, dim, "_dim", "_ids", "_values")  # noqa: B023, E731
             for q_ids, q in cells(left, dim, "_q_dim", "_q_ids", "_q_values"):
                 top = [(np.zeros(0, np.int64), np.zeros(0)) for _ in q_ids]
                 least = np.full(len(q_ids), -np.inf)
-                for c_ids, c in blocks:
+                for c_ids, c in blocks():
                     for r, ids, scores in best(q_ids, q, c_ids, c, least, k, step, group):
                         i, s = np.concatenate([top[r][0], ids]), np.concatenate([top[r][1], scores])
                         order = np.lexsort((i, -s))[:k]
@@ -123,6 +141,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
         n = [len(x[1]) for x in out]
         return pa.table({"query_id": pa.array(np.repeat(np.array([x[0] for x in out], np.int64), n)), "vec_id": pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in out)])), "score": pa.array(np.concatenate([np.zeros(0), *(x[2] for x in out)]).astype(np.int64))})
 
-    found = queries.groupBy("_s").cogroup(candidates.groupBy("_slice")).applyInArrow(met, "query_id long, vec_id long, score long")
+    found = queries.groupBy("_group", "_slice").cogroup(candidates.groupBy("_group", "_slice")).applyInArrow(met, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -65,3 +65,24 @@ def test_topk_edges(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").union(spark.createDataFrame([(7, [None, 1.0])], "vec_id long, embedding array<float>")).withColumn("_id", F.lit(1))
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0, k=3, block=2, query_block=2, step=1).collect())) == brute(rows, 3)
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_topk_slices_of_ordered_ids(spark):
+    """Blocks that begin at multiples of their size do not share a slice."""
+    rows = spark.range(0, 65536, 1, 1).select(F.col("id").alias("_id"), F.array(F.lit(1.0)).alias("_v"))
+    slices = [r._slice for r in topk.packed(rows, 1024, 16).select("_slice").collect()]
+    assert len(slices) >= 60 and len(set(slices)) > 8
+
+
+def test_topk_groups_grow(spark, monkeypatch):
+    """A task's part of queries and candidates stays bounded as the table grows, and the parts together are the whole search."""
+    monkeypatch.setattr(topk, "QUERY_VALUES", 400)
+    monkeypatch.setattr(topk, "CANDIDATE_VALUES", 800)
+    df = spark.range(0, 4000, 1, 4).select(F.col("id").alias("vec_id"), F.array(*(((F.col("id") * p) % 101 - 50) / 64.0 for p in (3, 7, 11, 13))).alias("embedding"))
+    is_query = F.col("vec_id") % 20 == 0
+    queries, candidates = topk.dealt(df, is_query, 64.0, 40, 20, None, None, "vec_id", "embedding")
+    for rows, ids, most, total in ((queries, "_q_ids", 200, 200 * 20), (candidates, "_ids", 600, 4000 * 2)):
+        sizes = [r.n // 8 for r in rows.groupBy("_group", "_slice").agg(F.sum(F.octet_length(ids)).alias("n")).collect()]
+        assert max(sizes) <= most and sum(sizes) == total
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert sorted(map(tuple, topk.search(df, is_query, k=3, block=40, query_block=20).collect())) == brute(rows, 3)
