@@ -7,8 +7,11 @@ largest sum is the core; the smallest density on the path from the body to it is
 the core (or of the article element around it), without parts whose characters are mostly links and whose density is below
 the threshold, and with neighbours of the core of the same tag and class that reach the threshold.
 
-Elements that are no article by their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-comments of readers, scripts, styles, hidden ones) are left out before. Character references are decoded, white space in a
+Elements that are no article by their tag or role, or are hidden (menus, headers, footers, forms, scripts, styles), are left
+out before. Those whose class, id or role says so (sidebars, adverts, comments of readers) are left out where they are
+mostly links, hold at most half of the page's text outside links, or stand beside an article element (else a main one) of a
+tenth of their text; where less than a tenth of that text would stay, only
+those that are mostly links. Words after has, with, without and no in a name say nothing. Character references are decoded, white space in a
 block becomes one space, blocks are joined by line feeds.
 
 Pages are parsed one by one in Arrow batches, with a stack and no recursion; a page is the unit that a task must hold.
@@ -35,7 +38,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - frozenset("tbody tfoot thead tr caption body html head".split())
 #: An element that begins ends an open one of these, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement adverting advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus respond replies share sharing social related recommended recommendation recommendations teaser newsletter subscribe subscription signup login search pagination pager toolbar widget copyright disclaimer complementary contentinfo skip".split())
+NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement adverting advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr popup modal overlay comment comments disqus respond replies sharing social related recommended recommendation recommendations teaser newsletter subscribe subscription signup login search pagination pager toolbar copyright disclaimer complementary contentinfo skip".split())
+#: What follows these in a name does not tell what the element is.
+NOT_OWN = frozenset("has have with without no not".split())
 NEVER_LEFT_OUT = frozenset("html body main article h1 h2 h3 p".split())
 
 TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?/a-zA-Z][^>]*(?:>|\Z))""", re.S)
@@ -48,16 +53,26 @@ CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 def no_article(tag: str, attributes: str, in_article: bool, forms: bool) -> bool:
     if tag in NO_ARTICLE and not (tag == "header" and in_article) and not (forms and tag in ("form", "fieldset", "label")):
         return True
-    if not attributes or tag in NEVER_LEFT_OUT:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in NO_ARTICLE_WORDS for m in NAMES.findall(attributes) for w in WORD.findall(m[0] or m[1] or m[2]))
+    return bool(attributes and tag not in NEVER_LEFT_OUT and HIDDEN.search(attributes))
 
 
-def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tuple[int, str | None]]]:
-    """Nodes (parent, tag, class) and, in page order, pieces (node, text), None for a break between blocks."""
-    nodes, pieces, stack = [(-1, "#", "")], [], [0]
+def named_so(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role has one of the words of what is no article."""
+    if not attributes or tag in NEVER_LEFT_OUT:
+        return False
+    for m in NAMES.findall(attributes):
+        for name in (m[0] or m[1] or m[2]).split():
+            for w in WORD.findall(name):
+                if w.lower() in NOT_OWN:
+                    break
+                if w.lower() in NO_ARTICLE_WORDS:
+                    return True
+    return False
+
+
+def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tuple[int, str | None]], list[int]]:
+    """Nodes (parent, tag, class), in page order pieces (node, text), None for a break between blocks, and nodes named like no article."""
+    nodes, pieces, named, stack = [(-1, "#", "")], [], [], [0]
     at, out, articles = 0, 0, 0  # out: depth of the stack where what is left out began
     while True:
         m = TAG.search(page, at)
@@ -65,7 +80,7 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
         if text and not out:
             pieces.append((stack[-1], html.unescape(text) if "&" in text else text))
         if not m:
-            return nodes, pieces
+            return nodes, pieces, named
         at, tag = m.end(), m[2]
         if not tag:
             continue
@@ -106,6 +121,8 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
                 stack.append(len(nodes) - 1)
                 if not out and no_article(tag, m[3], articles > 0, forms):
                     out = len(stack) - 1
+                if not out and named_so(tag, m[3]):
+                    named.append(stack[-1])
                 articles += tag == "article"
         if not out:
             if tag in BLOCK:
@@ -114,10 +131,46 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
                 pieces.append((stack[-1], " "))
 
 
+def without_named(nodes, pieces, named):
+    """The pieces outside of the elements that their names and their share of the page's text leave out."""
+    chars, links, anchor = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        anchor[i] = nodes[i][1] == "a" or anchor[nodes[i][0]]
+    for i, text in pieces:
+        if text:
+            n = len(text.strip())
+            chars[i] += n
+            links[i] += n * anchor[i]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i][0]] += chars[i]
+        links[nodes[i][0]] += links[i]
+    plain = [c - x for c, x in zip(chars, links)]
+    # text of the article elements within each node, for nodes that are in none
+    kind = next((t for t in ("article", "main") if any(x[1] == t for x in nodes)), None)
+    within, articles = [False] * len(nodes), [0] * len(nodes)
+    for i in range(1, len(nodes)):
+        up = nodes[i][0]
+        within[i] = within[up] or nodes[i][1] == kind
+        articles[i] = plain[i] if within[i] and not within[up] else 0
+    for i in range(len(nodes) - 1, 0, -1):
+        articles[nodes[i][0]] += articles[i]
+    heavy = {i for i in named if 2 * links[i] > chars[i]}
+    beside = {i for i in named if not within[i] and plain[i] <= 10 * (articles[0] - articles[i])}
+    for left_out in ({i for i in named if 2 * plain[i] <= plain[0]} | beside | heavy, heavy):
+        gone = [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            gone[i] = i in left_out or gone[nodes[i][0]]
+        if 10 * sum(plain[i] for i in left_out if not gone[nodes[i][0]]) <= 9 * plain[0]:
+            break
+    return [x for x in pieces if not gone[x[0]]]
+
+
 def extract(page: str | None, forms: bool = False) -> str:
     if not page:
         return ""
-    nodes, pieces = parse(page, forms)
+    nodes, pieces, named = parse(page, forms)
+    if named:
+        pieces = without_named(nodes, pieces, named)
     n = len(nodes)
     chars, tags, link_chars, link_tags = [0] * n, [1] * n, [0] * n, [0] * n
     for i, text in pieces:

@@ -54,3 +54,20 @@ def test_edges(spark):
     out = html_text.extract_text(df).collect()
     assert [(r.page_id, r._text, r._n_chars, r.n_chars) for r in out] == [(1, "", 0, "x"), (1, T, len(T), "x"), (None, "", 0, "x")]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post-body with-comments", "no-banner", "elementor-widget elementor-widget-text-editor", "widget-content", "share-enabled", "page-with-ads", "hasSidebar", "ad-layout", "sidebar-open main-col"])
+def test_names_do_not_lose_the_article(name):
+    """A word of the class or id does not drop what holds the page's text; small parts and menus of that name go."""
+    words = "This is a sentence of the article, with some words in it. " * 8
+    page = f'<body><div class="menu"><a href="/">Home page</a> <a href="/x">Other page</a></div><{{0}} class="{name}"><p>{words}</p><p>{words}</p><div class="ad">Buy this now</div><p>{words}</p></{{0}}><div class="sidebar">Some few words</div></body>'
+    want = "\n".join([words.strip()] * 3)
+    assert html_text.extract(page.format("div")) == want
+    assert html_text.extract(page.format("section").replace("class", "id")) == want
+
+
+def test_names_on_every_part():
+    """Where names would leave out nearly all text, density alone decides."""
+    parts = [f"Part {i} of the article has a sentence of its own, and then another one." for i in range(6)]
+    page = "<body><div class='x'>" + "".join(f"<div class='promo-{i}'><p>{p}</p></div>" for i, p in enumerate(parts)) + "</div></body>"
+    assert html_text.extract(page) == "\n".join(parts)
