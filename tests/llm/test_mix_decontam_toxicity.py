@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,23 +167,35 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == len(EDGE) - 0
 
 
-def test_pairs_beyond_linear():
-    """Either of two terms is toxic unless both are there: only a pair's weight can tell."""
-    import numpy as np
+def pairs(n, seed, share, company):
+    """Either of two terms is toxic unless both are there; about `share` of the texts have one. Others are toxic by chance."""
+    rng = np.random.default_rng(seed)
+    found, label = [], []
+    for _ in range(n):
+        a = rng.random() < share
+        b = rng.random() < 0.5 if a or share == 0.5 else rng.random() < share / 2 / (1 - share)
+        found.append(np.array(sorted({*([3] if a else []), *([9] if b else []), *rng.integers(20, 20 + 8 * company, company)})))
+        label.append(float(a != b) if a or b or share == 0.5 else float(rng.random() < 0.5))
+    return found, np.array(label)
 
-    def made(n, seed):
-        rng = np.random.default_rng(seed)
-        found, label = [], []
-        for _ in range(n):
-            a, b = rng.random() < 0.5, rng.random() < 0.5
-            found.append(np.array(sorted({*([3] if a else []), *([9] if b else []), *rng.integers(20, 60, 5)})))
-            label.append(float(a != b))
-        return found, np.array(label)
+
+@pytest.mark.parametrize(("share", "company"), [(0.5, 5), (0.5, 60), (0.05, 5)])
+def test_pairs_beyond_linear(share, company):
+    """With the defaults of production, terms that say nothing alone interact, frequent or rare, in short texts and long ones."""
 
     def right(model):
-        found, label = made(1000, 2)
+        found, label = pairs(2000, 2, share, company)
         first = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        return ((model.logits(model.slot[np.concatenate(found)], first) > 0) == label).mean()
+        has = np.array([3 in x or 9 in x for x in found])
+        logits = model.logits(model.slot[np.concatenate(found)], first)
+        return ((logits > 0) == label)[has].mean(), np.logaddexp(0, np.where(label > 0, -1, 1) * logits).mean()
+
+    got, plain = (right(toxicity.fit(*pairs(4000, 1, share, company), bits=10, **more)) for more in ({}, {"factors": 0}))
+    assert got[0] > 0.95 and plain[0] < 0.75 and got[1] < plain[1]
+
 
-    assert right(toxicity.fit(*made(4000, 1), bits=8, l1=0.5, epochs=30)) > 0.95
-    assert right(toxicity.fit(*made(4000, 1), bits=8, l1=0.5, epochs=30, factors=0)) < 0.6
+def test_toxicity_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i, f"good{i % 7} words here") for i in range(40)] + [(1, "bad other text")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0)], "doc_id long, toxic int")
+    a, b = (toxicity.train(d, labels, min_df=1) for d in (docs, docs.repartition(3)))
+    assert (a.weight == b.weight).all() and a.bias == b.bias
