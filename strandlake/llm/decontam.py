@@ -1,12 +1,17 @@
-"""Benchmark decontamination with a broadcast set of normalised test n-grams; DataFrame functions only.
+"""Benchmark decontamination with a broadcast hash set of normalised test n-grams; DataFrame functions only.
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A window is `width` consecutive words of an
-item, or a whole shorter item. Each window is filed under its longest word; the words of the documents are looked up in
-that broadcast table in the same pass that scans them, and every hit is verified word by word against the whole window.
-Above `broadcast_bytes` of windows the table is joined by shuffling, keyed by the window's text.
+item, or a whole shorter item. The benchmark becomes a table of 64-bit window hashes. Each document yields the hash of
+every window of its own of those lengths that occur in the benchmark; hashes are looked up in the table and every hit is
+verified word by word against the whole window.
+
+The path is one for any benchmark. Only how Spark joins the hashes depends on their measured number: up to
+`broadcast_windows` rows of hash, length and number of the window (some 64 bytes each) are broadcast, more are joined by
+shuffling hashes. The windows' texts and items are joined to the hits alone.
 
 Defined cases: null or wordless texts and items match nothing; an empty benchmark leaves every document clean; repeated
-rows are judged apart and alike; items with the same windows are all reported; extra columns pass through.
+rows are judged apart and alike; items with the same windows are all reported; other columns, whatever their names, pass
+through, except those named like a result (`_n_words`, `_n_hit`, `_items`, `_spans`, `_contaminated`), which are replaced.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 RAW_UNIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_BYTES = 32 << 20
+#: Windows whose hashes are broadcast (64 MB); more are shuffled.
+BROADCAST_WINDOWS = 1 << 20
+RESULTS = ("_n_words", "_n_hit", "_items", "_spans", "_contaminated")
 
 
 def words(text):
@@ -28,42 +35,43 @@ def words(text):
     return F.when(text.isNull() | (bare == ""), F.array().cast("array<string>")).otherwise(F.split(bare, SEPARATOR))
 
 
+def lowered(text):
+    """The words in lower case (A-Z); the text is lowered as a whole, which keeps all word boundaries."""
+    return words(lower_ascii(text))
+
+
 def windows(items: DataFrame, width: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(_item, _gram array<string>, _len, _key, _at): every distinct window of an item, its longest word and where that stands."""
-    w = items.select(F.col(id_col).cast("string").alias("_item"), F.transform(words(F.col(text_col)), lower_ascii).alias("_w")).filter(F.size("_w") > 0)
+    """(_gram array<string>, _items array<string>, _len, _key): every distinct window, the items it is in, and its hash."""
+    w = items.select(F.col(id_col).cast("string").alias("_item"), lowered(F.col(text_col)).alias("_w")).filter(F.size("_w") > 0)
     last = F.greatest(F.size("_w") - width + 1, F.lit(1))
     grams = w.select("_item", F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice("_w", i, width))).alias("_gram"))
-    longest = F.array_max(F.transform("_gram", lambda x: F.length(x)))
-    at = F.array_position(F.transform("_gram", lambda x: F.length(x)), longest).cast("int")
-    return grams.distinct().withColumn("_at", at).withColumn("_key", F.element_at("_gram", F.col("_at"))).withColumn("_len", F.size("_gram"))
+    grams = grams.groupBy("_gram").agg(F.collect_set("_item").alias("_in"))
+    return grams.withColumn("_len", F.size("_gram")).withColumn("_key", F.xxhash64("_gram"))
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document that any window occurs in: _id, _text_hash, _n_hit, _items (sorted), _spans (start and end word)."""
-    grams = windows(items, width, item_id, item_text)
-    volume = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), words(F.col(text_col)).alias("_words"))
-    if volume * width <= broadcast_bytes:
-        seen = rows.select("_id", "_text_hash", "_words", F.posexplode("_words").alias("_pos", "_word"))
-        # lower() is quicker than lower_ascii() and merges more words, which the comparison with the whole window tells apart
-        found = seen.join(F.broadcast(grams), F.lower("_word") == F.lower("_key"))
-        start = F.col("_pos") - F.col("_at") + 1
-        found = found.filter((start >= 0) & (start + F.col("_len") <= F.size("_words")))
-        # as one string: a lambda here would keep the explode, join and filter from being compiled together
-        found = found.filter(lower_ascii(F.array_join(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("_len")), " ")) == F.array_join("_gram", " "))
-        found = found.select("_id", "_text_hash", start.alias("start"), (start + F.col("_len")).alias("end"), "_item")
-    else:
-        lengths = [r[0] for r in grams.select("_len").distinct().collect()]  # at most `width` numbers
-        parts, rows = [], rows.withColumn("_words", F.transform("_words", lower_ascii))
-        for n in lengths:
-            width_n = F.lit(n)
-            texts = F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, width_n), " "))
-            parts.append(rows.filter(F.size("_words") >= n).select("_id", "_text_hash", F.posexplode(texts).alias("_pos", "_text"), F.lit(n).alias("_n")))
-        seen = parts[0] if parts else rows.select("_id", "_text_hash", F.lit(0).alias("_pos"), F.lit("").alias("_text"), F.lit(0).alias("_n")).limit(0)
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        found = seen.join(grams.withColumn("_joined", F.array_join("_gram", " ")), (F.col("_text") == F.col("_joined")) & (F.col("_n") == F.col("_len")))
-        found = found.select("_id", "_text_hash", F.col("_pos").alias("start"), (F.col("_pos") + F.col("_n")).alias("end"), "_item")
+    grams = stored(windows(items, width, item_id, item_text), "windows")
+    keys = grams.groupBy("_key", "_len").agg(F.count(F.lit(1)).alias("_texts"))
+    lengths = {r["_len"]: r["n"] for r in keys.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # `width` rows at most
+    small = sum(lengths.values()) <= broadcast_windows
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), lowered(F.col(text_col)).alias("_words"))
+
+    if not lengths:
+        lengths = {width: 0}
+    found = None
+    for n in sorted(lengths):
+        own = keys.filter(F.col("_len") == n).select(F.col("_key").alias("_gram_key"))
+        # exploding places and hashing slices afterwards, instead of in a lambda, lets all this be compiled with the join
+        places = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n))
+        seen = rows.select("_id", "_text_hash", "_words", F.explode(places).alias("start"))
+        window = F.slice("_words", F.col("start") + 1, n)
+        some = seen.join(F.broadcast(own) if small else own, F.xxhash64(window) == F.col("_gram_key"))
+        some = some.select("_id", "_text_hash", "start", (F.col("start") + n).alias("end"), window.alias("_seen"))
+        found = some if found is None else found.unionByName(some)
+    texts = grams.select("_key", "_gram", "_in")
+    found = found.join(F.broadcast(texts) if small else texts, (F.xxhash64("_seen") == F.col("_key")) & (F.col("_seen") == F.col("_gram")))
+    found = found.select("_id", "_text_hash", "start", "end", F.explode("_in").alias("_item"))
     out = found.groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"), F.array_sort(F.collect_set("_item")).alias("_items"))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     covered = F.aggregate("_spans", empty, lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["start"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["end"]).alias("upto")))["n"]
@@ -73,19 +81,22 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """Every document with `_n_words`, `_n_hit`, `_items`, `_spans` and `_contaminated`: one word in `share` is hit, or more."""
     found = hits(docs, items, width, id_col, text_col, **more)
-    rows = docs.withColumns({"_n_words": F.size(words(F.col(text_col))).cast("long"), "_k": F.xxhash64(text_col)})
-    out = rows.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_text_hash")), "left").drop("_k", "_id", "_text_hash")
-    out = out.withColumn("_n_hit", F.coalesce("_n_hit", F.lit(0).cast("long"))).withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
-    return out.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
+    rows = docs.drop(*RESULTS)
+    rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_doc"), F.col(id_col).alias("_doc_id"), F.size(words(F.col(text_col))).cast("long").alias("_n_words"), F.xxhash64(text_col).alias("_doc_hash"))
+    out = rows.join(found, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_hash") == F.col("_text_hash")), "left")
+    n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
+    return out.select("_doc.*", "_n_words", n_hit.alias("_n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"), "_spans", ((n_hit > 0) & (share * n_hit >= F.col("_n_words"))).alias("_contaminated"))
 
 
 def drop_documents(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
+    docs = docs.drop(*RESULTS)
     return decontaminate(docs, items, **more).filter(~F.col("_contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """Every document without its hit words and the separators before them."""
+    docs = docs.drop(*RESULTS)
     out = decontaminate(docs, items, text_col=text_col, **more)
     units = F.regexp_extract_all(F.col(text_col), F.lit(RAW_UNIT), F.lit(0))
     kept = F.filter(units, lambda u, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])))

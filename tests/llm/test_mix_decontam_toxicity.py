@@ -104,7 +104,8 @@ def test_decontam_edges(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("x"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for limit in (1 << 20, 0):
-        out = decontam.decontaminate(df, bench, broadcast_bytes=limit)
+        out = decontam.decontaminate(df.withColumns({c: F.lit("x") for c in ("_id", "_k", "_text_hash", "_key", "start", "_words")}), bench, broadcast_windows=limit)
+        assert out.filter("_id = 'x' and _k = 'x' and _text_hash = 'x' and _key = 'x' and start = 'x' and _words = 'x'").count() == len(docs)
         got = out.select("doc_id", "text", "_n_words", "_n_hit", F.size("_items"), F.sha2(F.array_join("_items", ","), 256), "_contaminated").collect()
         assert len(got) == len(docs)
         for r in got:
