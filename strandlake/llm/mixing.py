@@ -7,7 +7,8 @@ up to `cap` times; the word at stream offset x gets the training time at which t
 that is the inverse of the schedule's integral. Documents are range-sorted by that position.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, the last; an empty table
-gives an empty result; repeated rows are separate documents; other columns, whatever their names, pass through.
+gives an empty result; repeated rows are separate documents, ties in the order of the stream are broken by size; other
+columns, whatever their names, pass through, except those named like an added one, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: For each weight its schedule, as (time, multiplier) knots: the heavy sources fade, the light ones grow.
 SCHEDULES = (((0.0, 1.25), (1.0, 0.75)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
 CAP = 3
-#: Pieces of a source that are summed apart, so that no task holds a whole source.
-BUCKETS = 1024
+#: Documents in a piece of a source, about. Pieces are summed apart, so that no task holds a whole source.
+BUCKET_ROWS = 1 << 14
 
 
 def integrals(knots: Sequence[tuple[float, float]]) -> list[float]:
@@ -65,22 +66,31 @@ def time_of(done: Column, knots: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, cap: int = CAP, seed: int = 17, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def bucket_count(rows: DataFrame) -> int:
+    """Pieces of each source, in proportion to the table, so that a source of any share is in pieces of bounded size."""
+    return max(1024, -(-rows.count() // BUCKET_ROWS))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES, cap: int = CAP, seed: int = 17, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every document with `_size`, `_source_size`, `_target`, `_taken` and `_placements`, an array of
     (copy, taken, position): the times at which it is read, the words taken then and the training position in 0..1."""
     docs = docs.drop("_size", "_source_size", "_target", "_taken", "_placements")
     order = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = docs.withColumns({"_size": n_words(F.col(text_col)), "_order": order, "_bucket": F.pmod(order, F.lit(buckets))})
-    sums = rows.groupBy(F.col(source_col).alias("_source"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("_words"))
+    # the document travels as one column, so that no name of its own meets one of ours
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(own.alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), n_words(F.col(text_col)).alias("_size"), order.alias("_order"))
+    buckets = buckets or bucket_count(rows)
+    rows = rows.withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
+    sums = rows.groupBy(F.col("_of").alias("_source"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("_words"))
     per_source = sums.groupBy("_source").agg(F.sum("_words").alias("_source_size"))
     earlier = Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
     wanted = targets(per_source, weights, schedules, cap)
     starts = starts.join(wanted.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_words")
 
-    inside = Window.partitionBy(source_col, "_bucket").orderBy("_order", id_col, "_size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_of", "_bucket").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_upto", F.sum("_size").over(inside))
-    rows = rows.join(starts, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
+    rows = rows.join(starts, F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
     offset = F.col("_start") + F.col("_upto") - F.col("_size")
     demand = F.rint("_target").cast("long")
 
@@ -93,11 +103,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES
 
     placed = F.filter(F.array(*map(placement, range(cap))), lambda p: p["taken"] > 0)
     rows = rows.withColumn("_placements", placed).withColumn("_taken", F.aggregate("_placements", F.lit(0).cast("long"), lambda s, p: s + p["taken"]))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_size", "_source_size", "_target", "_taken", "_placements")
+    return rows.select("_doc.*", "_size", "_source_size", "_target", "_taken", "_placements")
 
 
 def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per reading of a document, range-sorted by training position; columns copy, taken and position are added."""
-    out = mixed.drop("copy", "taken", "position").withColumn("_p", F.explode("_placements")).select("*", "_p.copy", "_p.taken", "_p.position").drop("_p", "_placements")
-    by = [F.col("position"), F.col("copy")]
+    """One row per reading of a document, range-sorted by training position; the columns `_copy`, `_words` (taken) and
+    `_position` are added, those of the same names replaced."""
+    own = [F.col(f"`{c}`") for c in mixed.columns if c not in ("_placements", "_copy", "_words", "_position", "_p")]
+    out = mixed.select(*own, F.explode("_placements").alias("_p")).select(*own, F.col("_p.copy").alias("_copy"), F.col("_p.taken").alias("_words"), F.col("_p.position").alias("_position"))
+    by = [F.col("_position"), F.col("_copy")]
     return (out.repartitionByRange(partitions, *by) if partitions else out.repartitionByRange(*by)).sortWithinPartitions(*by)

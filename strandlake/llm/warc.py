@@ -1,8 +1,8 @@
 """WARC archives compressed with a dictionary: zstd frames, one for each record, after a skippable frame with the dictionary.
 
-Every task writes its pages as archives of at most `archive_bytes` of payload. The dictionary of an archive is trained on
-its own first records (`sample_bytes` of them); it is written in front, in a skippable frame of magic number 0x184D2A5D,
-so that each archive can be read alone. Of records with equal payloads of at least `min_bytes`, the one with the largest
+Every task writes its pages as archives of at most `archive_bytes` of payload. The dictionary of an archive is built from
+its own first records (`sample_bytes` of them), for an archive of any size; it is written in front, in a skippable frame
+of magic number 0x184D2A5D, so that each archive can be read alone. Of records with equal payloads of at least `min_bytes`, the one with the largest
 id is the response and the others are revisits without the payload; they name the response's id and digest.
 
 Archives go to a folder that all machines share, through Arrow's file systems, under names of their own; only those that
@@ -35,13 +35,13 @@ RECORDS = "page_id long, url string, record_type string, payload_bytes long, pay
 def roles(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
     """The pages with `_payload`, `_digest`, `_type` and `_refers_to`. Copies are found by digest: one row for each digest and task is shuffled."""
     pages = pages.drop("_payload", "_digest", "_type", "_refers_to")
-    rows = pages.withColumn("_payload", F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).withColumn("_digest", F.sha1("_payload"))
+    payload = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_page"), F.col(id_col).alias("_id"), payload.alias("_payload"), F.sha1(payload).alias("_digest"))
     large = F.octet_length("_payload") >= min_bytes
-    copies = rows.filter(large).groupBy(F.col("_digest").alias("_d")).agg(F.max(id_col).alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    copies = rows.filter(large).groupBy(F.col("_digest").alias("_d")).agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     out = rows.join(copies, F.col("_digest") == F.col("_d"), "left")
-    revisit = F.col("_last").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_last"))
-    out = out.withColumn("_type", F.when(revisit, "revisit").otherwise("response")).withColumn("_refers_to", F.when(revisit, F.col("_last")))
-    return out.drop("_d", "_last")
+    revisit = F.col("_last").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_last"))
+    return out.select("_page.*", "_payload", "_digest", F.when(revisit, "revisit").otherwise("response").alias("_type"), F.when(revisit, F.col("_last")).alias("_refers_to"))
 
 
 def head(kind: bytes, fields: list[tuple[str, object]], length: int) -> bytes:
@@ -54,17 +54,28 @@ def one_line(x):
     return None if x is None else "".join(c if c >= " " else "%%%02X" % ord(c) for c in x)
 
 
-def archive(records: list[bytes], sample_bytes: int, dict_bytes: int, level: int) -> bytes:
+def dictionary(records: list[bytes], sample_bytes: int, dict_bytes: int) -> bytes:
+    """A dictionary made from the archive's own records: trained where there are samples enough, else their own bytes.
+
+    A dictionary of `dict_bytes`, or of a quarter of a smaller sample. The trainer needs several samples much larger than
+    the dictionary; where it finds too little in common, the heads of the records, which Zstandard takes as they are, do."""
     sample, size = [], 0
     for r in records:
-        if size < sample_bytes:
-            sample.append(r[: 128 << 10])  # training reads no further into a sample
-            size += len(sample[-1])
+        if size >= sample_bytes:
+            break
+        sample.append(r[: 128 << 10])  # training reads no further into a sample
+        size += len(sample[-1])
+    most = min(dict_bytes, max(size // 4, 256))
     try:
-        raw = zstandard.train_dictionary(dict_bytes, sample).as_bytes() if size >= 4 * dict_bytes else b""
-    except zstandard.ZstdError:  # too few or too uniform samples
-        raw = b""
-    made = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_checksum=True)
+        return zstandard.train_dictionary(most, sample).as_bytes()
+    except zstandard.ZstdError:
+        share = max(most // max(len(sample), 1), 64)
+        return b"".join(x[:share] for x in sample)[:most]
+
+
+def archive(records: list[bytes], sample_bytes: int, dict_bytes: int, level: int) -> bytes:
+    raw = dictionary(records, sample_bytes, dict_bytes)
+    made = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=True)
     return DICTIONARY_FRAME + len(raw).to_bytes(4, "little") + raw + b"".join(map(made.compress, records))
 
 
@@ -86,7 +97,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 1000, archive_bytes: i
 
         def put():
             name = f"{path}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(name, compression=None) as out:
                 out.write(archive(held, sample_bytes, dict_bytes, level))
             return pa.record_batch({"_archive": [name], "_records": pa.array([len(held)], pa.int64())})
 
@@ -106,12 +117,12 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 1000, archive_bytes: i
 
 def frames(fs, name: str):
     """The records of an archive, decompressed one by one."""
-    with fs.open_input_stream(name) as f:
+    with fs.open_input_stream(name, compression=None) as f:
         raw = f.read()
     if raw[:4] != DICTIONARY_FRAME:
         raise ValueError(f"{name} has no dictionary frame")
     n = int.from_bytes(raw[4:8], "little")
-    own = zstandard.ZstdCompressionDict(raw[8 : 8 + n]) if n else None
+    own = zstandard.ZstdCompressionDict(raw[8 : 8 + n])
     rest = memoryview(raw)[8 + n :]
     while len(rest):
         if bytes(rest[:4]) != ZSTD_FRAME:

@@ -68,6 +68,9 @@ def test_mix_edges(spark):
     out = mixing.mix(docs)
     check_mix(out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")).collect(), EDGE)
     assert "size" in out.columns
+    clash = docs.withColumns({c: F.lit(c) for c in ("_order", "_start", "_b", "_source", "_bucket", "_upto", "_id", "_of", "_slot", "position", "copy", "taken", "target")})
+    got = mixing.training_order(mixing.mix(clash))
+    assert got.filter(" and ".join(f"{c} = '{c}'" for c in clash.columns[5:])).count() == got.count() > 0
     assert mixing.training_order(mixing.mix(docs.limit(0))).count() == 0
 
 

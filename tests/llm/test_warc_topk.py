@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 pytest.importorskip("strandlake.llm")
@@ -32,6 +33,37 @@ def test_warc_query(spark):
     assert sorted(map(tuple, queries.op3_warc(spark, SF).collect()), key=str) == roles(pages)
 
 
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_every_archive_has_a_dictionary(spark, tmp_path, tasks):
+    """Of whatever size an archive is, its first frame holds a dictionary that its records need."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").repartition(tasks)
+    done = warc.write(pages.select("page_id", "url", "html"), f"file://{tmp_path}/warc").collect()
+    assert sum(r._records for r in done) == pages.count() and len(done) >= tasks
+    plain = zstandard.ZstdDecompressor()
+    for r in done:
+        raw = open(r._archive, "rb").read()
+        n = int.from_bytes(raw[4:8], "little")
+        assert raw[:4] == warc.DICTIONARY_FRAME and n >= 256
+        first = raw[8 + n :]
+        own = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n])).decompressobj().decompress(first)
+        assert own.startswith(b"WARC/1.1")
+        with pytest.raises(zstandard.ZstdError):
+            plain.decompressobj().decompress(first)
+
+
+def test_dictionary_of_little():
+    for records in ([b"one record"], [b"x" * 100] * 3, [b"", b"a"]):
+        raw = warc.archive(records, 1 << 20, 1 << 15, 3)
+        assert int.from_bytes(raw[4:8], "little") >= 1
+
+
+def test_roles_pass_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a" * 2000), (2, "a" * 2000)], "page_id long, html string").withColumns({c: F.lit("x") for c in ("_d", "_last", "_n", "_id", "_page")})
+    out = warc.roles(df)
+    assert out.filter("_d = 'x' and _last = 'x' and _n = 'x' and _id = 'x' and _page = 'x'").count() == 2
+    assert sorted((r.page_id, r._type, r._refers_to) for r in out.collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_warc_edges(spark):
     big = "<p>é\r\n\r\n" * 400
     pages = [(1, None), (2, ""), (3, big), (4, big), (4, big), (None, big), (5, "x" * 5000), (6, "y" * 999), (7, "y" * 999), (None, "z" * 2000)]
