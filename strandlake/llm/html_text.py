@@ -5,7 +5,8 @@ C / T * log(C / LC * T / LT) / log(log(C * LC / (C - LC) + LCb / Cb * C + e)), w
 characters for each tag count, links count against. A node's density sum is the sum of its children's. The node of the
 largest sum is the core; the smallest density on the path from the body to it is the threshold. The text is the subtree of
 the core (or of the article element around it), without parts whose characters are mostly links and whose density is below
-the threshold, and with neighbours of the core of the same tag and class that reach the threshold.
+the threshold, and with those neighbours of the core that reach the threshold: of any tag and class if they hold a tenth of
+the core's text, else headings, paragraphs, lists, tables and elements named like the core.
 
 Elements that are no article by their tag or role, or are hidden (menus, headers, footers, forms, scripts, styles), are left
 out before. Those whose class, id or role says so (sidebars, adverts, comments of readers) are left out where they are
@@ -22,6 +23,7 @@ tags are closed as the element around them ends; other columns pass through, tho
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -44,24 +46,33 @@ NOT_OWN = frozenset("has have with without no not".split())
 NEVER_LEFT_OUT = frozenset("html body main article h1 h2 h3 p".split())
 
 TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?/a-zA-Z][^>]*(?:>|\Z))""", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
-def no_article(tag: str, attributes: str, in_article: bool, forms: bool) -> bool:
+def parsed(attributes: str) -> dict[str, str]:
+    """Attributes by name; of one named twice the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def no_article(tag: str, attributes: dict[str, str], in_article: bool, forms: bool) -> bool:
     if tag in NO_ARTICLE and not (tag == "header" and in_article) and not (forms and tag in ("form", "fieldset", "label")):
         return True
-    return bool(attributes and tag not in NEVER_LEFT_OUT and HIDDEN.search(attributes))
+    if not attributes or tag in NEVER_LEFT_OUT:
+        return False
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(HIDDEN_STYLE.search(attributes.get("style", "")))
 
 
-def named_so(tag: str, attributes: str) -> bool:
+def named_so(tag: str, attributes: dict[str, str]) -> bool:
     """Whether a class, id or role has one of the words of what is no article."""
     if not attributes or tag in NEVER_LEFT_OUT:
         return False
-    for m in NAMES.findall(attributes):
-        for name in (m[0] or m[1] or m[2]).split():
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").split():
             for w in WORD.findall(name):
                 if w.lower() in NOT_OWN:
                     break
@@ -74,6 +85,20 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
     """Nodes (parent, tag, class), in page order pieces (node, text), None for a break between blocks, and nodes named like no article."""
     nodes, pieces, named, stack = [(-1, "#", "")], [], [], [0]
     at, out, articles = 0, 0, 0  # out: depth of the stack where what is left out began
+    places: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    blocks: list[int] = []  # depths of the open blocks
+
+    def shut(depth):
+        """Close all elements from a depth of the stack on; each is closed once, so this costs no more than opening."""
+        nonlocal articles
+        for i in stack[depth:]:
+            tag = nodes[i][1]
+            places[tag].pop()
+            articles -= tag == "article"
+            if tag in BLOCK:
+                blocks.pop()
+        del stack[depth:]
+
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -86,26 +111,26 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
             continue
         tag = tag.lower()
         if m[1]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]][1] == tag), 0)
-            if not depth or tag not in BLOCK and any(nodes[i][1] in BLOCK for i in stack[depth + 1 :]):
+            if not places.get(tag) or tag not in BLOCK and blocks and blocks[-1] > places[tag][-1]:
                 continue
-            articles -= sum(nodes[i][1] == "article" for i in stack[depth:])
-            del stack[depth:]
+            depth = places[tag][-1]
+            shut(depth)
             out = 0 if out >= depth else out
         else:
             if tag in ENDS_P or tag in SIBLINGS:
                 ends, within = SIBLINGS.get(tag, ((), ()))
-                close, p_open = 0, tag in ENDS_P
-                for d in range(len(stack) - 1, 0, -1):
-                    name = nodes[stack[d]][1]
-                    if name in within:
-                        break
-                    if name in ends or name == "p" and p_open:
-                        close = d
-                    elif name in BLOCK and name != "p" and not ends:
-                        break
+                last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
+                close = 0
+                if ends:  # the outermost open one within the container
+                    edge = last(within)
+                    close = min((d for x in ends for d in places.get(x, ())[bisect.bisect(places.get(x, ()), edge) :]), default=0)
+                if tag in ENDS_P and places.get("p"):
+                    p = places["p"][-1]
+                    wall = last(within) if ends else next((d for d in reversed(blocks) if nodes[stack[d]][1] != "p"), 0)
+                    if p > wall:
+                        close = min(close or p, p)
                 if close:
-                    del stack[close:]
+                    shut(close)
                     out = 0 if out >= close else out
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -115,13 +140,16 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
                 if not out:
                     pieces.append((stack[-1], " "))
                 continue
-            if tag not in VOID and not (tag in ("html", "body") and any(nodes[i][1] == tag for i in stack)):
-                kind = CLASS.search(m[3]) if m[3] else None
-                nodes.append((stack[-1], tag, (kind[1] or kind[2] or kind[3] or "") if kind else ""))
+            if tag not in VOID and not (tag in ("html", "body") and places.get(tag)):
+                attributes = parsed(m[3]) if m[3] and "=" in m[3] or "hidden" in m[3] else {}
+                nodes.append((stack[-1], tag, attributes.get("class", "")))
                 stack.append(len(nodes) - 1)
-                if not out and no_article(tag, m[3], articles > 0, forms):
+                places.setdefault(tag, []).append(len(stack) - 1)
+                if tag in BLOCK:
+                    blocks.append(len(stack) - 1)
+                if not out and no_article(tag, attributes, articles > 0, forms):
                     out = len(stack) - 1
-                if not out and named_so(tag, m[3]):
+                if not out and named_so(tag, attributes):
                     named.append(stack[-1])
                 articles += tag == "article"
         if not out:
@@ -165,18 +193,13 @@ def without_named(nodes, pieces, named):
     return [x for x in pieces if not gone[x[0]]]
 
 
-def extract(page: str | None, forms: bool = False) -> str:
-    if not page:
-        return ""
-    nodes, pieces, named = parse(page, forms)
-    if named:
-        pieces = without_named(nodes, pieces, named)
+def densities(nodes, pieces, body: int):
+    """Characters, link characters, composite text density and density sum (of the children) of each node."""
     n = len(nodes)
     chars, tags, link_chars, link_tags = [0] * n, [1] * n, [0] * n, [0] * n
     for i, text in pieces:
         if text:
             chars[i] += len(text.strip())
-    body = next((i for i, x in enumerate(nodes) if x[1] == "body"), 0)
     for i in range(n - 1, 0, -1):
         up = nodes[i][0]
         if nodes[i][1] == "a":
@@ -185,8 +208,6 @@ def extract(page: str | None, forms: bool = False) -> str:
         tags[up] += tags[i]
         link_chars[up] += link_chars[i]
         link_tags[up] += link_tags[i]
-    if not chars[0]:
-        return "" if forms or "<form" not in page.lower() else extract(page, True)
     of_body = link_chars[body] / max(chars[body], 1)
     density, sums = [0.0] * n, [0.0] * n
     for i in range(n):
@@ -197,6 +218,20 @@ def extract(page: str | None, forms: bool = False) -> str:
             density[i] = c / tags[i] * max(math.log(ratio), 0.0) / max(math.log(math.log(x)), 0.5) if ratio > 0 else 0.0
         if i:
             sums[nodes[i][0]] += density[i]
+    return chars, link_chars, density, sums
+
+
+def extract(page: str | None, forms: bool = False) -> str:
+    if not page:
+        return ""
+    nodes, pieces, named = parse(page, forms)
+    if named:
+        pieces = without_named(nodes, pieces, named)
+    n = len(nodes)
+    body = next((i for i, x in enumerate(nodes) if x[1] == "body"), 0)
+    chars, link_chars, density, sums = densities(nodes, pieces, body)
+    if not chars[0]:
+        return "" if forms or "<form" not in page.lower() else extract(page, True)
     core = max(range(n), key=lambda i: (sums[i], -i))
     if not sums[core]:
         core = body
@@ -205,8 +240,11 @@ def extract(page: str | None, forms: bool = False) -> str:
         path.append(nodes[path[-1]][0])
     threshold = min(density[i] for i in path)
     roots = {next((i for i in path if nodes[i][1] == "article"), core)}
-    if roots == {core} and core not in (0, body) and nodes[core][1] in ("div", "section", "td"):
-        roots |= {i for i in range(n) if nodes[i] == nodes[core] and density[i] >= threshold}
+    if roots == {core} and core not in (0, body):
+        # parts of the article beside the core, whatever their tag and class: as dense as the path, mostly no links, and
+        # with a tenth of the core's text or more
+        plain = [c - x for c, x in zip(chars, link_chars)]
+        roots |= {i for i in range(n) if nodes[i][0] == nodes[core][0] and density[i] >= threshold and 2 * link_chars[i] <= chars[i] and (10 * plain[i] >= plain[core] or nodes[i][1:] == nodes[core][1:] or nodes[i][1] in ("p", "h1", "h2", "h3", "ul", "ol", "blockquote", "pre", "table"))}
     kept = [False] * n
     for i in range(n):
         up = nodes[i][0]

@@ -1,7 +1,10 @@
 """Operator 2: every page of the table against its article element, and pages made for single rules."""
 
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +74,56 @@ def test_names_on_every_part():
     parts = [f"Part {i} of the article has a sentence of its own, and then another one." for i in range(6)]
     page = "<body><div class='x'>" + "".join(f"<div class='promo-{i}'><p>{p}</p></div>" for i, p in enumerate(parts)) + "</div></body>"
     assert html_text.extract(page) == "\n".join(parts)
+
+
+@pytest.mark.parametrize("attribute", ["class='has-sidebar'", "class='post no-comments'", "class='content-header-wrap'", "class='market-share-report'", "data-id='menu'", "title='the hidden door'", "data-class='nav' id=x"])
+def test_attributes_are_read_as_pairs(attribute):
+    page = f"<html><body><div class=nav><a href=x>home</a></div><div {attribute}>{P}{P}{P}</div><div class='footer'>copy</div></body></html>"
+    assert html_text.extract(page) == "\n".join([T] * 3)
+
+
+def test_siblings_of_any_class_stay():
+    page = f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div class='a'>{P}{P}</div><div class='b'>{P}{P}{P}</div><h2>End</h2><p>Last.</p><ul><li><a href=c>Imprint</a></ul></body>"
+    assert html_text.extract(page).split("\n")[:5] == [T] * 5
+    assert "Home" not in html_text.extract(page)
+
+
+@pytest.mark.parametrize("page", ["<p>text</p>" + "<span>" * 20000 + "x" + "</b>" * 20000, "<div><p>x" * 20000, "<b>" * 20000 + "x" + "</i></b>" * 20000, "<li>x" * 20000, "<table><tr><td>" * 7000 + "x", "<p " + "a=b " * 20000 + ">x"])
+def test_hostile_nesting_is_not_quadratic(page):
+    began = time.process_time()
+    assert "x" in html_text.extract("<html><body>" + page)
+    assert time.process_time() - began < 3
+
+
+def test_density_by_brute_force():
+    """Random trees without an article element: every node's figures against a recursion over the tree."""
+    rng = random.Random(3)
+    for _ in range(200):
+        nodes, pieces = [(-1, "#", ""), (0, "body", "")], []
+        for i in range(2, rng.randint(3, 25)):
+            nodes.append((rng.randint(1, i - 1), rng.choice(["div", "p", "a", "span", "td"]), ""))
+            pieces.append((i, rng.choice([" ", "word", "some words " * rng.randint(1, 30)])))
+        children = {i: [j for j in range(len(nodes)) if nodes[j][0] == i] for i in range(len(nodes))}
+
+        def below(i):
+            return [i, *(x for j in children[i] for x in below(j))]
+
+        def figures(i):
+            own = below(i)
+            linked = {x for j in own if nodes[j][1] == "a" for x in below(j)}
+            count = lambda some: sum(len(t.strip()) for j, t in pieces if j in some)
+            return count(own), len(own), count(linked), len(linked)
+
+        of_body = figures(1)[2] / max(figures(1)[0], 1)
+
+        def density(i):
+            c, t, lc, lt = figures(i)
+            if not c:
+                return 0.0
+            top = math.log(max(c / max(lc, 1) * t / max(lt, 1), 1))
+            return c / t * top / max(math.log(math.log(c * lc / max(c - lc, 1) + of_body * c + math.e)), 0.5)
+
+        _, _, got, sums = html_text.densities(nodes, pieces, 1)
+        want = [density(i) for i in range(len(nodes))]
+        assert got == pytest.approx(want)
+        assert sums == pytest.approx([sum(want[j] for j in children[i]) for i in range(len(nodes))])
