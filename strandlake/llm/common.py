@@ -20,18 +20,21 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it. Only a local session may go without: it gets a temporary one."""
     where = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False, instead_of: DataFrame | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    release: let Spark's cleaner remove the shuffle files of finished queries now, for those with large ones."""
+    release: let Spark's cleaner remove the shuffle files of finished queries now, for those with large ones.
+    instead_of: an earlier stored table that nothing else reads; it is removed once this one is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -39,7 +42,12 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of.stored_at)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,7 +182,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 # --- keys that occur more than once -----------------------------------------------------------------------------------
 
 #: Text bytes that are hashed together in a task, and text bytes for each bucket of keys (which bounds a task's memory).
+#: Where executors have more memory than 3 GB, both may be raised by the session, so that blocks stay large in larger tables.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_SETTING, BUCKET_SETTING = "strandlake.chunkBytes", "strandlake.bucketBytes"
+#: Tasks that the buckets are dealt to, at most; a task takes its buckets one after the other.
+MOST_TASKS = 8192
 #: Answers after which those for the chunks read so far are handed on.
 MEET_ENTRIES = 1 << 19
 _BLOCK = "_home int, _bucket int, _ids binary, _nulls binary, _hashes binary, _counts binary, _keys binary, _at binary, _known boolean"
@@ -184,7 +196,11 @@ _NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 def n_buckets(docs: DataFrame, text_col: str) -> int:
     spark = docs.sparkSession
     volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BUCKET_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // int(spark.conf.get(BUCKET_SETTING, str(BUCKET_BYTES)))))
+
+
+def n_tasks(buckets: int) -> int:
+    return min(buckets, MOST_TASKS)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +259,8 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
     for a chunk meet in a partition drawn for the chunk, whatever its texts are, and are read chunk by chunk.
     """
     n = n_buckets(docs, text_col)
+    tasks = n_tasks(n)
+    chunk = chunk or int(docs.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_BYTES)))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 
     def blocks(it):
@@ -251,7 +269,7 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
             data, off = buffers(b.column("_text"))
             ids, null = np.asarray(b.column("_id").fill_null(0)), np.asarray(b.column("_id").is_null())
             hashes = np.asarray(b.column("_hash"))
-            for i, j in slices(off, chunk or CHUNK_BYTES):
+            for i, j in slices(off, chunk):
                 keys, route, first = keyer(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 if not len(keys):
                     continue
@@ -292,31 +310,38 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
         return (get("_ids", np.int64), get("_nulls", bool), get("_hashes", np.int64)), counts, at
 
     def whole(it):
-        """All of one bucket."""
-        parts, answers = [], []
+        """One bucket after the other."""
+        parts, last = [], None
         for b in it:
-            for r in range(b.num_rows):
-                if b.column("_keys")[r].is_valid:
-                    own, counts, at = read(b, r)
-                    parts.append((own, counts, at.astype(np.int32), np.frombuffer(b.column("_keys")[r].as_buffer(), np.uint64), b.column("_known")[r].as_py(), b.column("_home")[r].as_py()))
-                else:
+            for r, bucket in enumerate(b.column("_bucket").to_pylist()):
+                if not b.column("_keys")[r].is_valid:
                     yield b.slice(r, 1)
+                    continue
+                if bucket != last and parts:
+                    yield from bucketed(parts)
+                    parts = []
+                own, counts, at = read(b, r)
+                parts.append((own, counts, at.astype(np.int32), np.frombuffer(b.column("_keys")[r].as_buffer(), np.uint64), b.column("_known")[r].as_py(), b.column("_home")[r].as_py()))
+                last = bucket
         if parts:
-            ids, null, hashes = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
-            doc = np.repeat(np.arange(len(ids)), np.concatenate([p[1] for p in parts]))
-            at, keys = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-            known = np.repeat([p[4] for p in parts], [len(p[2]) for p in parts])
-            hit, _ = judged(keys, (ranks(ids, null, hashes)[doc] << 32) | at, known, later)
-            hit &= ~known  # its chunk has said so already
-            upto = 0
-            for own, counts, at, _, _, home in parts:
-                mine = hit[upto : upto + len(at)]
-                upto += len(at)
-                if mine.any():
-                    answers.append(block(home, 0, own, np.repeat(np.arange(len(counts)), counts)[mine], at[mine].astype(np.int64)))
-                    if len(answers) >= 64:
-                        yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
-                        answers = []
+            yield from bucketed(parts)
+
+    def bucketed(parts):
+        ids, null, hashes = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
+        doc = np.repeat(np.arange(len(ids)), np.concatenate([p[1] for p in parts]))
+        at, keys = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        known = np.repeat([p[4] for p in parts], [len(p[2]) for p in parts])
+        hit, _ = judged(keys, (ranks(ids, null, hashes)[doc] << 32) | at, known, later)
+        hit &= ~known  # its chunk has said so already
+        answers, upto = [], 0
+        for own, counts, at, _, _, home in parts:
+            mine = hit[upto : upto + len(at)]
+            upto += len(at)
+            if mine.any():
+                answers.append(block(home, 0, own, np.repeat(np.arange(len(counts)), counts)[mine], at[mine].astype(np.int64)))
+                if len(answers) >= 64:
+                    yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
+                    answers = []
         if answers:
             yield pa.Table.from_batches(answers).combine_chunks().to_batches()[0]
 
@@ -348,8 +373,9 @@ def repeated(docs: DataFrame, keyer, later: bool, id_col: str = "doc_id", text_c
             yield pa.record_batch([pa.array(own[0][some[x:y]], mask=own[1][some[x:y]]), pa.array(own[2][some[x:y]]), packed], names=["_id", "_hash", "_at"])
 
     sent = rows.mapInArrow(blocks, _BLOCK)
-    found = sent.repartitionById(n, "_bucket").mapInArrow(whole, _BLOCK)
-    found = found.repartitionById(n, F.pmod("_home", F.lit(n))).sortWithinPartitions("_home").mapInArrow(meet, "_id long, _hash long, _at binary")
+    dealt = sent.repartitionById(tasks, F.pmod("_bucket", F.lit(tasks)))
+    found = (dealt.sortWithinPartitions("_bucket") if tasks < n else dealt).mapInArrow(whole, _BLOCK)
+    found = found.repartitionById(tasks, F.pmod("_home", F.lit(tasks))).sortWithinPartitions("_home").mapInArrow(meet, "_id long, _hash long, _at binary")
     return stored(found, "repeated", release=True).groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_at"))
 
 

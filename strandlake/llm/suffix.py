@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, BASE_INVERSE, BYTE_VALUES, binary_array, buffers, mix, n_buckets, numbers, prefix_hash, repeated, slices, span_hash, stored, with_repeated
+from .common import BASE, BASE_INVERSE, BYTE_VALUES, binary_array, buffers, mix, n_buckets, n_tasks, numbers, prefix_hash, repeated, slices, span_hash, stored, with_repeated
 from .substring import ROUTE_BASE, ROUTE_INVERSE
 
 #: Pieces whose suffixes are sorted together; all pieces of one anchor stay together.
@@ -203,7 +203,7 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
 
     found = repeated(rows, keyer, False, "_id", "_text", CHUNK)
     chosen = with_repeated(rows, found, "_id", "_text", "inner").select("_id", "_hash", "_text", "_at").mapInArrow(sent, _PIECES)
-    dealt = chosen.repartition(n_buckets(docs, text_col), F.coalesce("_key", "_hash")).sortWithinPartitions("_key")
+    dealt = chosen.repartition(n_tasks(n_buckets(docs, text_col)), F.coalesce("_key", "_hash")).sortWithinPartitions("_key")
     runs = stored(dealt.mapInArrow(sorted_pieces, "_id long, _hash long, _runs binary"), "runs", release=True)
     return runs.groupBy("_id", "_hash").agg(F.collect_list("_runs").alias("_at"))
 

@@ -71,3 +71,28 @@ def test_answers_of_copies_part(spark, monkeypatch):
         assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes), sizes
         for r in found.collect():
             assert {int(x) for x in common.np.concatenate([common.np.frombuffer(b, "<i4") for b in r._at])} == set(range(len(copy.split()) - 2))
+
+
+def test_many_buckets_in_few_tasks(spark, monkeypatch):
+    """Chunks meet in many buckets, of which a task takes several one after the other."""
+    monkeypatch.setattr(common, "MOST_TASKS", 3)
+    monkeypatch.setattr(common, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 20000)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    assert common.n_buckets(docs, "text") > 50
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 20)
+    rows = substring.remove_repeats(docs.repartition(3)).collect()
+    assert {r.doc_id: (r._n_words, r._n_removed, r._kept_sha256) for r in rows} == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://driver:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
