@@ -24,6 +24,9 @@ CONSTRAINTS = {
 }
 
 
+KNOWN_CONSTRAINTS = {*CONSTRAINTS, "exact_fluorine_count", "fluorine_count_atom_role", "exclude_perfluoroalkyl_chain"}
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern with a role for each mapped atom, or a ring size with a filter.
@@ -46,6 +49,7 @@ class Rule:
     core: tuple[str, ...] = ()
     covered_by: tuple[tuple[str, tuple[str, ...]], ...] = ()
     status: str = "core"
+    derived: bool = False  # a view of other rules: it has no matches of its own
 
     def place(self, role: str) -> int:
         return patterns.read(self.pattern).maps.index(self.atom_roles.index(role) + 1)
@@ -60,6 +64,8 @@ def problems(rules) -> list[tuple[str, str]]:
             bad("duplicate_id")
         if r.status not in STATUSES:
             bad("unknown_status")
+        if r.derived:
+            continue
         if r.ring_size is not None:
             if r.ring_filter not in RING_FILTERS:
                 bad("unknown_ring_filter")
@@ -77,6 +83,13 @@ def problems(rules) -> list[tuple[str, str]]:
             bad("unknown_role")
         if any(f not in ids for f, _ in r.covered_by):
             bad("unknown_covering_rule")
+        if not set(r.constraints) <= KNOWN_CONSTRAINTS:
+            bad("unknown_constraint")
+        named = [x for k in CONSTRAINTS if k in r.constraints for x in as_roles(r.constraints[k])]
+        if "exact_fluorine_count" in r.constraints:
+            named.append(r.constraints.get("fluorine_count_atom_role", "trifluoromethyl_carbon"))
+        if not set(named) <= set(r.atom_roles):
+            bad("constraint_role_unknown")
     return out
 
 
@@ -89,8 +102,7 @@ def load_rules(path: str) -> list[Rule]:
     out = []
     for x in rows:
         m, policy, dedup = x["match_rule"], x.get("overlap_policy") or {}, x.get("deduplication") or {}
-        if m.get("type") == "derived_view":
-            continue
+        derived = m.get("type") == "derived_view"
         roles = tuple((x.get("atom_roles") or {})[k] for k in sorted(x.get("atom_roles") or {}, key=int)) if m.get("type", "smarts") == "smarts" else ()
         gone, covered, core = policy.get("instance_suppression"), [], ()
         if gone:
@@ -103,7 +115,7 @@ def load_rules(path: str) -> list[Rule]:
             else:
                 raise ValueError(f"{x['fragment_id']}: unknown suppression mode {gone['mode']}")
         groups = [*dedup.get("unordered_role_groups", ()), *dedup.get("atom_set_role_groups", ())]
-        out.append(Rule(x["fragment_id"], x["fragment_name"], x["category"], policy.get("priority", 50), m.get("pattern"), roles, (x.get("anchor_rule") or {}).get("anchor_role"), m.get("ring_size") if m.get("type") == "rdkit_ring" else None, m.get("ring_filter", "any"), tuple(dedup.get("roles", ())), tuple(tuple(g) for g in groups), m.get("constraints") or {}, core, tuple(covered), x.get("core_status", "core")))
+        out.append(Rule(x["fragment_id"], x["fragment_name"], x["category"], policy.get("priority", 50), m.get("pattern"), roles, (x.get("anchor_rule") or {}).get("anchor_role"), m.get("ring_size") if m.get("type") == "rdkit_ring" else None, m.get("ring_filter", "any"), tuple(dedup.get("roles", ())), tuple(tuple(g) for g in groups), m.get("constraints") or {}, core, tuple(covered), x.get("core_status", "core"), derived))
     faults = problems(out)
     if faults:
         raise ValueError("; ".join(f"{f}: {why}" for f, why in faults))
@@ -145,6 +157,8 @@ def _at(nodes: Column, i: Column) -> Column:
 
 def _raw(rule: Rule) -> str:
     """All matches of a rule in order, as an expression over nodes and rings."""
+    if rule.derived:
+        return "CAST(array() AS array<array<int>>)"
     if rule.ring_size is None:
         return patterns.matches(patterns.read(rule.pattern))
     test = {
@@ -163,25 +177,30 @@ def _roles_of(rule: Rule, roles, m: str) -> str:
 
 
 def _key(rule: Rule, m: str) -> str:
-    if rule.ring_size is not None:
+    if rule.derived or rule.ring_size is not None:
         return f"array_sort({m})"
     parts = [_roles_of(rule, rule.roles, m)] if rule.roles else []
     parts += [f"array_sort({_roles_of(rule, g, m)})" for g in rule.groups]
     return f"concat({', '.join(parts)})" if parts else _roles_of(rule, [rule.anchor], m)
 
 
+def as_roles(value) -> tuple[str, ...]:
+    """One role or a list of them."""
+    return (value,) if isinstance(value, str) else tuple(value)
+
+
 def _passes(rule: Rule, m: str) -> str:
     tests = ["true"]
     for name, value in rule.constraints.items():
         if name == "exact_fluorine_count":
-            e = patterns.name()
-            tests.append(f"size(filter(nodes[{m}[{rule.place('trifluoromethyl_carbon')}]].near, {e} -> nodes[{e}.to].element = 'F')) = {int(value)}")
+            e, role = patterns.name(), rule.constraints.get("fluorine_count_atom_role", "trifluoromethyl_carbon")
+            tests.append(f"size(filter(nodes[{m}[{rule.place(role)}]].near, {e} -> nodes[{e}.to].element = 'F')) = {int(value)}")
         elif name in CONSTRAINTS:
-            tests.append(patterns.holds(CONSTRAINTS[name], f"{m}[{rule.place(value)}]"))
+            tests += [patterns.holds(CONSTRAINTS[name], f"{m}[{rule.place(role)}]") for role in as_roles(value)]
         elif name == "exclude_perfluoroalkyl_chain":
-            if value in rule.atom_roles:
-                tests.append(patterns.holds("!$(*~[#6]~[#9])", f"{m}[{rule.place(value)}]"))
-        else:
+            if value and "attached_carbon" in rule.atom_roles:
+                tests.append(patterns.holds("!$(*~[#9])", f"{m}[{rule.place('attached_carbon')}]"))
+        elif name != "fluorine_count_atom_role":
             raise ValueError(f"{rule.fragment_id}: unknown constraint {name}")
     return " AND ".join(tests)
 
@@ -284,9 +303,13 @@ def attributes(found: DataFrame, rules, ladders: dict, level: str = "resolved")
     environment = F.expr(f"transform(array(atoms), a -> CASE {' '.join(environment)} END)[0]")
     place = F.expr(f"CASE {' '.join(place)} END")
     anchor = _at(nodes, F.get("atoms", place))
-    rows = rows.select("smiles", "fragment_id", "match_index", environment.alias("environment"), anchor.alias("_a"), F.transform(anchor["near"], lambda e: _at(nodes, e["to"])).alias("_near"))
+    rows = rows.select("smiles", "fragment_id", "match_index", environment.alias("environment"), anchor.alias("_a"), F.transform(anchor["near"], lambda e: _at(nodes, e["to"])).alias("_near"), F.transform(anchor["near"], lambda e: F.struct(_at(nodes, e["to"]).alias("n"), e["bond"].alias("bond"))).alias("_bonds"))
     number = lambda test: F.size(F.filter("_near", test))
-    signature = F.array_join(F.array_sort(F.transform("_near", _label)), ",")
+    # a carbonyl carbon's signature leaves out the oxygen of its double bond and has an H for each hydrogen
+    of_carbonyl = F.col("fragment_id").isin(*(f for f, r in by_id.items() if r.name == "carbonyl"))
+    others = F.transform(F.filter("_bonds", lambda x: ~(of_carbonyl & (x["n"]["element"] == "O") & (x["bond"] == 2))), lambda x: _label(x["n"]))
+    hydrogens = F.array_repeat(F.lit("H"), F.when(of_carbonyl, F.col("_a.hydrogens")).otherwise(0))
+    signature = F.array_join(F.array_sort(F.concat(others, hydrogens)), ",")
     return rows.select(
         "smiles", "fragment_id", "match_index", "environment", F.when(signature == "", "none").otherwise(signature).alias("neighbour_signature"),
         number(lambda n: (n["element"] == "C") & n["aromatic"]).alias("aromatic_carbons"), number(lambda n: (n["element"] == "C") & ~n["aromatic"]).alias("aliphatic_carbons"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -91,11 +91,18 @@ def coverage_summary(records: DataFrame, found: DataFrame, id_col: str = "doc_id
     return per.agg(F.count(F.lit(1)).alias("records"), F.sum(F.when(F.col("types") > 0, 1).otherwise(0)).alias("covered"), F.sum("types").alias("type_total"), F.expr("percentile(types, 0.5)").alias("median_types"))
 
 
-def selected(counts: DataFrame, total: int, least: int = 50, share: float = 0.004) -> DataFrame:
-    """Acceptance by support: a count of at least `least` and of the share rounded up, or the share itself."""
-    ratio = F.col("records") / F.lit(float(total))
-    enough = (F.col("records") >= F.greatest(F.lit(least), F.ceil(F.lit(share * total)))) | (ratio >= share)
-    return counts.withColumn("accepted", enough).orderBy("category", F.desc("records"), "fragment_id")
+def selected(counts: DataFrame, total: int | Column, least: int = 50, share: float = 0.004, anchor: str | None = None) -> DataFrame:
+    """Acceptance by support: a count of at least `least` and of the share rounded up, or the share itself.
+
+    `anchor`: a column with the share of matches that have their anchor, of which 0.999 are needed where it isn't null.
+    Rules that fail get a status and the count they needed. Of no records the share is 0."""
+    total = total if isinstance(total, Column) else F.lit(total)
+    needed = F.greatest(F.lit(least), F.ceil(F.lit(share) * total)).cast("long")
+    enough = (F.col("records") >= needed) | (F.coalesce(F.try_divide(F.col("records").cast("double"), total.cast("double")), F.lit(0.0)) >= share)
+    if anchor:
+        enough = enough & (F.col(anchor).isNull() | (F.col(anchor) >= 0.999))
+    out = counts.withColumns({"accepted": enough, "status": F.when(enough, "accepted").otherwise("rejected_low_frequency"), "threshold_count": needed})
+    return out.orderBy("category", F.desc("records"), "fragment_id")
 
 
 def overlaps(membership: DataFrame, group: str, record: str, min_jaccard: float, min_containment: float, min_shared: int = 1) -> DataFrame:
@@ -106,7 +113,7 @@ def overlaps(membership: DataFrame, group: str, record: str, min_jaccard: float,
     out = pairs.join(sizes.withColumnRenamed("n", "n_a"), "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
     jaccard = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     contained = F.col("shared") / F.least("n_a", "n_b")
-    return out.withColumn("jaccard", jaccard).withColumn("containment", contained).filter((F.col("shared") >= min_shared) & ((jaccard >= min_jaccard) | (contained >= min_containment))).select("a", "b", "n_a", "n_b", "shared", "jaccard", "containment")
+    return out.withColumn("jaccard", jaccard).withColumn("containment", contained).filter((F.col("shared") >= min_shared) & ((jaccard >= min_jaccard) | (contained >= min_containment))).select("a", "b", "n_a", "n_b", "shared", "jaccard", "containment").orderBy(F.desc("jaccard"), "a", "b")
 
 
 def motifs(rows: DataFrame, support: int, most: int, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
@@ -116,9 +123,16 @@ def motifs(rows: DataFrame, support: int, most: int, id_col: str = "doc_id", tex
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
 
     grams = F.flatten(F.transform(F.array(F.split(F.lower(text_col), " ")), of))
-    found = rows.select(F.col(id_col).alias("_r"), F.explode(grams).alias("motif"))
-    per = found.groupBy("motif", "_r").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("motif").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("matches")).filter(F.col("records") >= support).orderBy(F.desc("records"), "motif").limit(most)
+    sorted_grams = F.array_sort(grams)
+
+    def counted(g):
+        """Equal neighbours of the sorted n-grams: the places where a run begins, and how far the next one is."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)))
+        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(g)))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(F.get(g, x).alias("motif"), (y - x).alias("n")))
+
+    found = rows.filter(F.col(text_col).isNotNull()).select(F.explode(F.flatten(F.transform(F.array(sorted_grams), counted))).alias("_m")).select("_m.*")
+    return found.groupBy("motif").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("matches")).filter(F.col("records") >= support).orderBy(F.desc("records"), "motif").limit(most)
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:

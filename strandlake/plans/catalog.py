@@ -191,10 +191,12 @@ def unmatched_records(spark, sf_dir):
     return docs.join(found.select(F.col("record_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@query(f"{_MATCH}, k AS (SELECT count(*) AS total FROM documents) SELECT fragment_id, category, records, matches, (records >= greatest(50, ceil(0.004::DOUBLE * total)) OR records / total::DOUBLE >= 0.004::DOUBLE) AS accepted FROM cov, k")
+@query(f"{_MATCH}, k AS (SELECT count(*) AS total FROM documents) SELECT fragment_id, category, records, matches, (records >= greatest(50, ceil(0.004::DOUBLE * total)) OR records / total::DOUBLE >= 0.004::DOUBLE) AS accepted, CASE WHEN records >= greatest(50, ceil(0.004::DOUBLE * total)) OR records / total::DOUBLE >= 0.004::DOUBLE THEN 'accepted' ELSE 'rejected_low_frequency' END AS status, greatest(50, ceil(0.004::DOUBLE * total))::BIGINT AS threshold_count FROM cov, k")
 def core_selection(spark, sf_dir):
     found = rules.resolved(rules.normalised(text_matches(spark, sf_dir)))
-    return rules.selected(rules.coverage(found, spark), read(spark, sf_dir, "documents").count())
+    total = read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_total"))
+    counts = rules.coverage(found, spark).crossJoin(F.broadcast(total))  # a single row
+    return rules.selected(counts, F.col("_total")).drop("_total")
 
 
 @query(f"{_MATCH} SELECT fragment_id, category, records, matches, CASE WHEN records >= 100 THEN 'high' WHEN records >= 20 THEN 'medium' WHEN records >= 5 THEN 'low' ELSE 'rare' END AS tier FROM cov")
@@ -344,7 +346,7 @@ def fragment_uncovered(spark, sf_dir):
 
 
 @query(f"""{_UNITS} SELECT fragment_id, environment, neighbour_signature, count(*) AS n FROM u JOIN (VALUES ('O', 'fragment_004', 'boundary_alkyl_ether', '*,C_aliphatic'), ('S', 'fragment_008', 'boundary_alkyl_thioether', '*,C_aliphatic'),
-    ('C(C#N)', 'fragment_011', 'aliphatic_nitrile', 'C_aliphatic,N'), ('C(=O)O', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,O,O'), ('C(=O)N', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,N,O'),
+    ('C(C#N)', 'fragment_011', 'aliphatic_nitrile', 'C_aliphatic,N'), ('C(=O)O', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,O'), ('C(=O)N', 'fragment_014', 'acyl_heteroatom_residual', 'C_aliphatic,N'),
     ('C(=O)N', 'fragment_013', 'secondary_nonring', '*,C_aliphatic'), ('C(=O)N', 'fragment_013', 'secondary_nonring', '*,C_aliphatic'), ('C(=O)N', 'fragment_023', 'secondary_amine_linker', '*,C_aliphatic')) t(linker, fragment_id, environment, neighbour_signature) USING (linker) GROUP BY 1, 2, 3""")
 def fragment_environments(spark, sf_dir):
     found = fragments.attributes(fragments.molecules(main_units(spark, sf_dir)), CORE, LADDERS, "raw")
