@@ -12,12 +12,13 @@ without words is empty and linked with nothing. Two documents link when den * |b
    members of different components in all lists, so that no link that joins two components is missed. Lists of more
    than `long_list` members meet block by block as matrices, so a group of thousands of copies does not make its pairs
    as rows. Equal sets are one set throughout.
+   Where links are asked for, all pairs of sets of a component are compared the same way, and each document's are counted.
 4. Components grow by alternating large-star and small-star steps over DataFrames, each step a written table.
 
 Sets are compared by 64-bit hashes of their shingles, and equal sets found by 128 bits.
 
 Defined cases: null text is empty; rows of equal id and text are copies like others; a null id is nobody's smallest id
-unless all are null; an empty table gives an empty result; extra columns pass through or are replaced by added ones.
+unless all are null; an empty table gives an empty result; `drop_near_duplicates` passes all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import buffers, mix, numbers, prefix_hash, repeated, slices, span_hash, stored, with_repeated, word_hashes, word_spans
 
+#: Bytes of sets in a block, about.
+BLOCK_BYTES = 8 << 20
+#: Sets in a block of those whose links are counted.
+LINK_BLOCK = 1024
 OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -95,7 +100,7 @@ def postings(reps: DataFrame, num: int, den: int, most: int) -> DataFrame:
             row = np.repeat(np.arange(len(size)), size)
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), b.column("_k").take(pa.array(row)), pa.array(n[row]), pa.array(np.concatenate([np.zeros(0, np.int64), *places]))], names=["_token", "_k", "_n", "_place"])
 
-    rows = stored(reps.select("_k", "_n", "_shared").mapInArrow(prefixes, "_token long, _k binary, _n long, _place long"), "prefixes")
+    rows = stored(reps.select("_k", "_n", "_shared").mapInArrow(prefixes, "_token long, _k long, _n long, _place long"), "prefixes")
     lists = rows.groupBy("_token").agg((F.count(F.lit(1)) - 1).alias("_others")).filter("_others > 0")
     rows = rows.join(lists, "_token")
     own = Window.partitionBy("_k")
@@ -122,7 +127,27 @@ def verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             yield b.filter(pa.array(keep, pa.bool_())).select(["_a", "_b"])
 
     side = lambda s: reps.select(F.col("_k").alias(s), F.col("_n").alias(f"{s}_n"), F.col("_shared").alias(f"{s}_shared"))
-    return pairs.select("_a", "_b").join(side("_a"), "_a").join(side("_b"), "_b").mapInArrow(exact, "_a binary, _b binary")
+    return pairs.select("_a", "_b").join(side("_a"), "_a").join(side("_b"), "_b").mapInArrow(exact, "_a long, _b long")
+
+
+def in_common(x, y) -> np.ndarray:
+    """How many hashes each member of x has in common with each of y."""
+    keys, owner = [np.concatenate(v) for v in (x, y)], [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+    known = np.intersect1d(keys[0], keys[1])
+    at = [np.searchsorted(known, k) for k in keys]
+    ok = [known[np.minimum(a, len(known) - 1)] == k if len(known) else np.zeros(len(k), bool) for a, k in zip(at, keys)]
+    both = np.zeros((len(x), len(y)), np.float32)
+    order = [np.flatnonzero(o)[np.argsort(a[o], kind="stable")] for a, o in zip(at, ok)]
+    for low in range(0, len(known), 2048):
+        part = []
+        for v, (a, own, o) in zip((x, y), zip(at, owner, order)):
+            own_at = a[o]
+            i, j = np.searchsorted(own_at, [low, low + 2048])
+            m = np.zeros((len(v), 2048), np.float32)
+            m[own[o[i:j]], own_at[i:j] - low] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    return both
 
 
 def dense_links(lists: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -130,25 +155,6 @@ def dense_links(lists: DataFrame, reps: DataFrame, num: int, den: int, block: in
 
     A pair of blocks yields each member with the first of its component there, so two rows for each member at most."""
 
-    def sizes(x, y):
-        """How many hashes each member of x has in common with each of y."""
-        keys, owner = [np.concatenate(v) for v in (x, y)], [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
-        known = np.intersect1d(keys[0], keys[1])
-        at = [np.searchsorted(known, k) for k in keys]
-        ok = [known[np.minimum(a, len(known) - 1)] == k if len(known) else np.zeros(len(k), bool) for a, k in zip(at, keys)]
-        both = np.zeros((len(x), len(y)), np.float32)
-        order = [np.flatnonzero(o)[np.argsort(a[o], kind="stable")] for a, o in zip(at, ok)]
-        for low in range(0, len(known), 2048):
-            part = []
-            for v, (a, own, o) in zip((x, y), zip(at, owner, order)):
-                own_at = a[o]
-                i, j = np.searchsorted(own_at, [low, low + 2048])
-                m = np.zeros((len(v), 2048), np.float32)
-                m[own[o[i:j]], own_at[i:j] - low] = 1
-                part.append(m)
-            both += part[0] @ part[1].T
-        return both
-
     def met(it):
         for b in it:
             for r in range(b.num_rows):
@@ -157,7 +163,7 @@ def dense_links(lists: DataFrame, reps: DataFrame, num: int, den: int, block: in
                     m = b.column(c)[r].values
                     side.append(([np.frombuffer(s.as_buffer(), np.uint64) for s in m.field("_shared")], np.asarray(m.field("_n")), m.field("_k").to_pylist()))
                 (x, xn, xk), (y, yn, yk) = side
-                both = sizes(x, y)
+                both = in_common(x, y)
                 linked = den * both >= num * (xn[:, None] + yn[None, :] - both)
                 label_x, label_y = np.arange(len(x)), np.full(len(y), len(x))
                 while True:  # the smallest label of whatever is connected
@@ -168,19 +174,22 @@ def dense_links(lists: DataFrame, reps: DataFrame, num: int, den: int, block: in
                     label_x, label_y = new_x, new_y
                 found = [(xk[i], xk[j]) for i, j in enumerate(label_x) if i != j] + [(yk[i], xk[j]) for i, j in enumerate(label_y) if j < len(x) and yk[i] != xk[j]]
                 if found:
-                    yield pa.record_batch([pa.array(v, pa.binary()) for v in zip(*found)], names=["_a", "_b"])
+                    yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*found)], names=["_a", "_b"])
 
     members = lists.select("_token", "_k", "_size").join(reps.select("_k", "_n", "_shared"), "_k")
-    cut = F.pmod(F.xxhash64("_k"), F.ceil(F.col("_size") / F.lit(float(block))))
+    volume = members.groupBy("_token").agg(F.sum(F.octet_length("_shared")).alias("_bytes"))
+    members = members.join(volume, "_token")
+    cut = F.pmod(F.xxhash64("_k"), F.greatest(F.ceil(F.col("_size") / F.lit(float(block))), F.ceil(F.col("_bytes") / F.lit(float(BLOCK_BYTES)))))
     blocks = members.groupBy("_token", cut.alias("_block")).agg(F.collect_list(F.struct("_k", "_n", "_shared")).alias("_x"))
     other = blocks.select("_token", F.col("_block").alias("_other"), F.col("_x").alias("_y"))
-    return blocks.join(other, "_token").filter("_block <= _other").select("_x", "_y").mapInArrow(met, "_a binary, _b binary")
+    return blocks.join(other, "_token").filter("_block <= _other").select("_x", "_y").mapInArrow(met, "_a long, _b long")
 
 
 def grouped(links: DataFrame, name: str) -> DataFrame:
     """(_k, _c): for every linked node the smallest of its component, by alternating large-star and small-star steps."""
     edges, before = stored(links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).distinct(), name), None
     while True:
+        held = edges
         told = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
         if told == before or not told[0]:
             return edges.select(F.col("_u").alias("_k"), F.col("_v").alias("_c"))
@@ -191,16 +200,57 @@ def grouped(links: DataFrame, name: str) -> DataFrame:
         low = edges.groupBy("_u").agg(F.min("_v").alias("_m"))
         small = edges.join(low, "_u")
         edges = small.select("_v", "_m").union(small.select("_u", "_m")).toDF("_u", "_v").filter("_u <> _v").distinct()
-        edges = stored(edges, name)
+        edges = stored(edges, name, instead_of=held)
+
+
+def link_counts(groups: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(_k, _links): with how many documents a set's documents link, those of equal sets not counted.
+
+    Links stay within components, so the sets of each are compared there, every pair once. Sets are cut by size, so that
+    only neighbouring classes of size can link, and classes into blocks, which meet two by two as matrices. No pair is a row."""
+    width = np.log(den / num) * (1 + 1e-6)
+    everyone = groups.select("_k", "_c").union(groups.select(F.col("_c").alias("_k"), "_c").distinct())
+    members = everyone.join(reps.select("_k", "_n", "_shared", "_copies"), "_k").withColumn("_class", F.floor(F.log("_n") / F.lit(float(width))))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(block))), F.ceil(F.sum(F.octet_length("_shared")) / F.lit(float(BLOCK_BYTES))))
+    sizes = stored(members.groupBy("_c", "_class").agg(parts.alias("_parts")), "sizes")
+    cells = F.collect_list(F.struct("_k", "_n", "_shared", "_copies"))
+    blocks = stored(members.join(sizes, ["_c", "_class"]).groupBy("_c", "_class", F.pmod(F.xxhash64("_k"), "_parts").alias("_block")).agg(cells.alias("_x")), "blocks", release=True)
+    index = blocks.select("_c", "_class", "_block")
+    other = index.select("_c", F.col("_class").alias("_class2"), F.col("_block").alias("_block2"))
+    after = (F.col("_class2") == F.col("_class") + 1) | ((F.col("_class2") == F.col("_class")) & (F.col("_block2") >= F.col("_block")))
+    pairs = index.join(other, "_c").filter(after)
+    both = pairs.join(blocks, ["_c", "_class", "_block"]).join(blocks.select("_c", F.col("_class").alias("_class2"), F.col("_block").alias("_block2"), F.col("_x").alias("_y")), ["_c", "_class2", "_block2"])
+    same = (F.col("_class") == F.col("_class2")) & (F.col("_block") == F.col("_block2"))
+
+    def met(it):
+        for b in it:
+            for r in range(b.num_rows):
+                side = []
+                for c in ("_x", "_y"):
+                    m = b.column(c)[r].values
+                    side.append(([np.frombuffer(s.as_buffer(), np.uint64) for s in m.field("_shared")], *(np.asarray(m.field(f)) for f in ("_n", "_k", "_copies"))))
+                (x, xn, xk, xc), (y, yn, yk, yc) = side
+                common = in_common(x, y)
+                linked = den * common >= num * (xn[:, None] + yn[None, :] - common)
+                if b.column("_same")[r].as_py():
+                    linked &= xk[:, None] != yk[None, :]
+                    k, n = xk, linked @ yc
+                else:
+                    k, n = np.concatenate([xk, yk]), np.concatenate([linked @ yc, xc @ linked])
+                yield pa.record_batch([pa.array(k), pa.array(n.astype(np.int64))], names=["_k", "_links"])
+
+    return both.select("_x", "_y", same.alias("_same")).mapInArrow(met, "_k long, _links long").groupBy("_k").agg(F.sum("_links").alias("_links"))
 
 
-def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most: int = 4, long_list: int = 64, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most: int = 4, long_list: int = 64, block: int = 512, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per document: (_id, _hash, _n, _component, _component_id), the last the smallest id of its component.
 
-    _hash is xxhash64 of the text; _component is null for a document that has no partner in sight."""
+    _hash is xxhash64 of the text; _component is null for a document that has no partner in sight. Other columns are not
+    carried. links: also `_n_links`, the number of other documents that a document links with, copies each counted."""
     rows = sets(docs, width, num, den, id_col, text_col)
     hopeful = rows.filter("_shared is not null")
-    reps = stored(hopeful.groupBy("_k").agg(F.first("_n").alias("_n"), F.first("_shared").alias("_shared"), F.min("_id").alias("_least")), "reps")
+    reps = hopeful.groupBy(F.col("_k").alias("_name")).agg(F.first("_n").alias("_n"), F.first("_shared").alias("_shared"), F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
+    reps = stored(reps.withColumn("_k", F.monotonically_increasing_id()), "reps")  # short names, fixed by the table
     lists = stored(postings(reps, num, den, most), "postings")
 
     # first round: every list's pivot with its other members
@@ -223,11 +273,16 @@ def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most:
     more = verified(pairs, reps, num, den).union(dense_links(rest.filter(F.col("_size") > long_list), reps, num, den, block))
     groups = grouped(groups.select(F.col("_k").alias("_a"), F.col("_c").alias("_b")).union(more), "components")
 
-    named = reps.join(groups, "_k", "left").select("_k", "_least", F.coalesce("_c", "_k").alias("_component"))
+    named = reps.join(groups, "_k", "left").select("_k", "_name", "_least", "_copies", F.coalesce("_c", "_k").alias("_component"))
     least = named.groupBy("_component").agg(F.min("_least").alias("_component_id"))
-    named = stored(named.join(least, "_component").select(F.col("_k").alias("_r"), "_component", "_component_id"), "named")
+    named = named.join(least, "_component").select("_k", F.col("_name").alias("_r"), "_component", "_component_id", (F.col("_copies") - 1).alias("_n_links"))
+    if links:
+        counts = link_counts(groups, reps, num, den, LINK_BLOCK)
+        named = named.join(counts, "_k", "left").withColumn("_n_links", F.col("_n_links") + F.coalesce("_links", F.lit(0))).drop("_links")
+    named = stored(named.drop("_k"), "named")
     out = rows.withColumn("_k", F.when(F.col("_shared").isNotNull(), F.col("_k"))).join(named, F.col("_k") == F.col("_r"), "left")
-    return out.select("_id", "_hash", "_n", "_component", F.when(F.col("_component").isNull(), F.col("_id")).otherwise(F.col("_component_id")).alias("_component_id"))
+    out = out.select("_id", "_hash", "_n", "_component", F.when(F.col("_component").isNull(), F.col("_id")).otherwise(F.col("_component_id")).alias("_component_id"), F.coalesce("_n_links", F.lit(0)).alias("_n_links"))
+    return out if links else out.drop("_n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -236,8 +291,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int
     kept = classes.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("_id"), F.col("_hash").alias("_hash"))).alias("_w"))
     marks = classes.select("_id", "_hash").distinct().join(kept.select(F.col("_w._id").alias("_wi"), F.col("_w._hash").alias("_wh")), F.col("_id").eqNullSafe(F.col("_wi")) & (F.col("_hash") == F.col("_wh")), "left")
     marks = marks.select(F.col("_id").alias("_mark_id"), F.col("_hash").alias("_mark_hash"), F.col("_wh").isNotNull().alias("_stays"))
-    names = docs.columns
-    rows = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_hash": F.xxhash64(text_col)})
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(own.alias("_doc"), F.col(id_col).cast("long").alias("_row_id"), F.xxhash64(text_col).alias("_row_hash"))
     rows = rows.join(marks, F.col("_row_id").eqNullSafe(F.col("_mark_id")) & (F.col("_row_hash") == F.col("_mark_hash")), "left").filter(F.coalesce("_stays", F.lit(True)))
     copy = F.row_number().over(Window.partitionBy("_row_id", "_row_hash").orderBy(F.lit(1)))
-    return rows.withColumn("_copy", copy).filter(F.col("_stays").isNull() | (F.col("_copy") == 1)).select(*[F.col(f"`{c}`") for c in names])
+    return rows.withColumn("_copy", copy).filter(F.col("_stays").isNull() | (F.col("_copy") == 1)).select("_doc.*")

@@ -47,8 +47,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=9, den=10)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component_id").alias("component_id"))
+    out = jaccard.labelled(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=9, den=10, links=True)
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component_id").alias("component_id"), F.col("_n_links").alias("n_links"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ def sets(text, width):
 
 
 def brute(docs, width, num, den):
-    """docs: (id, text); returns (id, size, smallest id of the component) of each row."""
+    """docs: (id, text); returns (id, size, smallest id of the component, number of links) of each row."""
     s = [sets(t, width) for _, t in docs]
-    up = list(range(len(docs)))
+    up, links = list(range(len(docs))), [0] * len(docs)
 
     def top(i):
         while up[i] != i:
@@ -36,18 +36,20 @@ def brute(docs, width, num, den):
             both = len(s[i] & s[j])
             if both and den * both >= num * (len(s[i]) + len(s[j]) - both):
                 up[top(i)] = top(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
-    return [(d, len(s[i]), least.get(top(i))) for i, (d, _) in enumerate(docs)]
+    return [(d, len(s[i]), least.get(top(i)), links[i]) for i, (d, _) in enumerate(docs)]
 
 
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     got = sorted(map(tuple, queries.op7_ngram_jaccard(spark, SF).collect()))
     assert got == sorted(brute(docs, 3, 9, 10))
-    assert any(a != c for a, _, c in got)
+    assert any(a != c for a, _, c, _ in got) and max(r[3] for r in got) > 1
 
 
 def test_random_near_copies(spark, monkeypatch):
@@ -65,10 +67,14 @@ def test_random_near_copies(spark, monkeypatch):
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_n", F.lit("x")).repartition(3)
     for width, num, den, long_list, block in ((3, 9, 10, 64, 512), (5, 4, 5, 3, 4), (2, 1, 2, 1, 512)):
+        monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", 400 * block)
         want = brute(docs, width, num, den)
-        got = jaccard.labelled(df, width, num, den, long_list=long_list, block=block).collect()
-        assert sorted((r._id is None, r._id, r._n, r._component_id) if r._id is not None else (True, 0, r._n, r._component_id) for r in got) == sorted((d is None, d or 0, n, c) for d, n, c in want)
-    kept = jaccard.drop_near_duplicates(df).collect()
-    comps = {(d, c) for d, _, c in brute(docs, 5, 4, 5)}
+        got = jaccard.labelled(df, width, num, den, long_list=long_list, block=block, links=True).collect()
+        assert sorted((r._id is None, r._id or 0, r._n, r._component_id, r._n_links) for r in got) == sorted((d is None, d or 0, n, c, k) for d, n, c, k in want)
+    clash = ("_doc", "_row_id", "_row_hash", "_copy", "_stays", "_mark_id", "_component", "_id", "_hash")
+    kept = jaccard.drop_near_duplicates(df.withColumns({c: F.lit("x") for c in clash})).collect()
+    assert all(r[c] == "x" for r in kept for c in clash)
+    comps = {(d, c) for d, _, c, _ in brute(docs, 5, 4, 5)}
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in comps})
     assert jaccard.drop_near_duplicates(df.limit(0)).count() == 0
