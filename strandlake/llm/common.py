@@ -183,7 +183,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 
 #: Text bytes that are hashed together in a task, and text bytes for each bucket of keys (which bounds a task's memory).
 #: Where executors have more memory than 3 GB, both may be raised by the session, so that blocks stay large in larger tables.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 12 << 20
 CHUNK_SETTING, BUCKET_SETTING = "strandlake.chunkBytes", "strandlake.bucketBytes"
 #: Tasks that the buckets are dealt to, at most; a task takes its buckets one after the other.
 MOST_TASKS = 8192

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import buffers, mix, numbers, prefix_hash, repeated, slices, span_hash, stored, with_repeated, word_hashes, word_spans
 
 #: Bytes of sets in a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Sets in a block of those whose links are counted.
-LINK_BLOCK = 1024
+LINK_BLOCK = 512
 OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 
