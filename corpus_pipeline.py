@@ -54,8 +54,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a null source is one of its own; an empty table stays empty; columns named like an added one are replaced."""
     added = {"_copy": "copy", "_words": "taken", "_position": "position", "_target": "target"}
     docs = docs.drop(*added.values())
-    out = mixing.training_order(mixing.mix(docs))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(a).alias(b) for a, b in added.items()))
+    # the document travels as one column, so that no name of its own meets one of the mixture's
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text", "source")
+    out = mixing.training_order(mixing.mix(rows))
+    return out.select("doc.*", *(F.col(a).alias(b) for a, b in added.items()))
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("passages", passages), ("benchmark", benchmark), ("mixing", mixture)]
