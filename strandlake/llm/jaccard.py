@@ -32,6 +32,8 @@ from .common import buffers, mix, numbers, prefix_hash, repeated, slices, span_h
 
 #: Bytes of sets in a block, about.
 BLOCK_BYTES = 4 << 20
+#: Pairs of one set that are verified in one task, about.
+SHARE = 256
 #: Sets in a block of those whose links are counted.
 LINK_BLOCK = 512
 OTHER = np.uint64(0x2545F4914F6CDD1D)
@@ -127,7 +129,12 @@ def verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             yield b.filter(pa.array(keep, pa.bool_())).select(["_a", "_b"])
 
     side = lambda s: reps.select(F.col("_k").alias(s), F.col("_n").alias(f"{s}_n"), F.col("_shared").alias(f"{s}_shared"))
-    return pairs.select("_a", "_b").join(side("_a"), "_a").join(side("_b"), "_b").mapInArrow(exact, "_a long, _b long")
+    # a pivot may have very many pairs: they are dealt over several copies of its set
+    pairs = stored(pairs.select("_a", "_b"), "pairs")
+    shares = pairs.groupBy("_a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SHARE))).alias("_shares"))
+    copies = shares.join(side("_a"), "_a").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
+    dealt = pairs.join(shares, "_a").withColumn("_share", F.pmod(F.xxhash64("_b"), F.col("_shares"))).drop("_shares")
+    return dealt.join(copies, ["_a", "_share"]).join(side("_b"), "_b").mapInArrow(exact, "_a long, _b long")
 
 
 def in_common(x, y) -> np.ndarray:

@@ -68,6 +68,7 @@ def test_random_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_n", F.lit("x")).repartition(3)
     for width, num, den, long_list, block in ((3, 9, 10, 64, 512), (5, 4, 5, 3, 4), (2, 1, 2, 1, 512)):
         monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+        monkeypatch.setattr(jaccard, "SHARE", 2)
         monkeypatch.setattr(jaccard, "BLOCK_BYTES", 400 * block)
         want = brute(docs, width, num, den)
         got = jaccard.labelled(df, width, num, den, long_list=long_list, block=block, links=True).collect()

@@ -75,3 +75,26 @@ def test_stages(spark):
     at = [r.position for r in rows]
     assert at == sorted(at)
     assert sum(r.taken for r in rows) == pytest.approx(sum(len((t or "").split()) for t in kept["benchmark"].values()), rel=0.01)
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, clashing columns and empty tables pass every stage."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "some words here", None, None), (3, "some words here", None, None), (None, "other words " * 30, "en", "a"), (4, "other words " * 30, "en", None)]
+    for name, kind in (("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    clash = ("_id", "_doc", "_k", "_hash", "_copy", "_row_id", "_order", "_source", "_at", "_toxicity", "_spans", "_words", "n_hit")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in clash if c not in ("_at", "_toxicity", "_spans", "_words")})
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        got = docs.collect()
+        ids = [r.doc_id for r in got]
+        assert all(r[c] == "x" for r in got for c in docs.columns if c in clash), name
+        if name == "toxicity":
+            assert len(got) == len(rows)
+        elif name != "mixing":
+            # of the repeated rows one stays; the null id's text is that of id 4
+            assert sorted(ids, key=str) == [1, 2, 3, 4], name
+    assert set(ids) == {3, 4}
