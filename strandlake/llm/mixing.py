@@ -76,9 +76,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES
     (copy, taken, position): the times at which it is read, the words taken then and the training position in 0..1."""
     docs = docs.drop("_size", "_source_size", "_target", "_taken", "_placements")
     order = F.xxhash64(F.lit(seed), F.col(id_col))
-    # the document travels as one column, so that no name of its own meets one of ours
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(own.alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), n_words(F.col(text_col)).alias("_size"), order.alias("_order"))
+    # columns travel by number, so that no name meets one of ours and those that nobody reads are not shuffled
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), n_words(F.col(text_col)).alias("_size"), order.alias("_order"))
     buckets = buckets or bucket_count(rows)
     rows = rows.withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
     sums = rows.groupBy(F.col("_of").alias("_source"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("_words"))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules=SCHEDULES
 
     placed = F.filter(F.array(*map(placement, range(cap))), lambda p: p["taken"] > 0)
     rows = rows.withColumn("_placements", placed).withColumn("_taken", F.aggregate("_placements", F.lit(0).cast("long"), lambda s, p: s + p["taken"]))
-    return rows.select("_doc.*", "_size", "_source_size", "_target", "_taken", "_placements")
+    return rows.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)), "_size", "_source_size", "_target", "_taken", "_placements")
 
 
 def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
