@@ -11,10 +11,16 @@ Neighbouring windows with one anchor form a piece. Pieces meet by anchor and are
 column of all of them, and suffixes of one column are all that must be sorted together. Before that, one exchange of
 anchor hashes finds the anchors that occur twice; other pieces cannot match. Equal pieces within a chunk are sent once.
 
-The bytes decide: hashes only choose what meets, besides equal pieces of one chunk, found by 128 bits.
+A passage that very many different documents share gives its anchors more pieces than one task should sort. Of an anchor
+with more than HOT pieces, the windows' 128-bit hashes are dealt over all tasks instead and counted there, as exactly and
+with one entry for each chunk and window. So no task holds a group that grows with the input.
+
+The bytes decide: hashes only choose what meets, besides equal pieces of one chunk and windows of hot anchors. The files of
+a construction are scratch of the task, like a sort's spill: nothing else reads them and they go with it.
 
 Defined cases: null, empty and short texts lose nothing; repeated rows are separate documents and so repeat each other;
-null ids are ids like others; an empty table gives an empty result; columns named like an added one are replaced. What is
+null ids are ids like others; a text longer than a chunk is
+read in segments that overlap by a window; an empty table gives an empty result; columns named like an added one are replaced. What is
 left may be invalid UTF-8, so it is returned as binary.
 """
 
@@ -32,11 +38,26 @@ from pyspark.sql import types as T
 from .common import BASE, BASE_INVERSE, BYTE_VALUES, binary_array, buffers, mix, n_buckets, n_tasks, numbers, prefix_hash, repeated, slices, span_hash, stored, with_repeated
 from .substring import ROUTE_BASE, ROUTE_INVERSE
 
-#: Pieces whose suffixes are sorted together; all pieces of one anchor stay together.
-COLLECTION = 1 << 14
+#: Pieces whose suffixes are sorted together, and pieces of one anchor beyond which its windows are counted by their hashes.
+COLLECTION, HOT = 1 << 14, 1 << 14
 #: Text bytes whose anchors are found at once: every byte needs some 64 for that.
 CHUNK = 3 << 19
+#: Low bits of a hash that give way to the place, so that the least is the leftmost of equal ones.
+_PLACE = np.uint64((1 << 22) - 1)
 _PIECES = "_key long, _id long, _hash long, _start int, _left int, _bytes binary, _runs binary"
+_FOUND = "_id long, _hash long, _runs binary, _start int, _windows binary"
+
+
+def segments(off: np.ndarray, length: int):
+    """(first byte, last byte, text offsets) of what is hashed at once: the whole, or stretches of a text longer than a chunk.
+
+    Stretches share length - 1 bytes, so every window stands in one of them; how a text is cut depends on it alone."""
+    if off[-1] <= CHUNK:
+        yield 0, int(off[-1]), off
+        return
+    for x in range(0, int(off[-1]) - length + 1, CHUNK):
+        y = min(x + CHUNK + length - 1, int(off[-1]))
+        yield x, y, np.array([0, y - x])
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int, anchor: int):
@@ -50,7 +71,7 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int, anchor: int):
         return np.zeros(0, np.uint64), none, none, none, np.zeros(len(off), np.int64), prefix
     at = np.arange(n)
     hashes = span_hash(prefix, at, at + anchor)
-    low = np.uint64((1 << int(n).bit_length()) - 1)
+    low = max(_PLACE, np.uint64((1 << int(n).bit_length()) - 1))
     ranked = np.full(-(-n // wide) * wide, np.iinfo(np.uint64).max)
     ranked[:n] = hashes & ~low | at.astype(np.uint64)
     by = ranked.reshape(-1, wide)
@@ -115,38 +136,48 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 
     def keyer(data, off):
-        keys, *_, first, _ = pieces(data, off, length, anchor)
+        parts = [pieces(data[x:y], lines, length, anchor) for x, y, lines in segments(off, length)]
+        keys = np.concatenate([p[0] for p in parts])
+        first = parts[0][4] if len(parts) == 1 else np.array([0, len(keys)])
         return keys, (mix(keys ^ ROUTE_BASE) >> np.uint64(32)).astype(np.uint32), first
 
     def sent(it):
         for b in it:
             data, off = buffers(b.column("_text"))
-            ids, hashes, at = b.column("_id"), b.column("_hash"), b.column("_at")
             for i, j in slices(off, CHUNK):
-                own, lines = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                keys, low, high, place, first, prefix = pieces(own, lines, length, anchor)
-                chosen = [np.unique(numbers(at[r])) + first[r - i] for r in range(i, j)]
-                doc = np.repeat(np.arange(i, j), [len(x) for x in chosen])
-                pick = np.concatenate(chosen).astype(np.int64) if chosen else np.zeros(0, np.int64)
-                if not len(pick):
-                    continue
-                keys, low, high, place = keys[pick], low[pick], high[pick], place[pick]
-                left, end = place - low, high + length
-                second = prefix_hash(BYTE_VALUES[own], ROUTE_BASE)
-                name = np.stack([span_hash(prefix, low, end) ^ mix(left.astype(np.uint64) + np.uint64(1)), span_hash(second, low, end, ROUTE_INVERSE) ^ (end - low).astype(np.uint64)])
-                order = np.lexsort(name)
-                new = np.concatenate([[True], (name[:, order[1:]] != name[:, order[:-1]]).any(0)])
-                count = np.diff(np.append(np.flatnonzero(new), len(order)))
-                one, copied = order[new], order[np.repeat(count > 1, count)]
-                one.sort()
-                base = lines[doc - i]
-                size = (end - low)[one]
-                ends = np.cumsum(size)
-                gather = np.arange(ends[-1]) + np.repeat(low[one] - (ends - size), size)
-                yield batch(keys[one].view(np.int64), ids.take(pa.array(doc[one])), hashes.take(pa.array(doc[one])), (low - base)[one], left[one], binary_array(own[gather], np.concatenate([[0], ends]), False), None)
-                if len(copied):
-                    runs = np.stack([(low - base)[copied], (high - base)[copied]], 1).astype("<i4")
-                    yield batch(None, ids.take(pa.array(doc[copied])), hashes.take(pa.array(doc[copied])), None, None, None, pa.array([x.tobytes() for x in runs], pa.binary()))
+                told, upto = [np.unique(numbers(b.column("_at")[r])) for r in range(i, j)], 0
+                for x, y, lines in segments(off[i : j + 1] - off[i], length):
+                    found = pieces(data[off[i] + x : off[i] + y], lines, length, anchor)
+                    whole = len(lines) == j - i + 1 and x == 0 and y == off[j] - off[i]
+                    mine = told if whole else [told[0][(told[0] >= upto) & (told[0] < upto + len(found[0]))] - upto]
+                    upto += len(found[0])
+                    yield from packed(b.slice(i, j - i), data[off[i] + x : off[i] + y], lines, x, found, mine)
+
+    def packed(rows, own, lines, before, found, told):
+        """One row for each different piece among those told of, and one for each told that has an equal beside it."""
+        keys, low, high, place, first, prefix = found
+        doc = np.repeat(np.arange(len(told)), [len(x) for x in told])
+        pick = np.concatenate([x + first[r] for r, x in enumerate(told)]).astype(np.int64)
+        if not len(pick):
+            return
+        ids, hashes = rows.column("_id"), rows.column("_hash")
+        keys, low, high, place = keys[pick], low[pick], high[pick], place[pick]
+        left, end = place - low, high + length
+        second = prefix_hash(BYTE_VALUES[own], ROUTE_BASE)
+        name = np.stack([span_hash(prefix, low, end) ^ mix(left.astype(np.uint64) + np.uint64(1)), span_hash(second, low, end, ROUTE_INVERSE) ^ (end - low).astype(np.uint64)])
+        order = np.lexsort(name)
+        new = np.concatenate([[True], (name[:, order[1:]] != name[:, order[:-1]]).any(0)])
+        count = np.diff(np.append(np.flatnonzero(new), len(order)))
+        one, copied = order[new], order[np.repeat(count > 1, count)]
+        one.sort()
+        base = lines[doc] - before
+        size = (end - low)[one]
+        ends = np.cumsum(size)
+        gather = np.arange(ends[-1]) + np.repeat(low[one] - (ends - size), size)
+        yield batch(keys[one].view(np.int64), ids.take(pa.array(doc[one])), hashes.take(pa.array(doc[one])), (low - base)[one], left[one], binary_array(own[gather], np.concatenate([[0], ends]), False), None)
+        if len(copied):
+            spans = np.stack([(low - base)[copied], (high - base)[copied]], 1).astype("<i4")
+            yield batch(None, ids.take(pa.array(doc[copied])), hashes.take(pa.array(doc[copied])), None, None, None, pa.array([x.tobytes() for x in spans], pa.binary()))
 
     def batch(key, ids, hashes, start, left, raw, runs):
         none = lambda t: pa.nulls(len(ids), t)
@@ -154,6 +185,7 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
 
     def answers(held):
         t = pa.Table.from_batches(held).combine_chunks()
+        take = lambda c, at: t.column(c).combine_chunks().take(pa.array(at))
         raw, off = buffers(t.column("_bytes"))
         start, left = np.asarray(t.column("_start")), np.asarray(t.column("_left"))
         m, size = t.num_rows, np.diff(off)
@@ -170,42 +202,73 @@ def find(docs: DataFrame, length: int, anchor: int, id_col: str, text_col: str)
         y = np.nonzero(edge == -1)[1] - 1
         runs = (np.stack([x, y], 1) + (start + left - (wide - 1))[who][:, None]).astype("<i4")
         if len(who):
-            yield pa.record_batch([t.column("_id").combine_chunks().take(pa.array(who)), t.column("_hash").combine_chunks().take(pa.array(who)), pa.array([r.tobytes() for r in runs], pa.binary())], names=["_id", "_hash", "_runs"])
+            yield answer(take("_id", who), take("_hash", who), pa.array([r.tobytes() for r in runs], pa.binary()))
+
+    def answer(ids, hashes, spans=None, start=None, windows=None):
+        return pa.record_batch([ids, hashes, pa.nulls(len(ids), pa.binary()) if spans is None else spans, pa.nulls(len(ids), pa.int32()) if start is None else start, pa.nulls(len(ids), pa.binary()) if windows is None else windows], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    def windows(b):
+        """Pieces of a hot anchor as the 128-bit hashes of their windows."""
+        data, off = buffers(b.column("_bytes"))
+        count = np.diff(off) - length + 1
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(off[:-1] - (ends - count), count)
+        names = np.stack([span_hash(prefix_hash(BYTE_VALUES[data]), at, at + length), span_hash(prefix_hash(BYTE_VALUES[data], ROUTE_BASE), at, at + length, ROUTE_INVERSE)], 1)
+        return answer(b.column("_id"), b.column("_hash"), None, b.column("_start"), binary_array(names.reshape(-1).view(np.uint8), 16 * np.concatenate([[0], ends]), False))
 
     def sorted_pieces(it):
-        held, n, last = [], 0, None
+        held, n = [], 0  # whole groups that wait for their construction
+        group, size, last = [], 0, None  # the group that is being read; a hot one is passed on as it comes
         for b in it:
-            key = b.column("_key")
-            told = b.filter(key.is_null())
+            told = b.filter(b.column("_key").is_null())
             if told.num_rows:
-                yield told.select(["_id", "_hash", "_runs"])
-            b = b.filter(key.is_valid())
+                yield answer(told.column("_id"), told.column("_hash"), told.column("_runs"))
+            b = b.filter(b.column("_key").is_valid())
+            if not b.num_rows:
+                continue
             keys = np.asarray(b.column("_key"))
-            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            at = 0
-            while at < len(keys):
-                # up to the first change of key after the collection is full
-                room = max(COLLECTION - n, 1)
-                to = len(keys)
-                full = cuts[(cuts >= at + room) | ((cuts == at) & (n >= COLLECTION) & (keys[at] != last))] if n + len(keys) - at >= COLLECTION else cuts[:0]
-                if len(full):
-                    to = int(full[0])
-                if to > at:
-                    held.append(b.slice(at, to - at))
-                    n += to - at
-                    last = keys[to - 1]
-                    at = to
-                if len(full) and n:
+            cuts = np.flatnonzero(np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]]))
+            first = int(cuts[0]) if len(cuts) else len(keys)
+            if first:
+                group.append(b.slice(0, first))
+                size += first
+                if size > HOT:
+                    yield from map(windows, group)
+                    group = []
+            if len(cuts):
+                held += group
+                n += size if group else 0
+                group, size, last = [b.slice(int(cuts[-1]))], len(keys) - int(cuts[-1]), keys[-1]
+                if cuts[-1] > first:
+                    held.append(b.slice(first, int(cuts[-1]) - first))
+                    n += int(cuts[-1]) - first
+                if n >= COLLECTION:
                     yield from answers(held)
                     held, n = [], 0
-        if n:
-            yield from answers(held)
+        if held or group:
+            yield from answers(held + group)
+
+    def window_keyer(data, off):
+        names = data.view("<u8").reshape(-1, 2)
+        return names[:, 0], (names[:, 1] >> np.uint64(32)).astype(np.uint32), off // 16
+
+    def placed(it):
+        """Windows that repeat, as runs of one start each."""
+        for b in it:
+            start = np.asarray(b.column("_start"))
+            at = [np.unique(numbers(x)) + s for x, s in zip(b.column("_at"), start)]
+            yield pa.record_batch([b.column("_id"), b.column("_hash"), pa.array([np.stack([x, x], 1).astype("<i4").tobytes() for x in at], pa.binary())], names=["_id", "_hash", "_runs"])
 
     found = repeated(rows, keyer, False, "_id", "_text", CHUNK)
     chosen = with_repeated(rows, found, "_id", "_text", "inner").select("_id", "_hash", "_text", "_at").mapInArrow(sent, _PIECES)
-    dealt = chosen.repartition(n_tasks(n_buckets(docs, text_col)), F.coalesce("_key", "_hash")).sortWithinPartitions("_key")
-    runs = stored(dealt.mapInArrow(sorted_pieces, "_id long, _hash long, _runs binary"), "runs", release=True)
-    return runs.groupBy("_id", "_hash").agg(F.collect_list("_runs").alias("_at"))
+    # answers have no key: they are dealt by document, so that copies do not meet
+    dealt = chosen.repartition(n_tasks(n_buckets(docs, text_col)), F.coalesce("_key", F.xxhash64("_id", "_hash"))).sortWithinPartitions("_key")
+    found = stored(dealt.mapInArrow(sorted_pieces, _FOUND), "runs", release=True)
+    hot = found.filter(F.col("_windows").isNotNull()).select("_id", "_hash", "_start", "_windows")
+    counted = with_repeated(hot, repeated(hot, window_keyer, False, "_id", "_windows"), "_id", "_windows", "inner")
+    told = found.filter(F.col("_runs").isNotNull()).select("_id", "_hash", "_runs")
+    spans = told.unionByName(counted.select("_id", "_hash", "_start", "_at").mapInArrow(placed, "_id long, _hash long, _runs binary"))
+    return spans.groupBy("_id", "_hash").agg(F.collect_list("_runs").alias("_at"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,14 +286,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = 128, id_col
                 own = data[off[r] : off[r + 1]]
                 if at[r].is_valid:
                     runs = numbers(at[r]).reshape(-1, 2)
-                    edge = np.bincount(runs[:, 0], minlength=len(own) + 1) - np.bincount(runs[:, 1] + length, minlength=len(own) + 1)
-                    hit = np.cumsum(edge)[:-1] > 0
-                    change = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                    own = own[~hit]
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(change[::2], change[1::2])])
+                    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+                    upto = np.maximum.accumulate(runs[:, 1]) + length
+                    new = np.flatnonzero(np.concatenate([[True], runs[1:, 0] > upto[:-1]]))
+                    x, y = runs[new, 0], upto[np.append(new[1:], len(runs)) - 1]
+                    spans.append([{"start": int(p), "end": int(q)} for p, q in zip(x, y)])
+                    kept.append(b"".join(own[p:q].tobytes() for p, q in zip([0, *y], [*x, len(own)])))
                 else:
                     spans.append([])
-                kept.append(own.tobytes())
+                    kept.append(own.tobytes())
                 gone.append(int(off[r + 1] - off[r]) - len(kept[-1]))
                 digest.append(hashlib.sha256(kept[-1]).hexdigest())
             yield pa.record_batch([*(b.column(c) for c in names), pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names=[*names, "_n_bytes", "_n_removed", "_spans", "_kept", "_kept_sha256"])

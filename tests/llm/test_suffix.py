@@ -57,3 +57,39 @@ def test_common_prefixes():
         strings = [tuple(s[column : column + 6]) for s in symbols]
         n = Counter(strings)
         assert sorted(found) == [i for i, s in enumerate(strings) if n[s] > 1 and len(s) == 6]
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Groups are held against HOT when they go over the end of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_hot_anchors_and_long_texts(spark, small_batches, monkeypatch):
+    monkeypatch.setattr(suffix, "COLLECTION", 50)
+    monkeypatch.setattr(suffix, "HOT", 20)
+    monkeypatch.setattr(suffix, "CHUNK", 700)
+    rng = random.Random(6)
+    some = lambda n, of="abcdefgh": "".join(rng.choice(of) for _ in range(n))
+    passage = some(90)
+    # a passage of very many documents, within differing neighbours, and texts of many segments that repeat in and over them
+    docs = [(i, some(30 + i % 7) + passage + some(30)) for i in range(120)] + [(i, passage[:60]) for i in range(120, 150)]
+    long = some(3000)
+    docs += [(200, long), (201, some(11) + long[650:1500] + long[650:760]), (202, some(2000, "ab")), (203, some(2500) + "é" * 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for length, anchor in ((30, 20), (40, 13)):
+        got = suffix.remove_repeats(df, length, anchor).collect()
+        assert sorted([(r.doc_id, r._n_bytes, r._n_removed, len(r._spans), r._kept_sha256) for r in got], key=str) == brute(docs, length)
+
+
+def test_hot_windows_are_reached(spark, small_batches, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 20)
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(90))
+    docs = [(i, f"{i:040d}" + passage + f"{i:040d}") for i in range(200)]
+    seen = []
+    monkeypatch.setattr(suffix, "repeated", lambda rows, keyer, later, i, t, *a: (seen.append(rows.count()) if t == "_windows" else None) or common.repeated(rows, keyer, later, i, t, *a))
+    got = suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 30, 20).collect()
+    assert seen[0] > 0 and sorted([(r.doc_id, r._n_bytes, r._n_removed, len(r._spans), r._kept_sha256) for r in got], key=str) == brute(docs, 30)
