@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, jaccard, lm, mixing, substring, suffix, topk, toxicity, warc
+from . import align, decontam, html_text, jaccard, langid, lm, mixing, negatives, substring, suffix, topk, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -68,7 +68,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_html_text, op3_warc, op4_exact_topk, op5_curriculum_mix, op6_decontaminate, op7_ngram_jaccard, op8_suffix_dedup, op9_toxicity, op10_substring_dedup)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = crc_mod(F.col("doc_id"), 4)
+    out = langid.predict(docs.select("doc_id", "text"), langid.train(docs, rest != 2))
+    return out.select("doc_id", (rest == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(F.col(f"_{x}").alias(x) for x in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), F.col("_groups").alias("groups_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_html_text, op3_warc, op4_exact_topk, op5_curriculum_mix, op6_decontaminate, op7_ngram_jaccard, op8_suffix_dedup, op9_toxicity, op10_substring_dedup, op11_language_id, op12_hard_negatives, op13_token_align)}
 #: Upper and lower case of A-Z for SQL's translate().
 _CASES = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BENCH_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -112,4 +129,16 @@ ORACLE_SQL: dict[str, str] = {
               FROM x LEFT JOIN h ON x.doc_id = h.doc_id AND x.p = h.p GROUP BY 1)
         SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id""",
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS alike, c.vec_id, list_dot_product(a.v, c.v)::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE alike),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id
+              WHERE k <= 5 AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
