@@ -42,8 +42,8 @@ from .common import buffers, slices, stored
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 A_SETTING, B_SETTING = "strandlake.byteTokenizer", "strandlake.pieceTokenizer"
 STRIPES = 192
-#: Bytes of text encoded together, units a task remembers, and links of a stripe in one task, about.
-CHUNK, CACHE, PART_LINKS = 3 << 20, 150_000, 1 << 27
+#: Bytes of text encoded together, and links of a stripe in one task, about.
+CHUNK, PART_LINKS = 3 << 20, 1 << 27
 #: Bits of an id in a key of two ids.
 ID_BITS = 20
 _ID = np.uint64((1 << ID_BITS) - 1)
@@ -94,18 +94,30 @@ class Pair:
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         if max(len(tokens), len(pieces)) > 1 << ID_BITS:
             raise ValueError(f"ids of more than {ID_BITS} bits")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
 
-    def encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of both sides, as uint32, of units that begin with a space."""
-        new = [u for u in units if u not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = units
-        a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        b = self.b.encode([u[1:] for u in new], num_threads=1) if new else []
-        self.cache.update((u, (np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes())) for u, x, y in zip(new, a, b))
-        return [self.cache[u] for u in units]
+    def encode(self, units: list[str], size: np.ndarray, joins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of all units on either side, and how many each has.
+
+        Units begin with a space and have `size` bytes; those that `joins` may stand one after the other in a call of A."""
+        together, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        some = [units[k] for k in together.tolist()]
+        ids, _ = flat([x.ids for x in self.a.encode_batch_fast(["".join(some[k : k + 64]) for k in range(0, len(some), 64)], add_special_tokens=False)])
+        ends, cuts = np.cumsum(self.a_bytes.size[ids]), np.cumsum(size[together])
+        if len(cuts) and (not len(ends) or ends[-1] != cuts[-1]):  # A has changed a text
+            together, alone, ids, ends, cuts = together[:0], np.arange(len(units)), ids[:0], ends[:0], cuts[:0]
+        rest, n_rest = flat([x.ids for x in self.a.encode_batch_fast([units[k] for k in alone.tolist()], add_special_tokens=False)])
+        n = np.zeros(len(units), np.int64)
+        n[together] = np.diff(np.searchsorted(ends, cuts, "right"), prepend=0)
+        n[alone] = n_rest
+        first = np.zeros(len(units), np.int64)
+        first[together], first[alone] = np.cumsum(n[together]) - n[together], len(ids) + np.cumsum(n_rest) - n_rest
+        return [(np.concatenate([ids, rest])[spread(first, n)], n), flat(self.b.encode([u[1:] for u in units], num_threads=1))]
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and how many each list has."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum())), n
 
 
 @functools.lru_cache(maxsize=1)
@@ -149,9 +161,10 @@ class Units:
     """What each different unit of a segment holds: figures, groups as text, and its links as keys with their number."""
 
     def __init__(self, units: list[str], raw: np.ndarray, size: np.ndarray, tools: Pair):
-        ids = tools.encode(units)
-        a, b = (np.frombuffer(b"".join(x[k] for x in ids), "<u4").astype(np.int64) for k in range(2))
-        n_a, n_b = (np.array([len(x[k]) // 4 for x in ids], np.int64) for k in range(2))
+        last = np.cumsum(size)
+        # one that goes on with no white space after its space, and ends with none, has the same tokens between others
+        joins = (size > 1) & _SAFE[raw[np.minimum(last - size + 1, max(len(raw) - 1, 0))]] & (raw[last - 1] > 32)
+        (a, n_a), (b, n_b) = tools.encode(units, size, joins)
         self.good = self.same(a, n_a, tools.a_bytes, raw, size) & self.same(b, n_b, tools.b_bytes, raw, size)
         a, b = a[np.repeat(self.good, n_a)], b[np.repeat(self.good, n_b)]
         n_a, n_b = n_a * self.good, n_b * self.good
@@ -218,7 +231,7 @@ def unit_starts(data: np.ndarray, first: np.ndarray, cuts: bool) -> np.ndarray:
 def segment(data: np.ndarray, first: np.ndarray, tools: Pair):
     """Figures, groups and links of the texts that begin at `first`, each with its space.
 
-    Returns whether each text is good, its figures, its groups as lists of bytes, and (text, key, times) of its links."""
+    Returns whether each text is good, its figures, its groups as bytes, and (text, key, times) of its links."""
     starts = unit_starts(data, first, tools.cuts)
     raw = np.append(starts, len(data)).astype(np.int64)
     coded = pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -230,7 +243,7 @@ def segment(data: np.ndarray, first: np.ndarray, tools: Pair):
     good = np.add.reduceat(~own.good[unit], at) == 0
     figures = [np.add.reduceat(x[unit], at) * good for x in own.figures]
     order = unit.tolist()
-    texts = [[own.texts[k] for k in order[i : i + m]] if g else [] for i, m, g in zip(at.tolist(), n.tolist(), good.tolist())]
+    texts = [b"".join(map(own.texts.__getitem__, order[i : i + m])) if g else b"" for i, m, g in zip(at.tolist(), n.tolist(), good.tolist())]
     text = np.repeat(np.arange(len(first)), n)
     inside = good[text]
     held, times = np.unique(text[inside] * len(own.good) + unit[inside], return_counts=True)
@@ -261,12 +274,12 @@ def long_text(data: np.ndarray, tools: Pair, most: int):
         if not good:
             break
         total = [x + int(y[0]) for x, y in zip(total, figures)]
-        parts += [b"".join(texts[0])]
+        parts.append(texts[0])
         keys, at = np.unique(np.concatenate([keys, links[1]]), return_inverse=True)
         times = np.bincount(at, np.concatenate([times, links[2]]), len(keys)).astype(np.int64)
     if not good:
-        return np.array([False]), [np.zeros(1, np.int64) for _ in _FIGURES], [[]], (np.zeros(0, np.int64), keys[:0], times[:0])
-    return np.array([True]), [np.array([x]) for x in total], [parts], (np.zeros(len(keys), np.int64), keys, times)
+        return np.array([False]), [np.zeros(1, np.int64) for _ in _FIGURES], [b""], (np.zeros(0, np.int64), keys[:0], times[:0])
+    return np.array([True]), [np.array([x]) for x in total], [b"".join(parts)], (np.zeros(len(keys), np.int64), keys, times)
 
 
 # --- packed columns ---------------------------------------------------------------------------------------------------
@@ -330,34 +343,28 @@ def encoded(docs: DataFrame, names: tuple[str, str], stripes: int, chunk: int, g
                 number += 1
                 size = np.diff(off[i : j + 1])
                 full = np.flatnonzero(size)
-                good, figures, texts = np.zeros(j - i, bool), [np.zeros(j - i, np.int64) for _ in _FIGURES], [[]] * (j - i)
+                figures, texts = [np.zeros(j - i, np.int64) for _ in _FIGURES], [b""] * (j - i)
                 links = None
                 if len(full):
                     own = data[off[i] : off[j]]
                     starts = off[i:j][full] - off[i]
                     spaced = np.insert(own, starts, 32)
                     done = long_text(spaced, tools, chunk) if len(full) == 1 and len(spaced) > 2 * chunk else segment(spaced, starts + np.arange(len(full)), tools)
-                    good[full] = done[0]
                     for x, y in zip(figures, done[1]):
                         x[full] = y
-                    texts = [[]] * (j - i)
                     for k, x in zip(full.tolist(), done[2]):
                         texts[k] = x
                     links = full[done[3][0]], done[3][1], done[3][2]
-                for rows in doc_rows(home, ids.slice(i, j - i), figures, texts):
-                    yield rows
+                yield doc_rows(home, ids.slice(i, j - i), figures, texts)
                 if links is not None and len(links[0]):
                     found = list(packed_links(*links, stripes))
-                    none = [pa.nulls(len(found), f.type) for f in batch.schema.empty_table().select(["_id"]).schema]
-                    yield pa.record_batch([pa.array([home] * len(found), pa.int64()), pa.array([1] * len(found), pa.int32()), pa.array([x[0] for x in found], pa.int32()), *none, *(pa.nulls(len(found), pa.int64()) for _ in _FIGURES), pa.nulls(len(found), pa.string()), *(pa.array([x[k] for x in found], pa.binary()) for k in range(1, 6))], names=schema.names)
+                    none = pa.nulls(len(found), ids.type)
+                    yield pa.record_batch([pa.array([home] * len(found), pa.int64()), pa.array([1] * len(found), pa.int32()), pa.array([x[0] for x in found], pa.int32()), none, *(pa.nulls(len(found), pa.int64()) for _ in _FIGURES), pa.nulls(len(found), pa.string()), *(pa.array([x[k] for x in found], pa.binary()) for k in range(1, 6))], names=schema.names)
 
     def doc_rows(home, ids, figures, texts):
         n = len(texts)
-        said = []
-        for x in texts:
-            text = b"".join(x)[:-1]
-            said.append(text.decode() if groups else hashlib.sha256(text).hexdigest() if x else "")
-        yield pa.record_batch([pa.array([home] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), ids, *(pa.array(x, pa.int64()) for x in figures), pa.array(said, pa.string()), *(pa.nulls(n, pa.binary()) for _ in range(5))], names=schema.names)
+        said = [x[:-1].decode() if groups else hashlib.sha256(x[:-1]).hexdigest() if x else "" for x in texts]
+        return pa.record_batch([pa.array([home] * n, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), ids, *(pa.array(x, pa.int64()) for x in figures), pa.array(said, pa.string()), *(pa.nulls(n, pa.binary()) for _ in range(5))], names=schema.names)
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return stored(rows.mapInArrow(encode, schema), "tokens")
