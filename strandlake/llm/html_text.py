@@ -4,15 +4,16 @@ Every node of a page has the characters C and tags T of its subtree and those in
 C / T * log(C / LC * T / LT) / log(log(C * LC / (C - LC) + LCb / Cb * C + e)), with LCb / Cb those of the body: many
 characters for each tag count, links count against. A node's density sum is the sum of its children's. The node of the
 largest sum is the core; the smallest density on the path from the body to it is the threshold. The text is the subtree of
-the core (or of the article element around it), without parts whose characters are mostly links and whose density is below
-the threshold, and with those neighbours of the core that reach the threshold: of any tag and class if they hold a tenth of
-the core's text, else headings, paragraphs, lists, tables and elements named like the core.
+the core (or of the article element around it, with other article elements of a tenth of its text), without parts whose
+characters are mostly links and whose density is below the threshold, and with neighbours of the nodes on the path: of any
+tag and class if they hold a tenth of the text of the node they stand beside and they or a child have half of the threshold
+(a shorter part is less dense), and headings, paragraphs, lists, tables and elements of the same name that reach the threshold itself.
 
-Elements that are no article by their tag or role, or are hidden (menus, headers, footers, forms, scripts, styles), are left
-out before. Those whose class, id or role says so (sidebars, adverts, comments of readers) are left out where they are
+Elements that are no article by their tag, or are hidden (menus, headers, footers, scripts, styles), are left out before.
+Those whose class, id or role says so (sidebars, adverts, notices, comments of readers), and asides and forms, are left out where they are
 mostly links, hold at most half of the page's text outside links, or stand beside an article element (else a main one) of a
 tenth of their text; where less than a tenth of that text would stay, only
-those that are mostly links. Words after has, with, without and no in a name say nothing. Character references are decoded, white space in a
+those that are mostly links; notices on cookies are left out whatever their size, as long as a tenth of the page stays. Words after has, with, without and no in a name say nothing. Character references are decoded, white space in a
 block becomes one space, blocks are joined by line feeds.
 
 Pages are parsed one by one in Arrow batches, with a stack and no recursion; a page is the unit that a task must hold.
@@ -35,12 +36,16 @@ from pyspark.sql import types as T
 # Names of elements and of their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
-NO_ARTICLE = frozenset("head nav footer header aside form button select option fieldset dialog menu template svg math canvas object audio video label datalist".split())
+NO_ARTICLE = frozenset("head nav footer header button select option dialog menu template svg math canvas object audio video datalist".split())
+#: Elements that are no article where they are small or mostly links, as if their names said so.
+MAYBE_ARTICLE = frozenset("aside form fieldset label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 ENDS_P = BLOCK - frozenset("tbody tfoot thead tr caption body html head".split())
 #: An element that begins ends an open one of these, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement adverting advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr popup modal overlay comment comments disqus respond replies sharing social related recommended recommendation recommendations teaser newsletter subscribe subscription signup login search pagination pager toolbar copyright disclaimer complementary contentinfo skip".split())
+NO_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement adverting advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr popup modal overlay comment comments disqus respond replies sharing social related recommended recommendation recommendations teaser newsletter subscribe subscription signup login search pagination pager toolbar copyright disclaimer complementary contentinfo skip notice notices alert alerts".split())
+#: What these name is never the article while a tenth of the page's text stands elsewhere.
+NEVER_ARTICLE_WORDS = frozenset("cookie cookies consent gdpr".split())
 #: What follows these in a name does not tell what the element is.
 NOT_OWN = frozenset("has have with without no not".split())
 NEVER_LEFT_OUT = frozenset("html body main article h1 h2 h3 p".split())
@@ -59,16 +64,18 @@ def parsed(attributes: str) -> dict[str, str]:
     return out
 
 
-def no_article(tag: str, attributes: dict[str, str], in_article: bool, forms: bool) -> bool:
-    if tag in NO_ARTICLE and not (tag == "header" and in_article) and not (forms and tag in ("form", "fieldset", "label")):
+def no_article(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    if tag in NO_ARTICLE and not (tag == "header" and in_article):
         return True
     if not attributes or tag in NEVER_LEFT_OUT:
         return False
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(HIDDEN_STYLE.search(attributes.get("style", "")))
 
 
-def named_so(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether a class, id or role has one of the words of what is no article."""
+def named_so(tag: str, attributes: dict[str, str], words: frozenset[str] = NO_ARTICLE_WORDS) -> bool:
+    """Whether a class, id or role has one of the words, by default those of what is no article."""
+    if words is NO_ARTICLE_WORDS and tag in MAYBE_ARTICLE:
+        return True
     if not attributes or tag in NEVER_LEFT_OUT:
         return False
     for key in ("class", "id", "role"):
@@ -76,14 +83,15 @@ def named_so(tag: str, attributes: dict[str, str]) -> bool:
             for w in WORD.findall(name):
                 if w.lower() in NOT_OWN:
                     break
-                if w.lower() in NO_ARTICLE_WORDS:
+                if w.lower() in words:
                     return True
     return False
 
 
-def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tuple[int, str | None]], list[int]]:
-    """Nodes (parent, tag, class), in page order pieces (node, text), None for a break between blocks, and nodes named like no article."""
-    nodes, pieces, named, stack = [(-1, "#", "")], [], [], [0]
+def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str | None]], dict[int, bool]]:
+    """Nodes (parent, tag, class), in page order pieces (node, text), None for a break between blocks, and nodes named like no
+    article with whether that holds for any size."""
+    nodes, pieces, named, stack = [(-1, "#", "")], [], {}, [0]
     at, out, articles = 0, 0, 0  # out: depth of the stack where what is left out began
     places: dict[str, list[int]] = {}  # depths of the open elements of each tag
     blocks: list[int] = []  # depths of the open blocks
@@ -147,10 +155,10 @@ def parse(page: str, forms: bool) -> tuple[list[tuple[int, str, str]], list[tupl
                 places.setdefault(tag, []).append(len(stack) - 1)
                 if tag in BLOCK:
                     blocks.append(len(stack) - 1)
-                if not out and no_article(tag, attributes, articles > 0, forms):
+                if not out and no_article(tag, attributes, articles > 0):
                     out = len(stack) - 1
                 if not out and named_so(tag, attributes):
-                    named.append(stack[-1])
+                    named[stack[-1]] = named_so(tag, attributes, NEVER_ARTICLE_WORDS)
                 articles += tag == "article"
         if not out:
             if tag in BLOCK:
@@ -184,7 +192,8 @@ def without_named(nodes, pieces, named):
         articles[nodes[i][0]] += articles[i]
     heavy = {i for i in named if 2 * links[i] > chars[i]}
     beside = {i for i in named if not within[i] and plain[i] <= 10 * (articles[0] - articles[i])}
-    for left_out in ({i for i in named if 2 * plain[i] <= plain[0]} | beside | heavy, heavy):
+    never = {i for i in named if named[i]}
+    for left_out in ({i for i in named if 2 * plain[i] <= plain[0] - sum(plain[x] for x in never)} | beside | heavy | never, {i for i in named if 2 * plain[i] <= plain[0]} | beside | heavy, heavy):
         gone = [False] * len(nodes)
         for i in range(1, len(nodes)):
             gone[i] = i in left_out or gone[nodes[i][0]]
@@ -221,17 +230,17 @@ def densities(nodes, pieces, body: int):
     return chars, link_chars, density, sums
 
 
-def extract(page: str | None, forms: bool = False) -> str:
+def extract(page: str | None) -> str:
     if not page:
         return ""
-    nodes, pieces, named = parse(page, forms)
+    nodes, pieces, named = parse(page)
     if named:
         pieces = without_named(nodes, pieces, named)
     n = len(nodes)
     body = next((i for i, x in enumerate(nodes) if x[1] == "body"), 0)
     chars, link_chars, density, sums = densities(nodes, pieces, body)
     if not chars[0]:
-        return "" if forms or "<form" not in page.lower() else extract(page, True)
+        return ""
     core = max(range(n), key=lambda i: (sums[i], -i))
     if not sums[core]:
         core = body
@@ -239,12 +248,27 @@ def extract(page: str | None, forms: bool = False) -> str:
     while path[-1] not in (0, body):
         path.append(nodes[path[-1]][0])
     threshold = min(density[i] for i in path)
-    roots = {next((i for i in path if nodes[i][1] == "article"), core)}
-    if roots == {core} and core not in (0, body):
-        # parts of the article beside the core, whatever their tag and class: as dense as the path, mostly no links, and
-        # with a tenth of the core's text or more
-        plain = [c - x for c, x in zip(chars, link_chars)]
-        roots |= {i for i in range(n) if nodes[i][0] == nodes[core][0] and density[i] >= threshold and 2 * link_chars[i] <= chars[i] and (10 * plain[i] >= plain[core] or nodes[i][1:] == nodes[core][1:] or nodes[i][1] in ("p", "h1", "h2", "h3", "ul", "ol", "blockquote", "pre", "table"))}
+    plain = [c - x for c, x in zip(chars, link_chars)]
+    article = next((i for i in path if nodes[i][1] == "article"), None)
+    if article is not None:
+        # its fellows that no article holds, where they have a tenth of its text
+        inside = [False] * n
+        for i in range(1, n):
+            inside[i] = inside[nodes[i][0]] or nodes[nodes[i][0]][1] == "article"
+        roots = {article} | {i for i in range(n) if nodes[i][1] == "article" and not inside[i] and 2 * link_chars[i] <= chars[i] and 10 * plain[i] >= plain[article]}
+    else:
+        roots, children = {core}, [[] for _ in nodes]
+        for i in range(1, n):
+            children[nodes[i][0]].append(i)
+        # parts of the article beside the path, whatever their tag and class: mostly no links, a tenth of the text of the
+        # path's node there or more, and as dense as the threshold, where half will do as a shorter part is less dense
+        for at in path:
+            if at in (0, body):
+                break
+            up = nodes[at][0]
+            for i in children[up]:
+                if i != at and 2 * link_chars[i] <= chars[i] and 2 * max([density[i], *(density[c] for c in children[i])]) >= threshold and (10 * plain[i] >= plain[at] or density[i] >= threshold and (nodes[i][1:] == nodes[at][1:] or nodes[i][1] in ("p", "h1", "h2", "h3", "ul", "ol", "blockquote", "pre", "table"))):
+                    roots.add(i)
     kept = [False] * n
     for i in range(n):
         up = nodes[i][0]

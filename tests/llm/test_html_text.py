@@ -52,6 +52,69 @@ def test_rules(page, text):
     assert got == text if text is not None else got.startswith(T)
 
 
+def prose(*sizes, tag="section"):
+    """Sections of so many numbered paragraphs, and their text."""
+    lines, out = [], []
+    for n in sizes:
+        own = [f"Paragraph {len(lines) + k} of a longer piece on rivers and the people who live on their banks, every year." for k in range(n)]
+        lines += own
+        out.append(f"<{tag}>" + "".join(f"<p>{x}</p>" for x in own) + f"</{tag}>")
+    return "".join(out), "\n".join(lines)
+
+
+NAV = "<nav><a href=/>Home</a> <a href=/b>About us</a></nav>"
+
+
+@pytest.mark.parametrize("sizes", [(4, 2), (2, 4), (6, 2, 6), (3, 3), (1, 5, 1), (9, 1), (5, 5, 5, 5)])
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<main>{}</main>", "{}", "<div><div>{}</div></div>"])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_parts_of_any_size_stay(sizes, around, tag):
+    body, text = prose(*sizes, tag=tag)
+    page = f"<html><body>{NAV}{around.format(body)}<footer>Imprint and so on</footer></body></html>"
+    assert html_text.extract(page) == text
+
+
+BODY, TEXT = prose(5)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><div>Site name</div><form>{BODY}</form></body>", TEXT),
+        (f"<body><form><label>Search</label><input name=q></form>{BODY}<form class=x><p>Write to us about this page.</p></form></body>", TEXT),
+        (f"<body>{NAV}<aside>{BODY}</aside></body>", TEXT),
+        (f"<body>{NAV}<aside><article>{BODY}</article></aside></body>", TEXT),
+        (f"<body><article>{prose(3)[0]}</article><article>{BODY}</article></body>", prose(3)[1] + "\n" + TEXT),
+        (f"<body><div class=notice>{P}</div><article>{BODY}</article></body>", TEXT),
+        (f"<body><article><div class='alert alert-info'>{P}</div>{BODY}</article></body>", TEXT),
+        (f"<body><div class=notice>{P}</div><div>{BODY}</div></body>", TEXT),
+        (f"<body><div id=cookie-banner>{prose(12)[0]}</div><article>{BODY}</article></body>", TEXT),
+        (f"<body><div id=cookie-banner>{prose(12)[0]}</div><div>{BODY}</div></body>", TEXT),
+        (f"<body><article>{BODY}<aside>{P}</aside></article></body>", TEXT),
+        (f"<body><div class=cookie-recipes>{BODY}</div></body>", TEXT),
+    ],
+)
+def test_what_surrounds_the_article(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_random_pages_without_an_article_element():
+    """Blocks of prose in random containers between menus, adverts and comments: all prose in order and nothing else."""
+    rng = random.Random(11)
+    for _ in range(150):
+        parts, lines, total = [], [], rng.randrange(4, 12)
+        while len(lines) < total:
+            own = [f"Sentence {len(lines) + k} tells of rivers and of the people who have lived along their banks for many years." for k in range(rng.randrange(1, 4))]
+            lines += own
+            inner = "".join(f"<p>{x}</p>" for x in own)
+            parts.append(rng.choice([inner, f"<div>{inner}</div>", f"<section>{inner}</section>"]))
+        between = [f"<div class=ad><a href=x>{'Buy this now '*3}</a></div>", "<ul class=related>" + "<li><a href=y>Another page to read</a>" * 4 + "</ul>"]
+        parts.insert(rng.randrange(len(parts)), rng.choice(between))
+        around = rng.choice(["<div id=content>{}</div>", "<main>{}</main>", "<div><div class=post>{}</div></div>"])
+        page = f"<html><head><title>x</title></head><body><header>Site</header>{NAV}{around.format(''.join(parts))}<div id=comments><p>I liked this.</p><p>So did I.</p></div><footer>Imprint</footer></body></html>"
+        assert html_text.extract(page) == "\n".join(lines), page
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, 1), (1, P, 2), (None, "<p>", 3)], "page_id long, html string, _text int").withColumn("n_chars", F.lit("x"))
     out = html_text.extract_text(df).collect()
