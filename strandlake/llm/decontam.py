@@ -24,8 +24,8 @@ from .common import lower_ascii, stored
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 RAW_UNIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows whose hashes are broadcast (64 MB); more are shuffled.
-BROADCAST_WINDOWS = 1 << 20
+#: Windows, and bytes of their texts and items as measured, that are broadcast at most; more are shuffled by their hashes.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1 << 20, 64 << 20
 RESULTS = ("_n_words", "_n_hit", "_items", "_spans", "_contaminated")
 
 
@@ -54,7 +54,8 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_
     grams = stored(windows(items, width, item_id, item_text), "windows")
     keys = grams.groupBy("_key", "_len").agg(F.count(F.lit(1)).alias("_texts"))
     lengths = {r["_len"]: r["n"] for r in keys.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).collect()}  # `width` rows at most
-    small = sum(lengths.values()) <= broadcast_windows
+    volume = grams.agg(F.sum(F.octet_length(F.array_join("_gram", " ")) + F.octet_length(F.array_join("_in", " ")) + 64)).first()[0] or 0
+    small = sum(lengths.values()) <= broadcast_windows and volume <= BROADCAST_BYTES
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"), lowered(F.col(text_col)).alias("_words"))
 
     if not lengths:
@@ -66,8 +67,14 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_
         places = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n))
         seen = rows.select("_id", "_text_hash", "_words", F.explode(places).alias("start"))
         window = F.slice("_words", F.col("start") + 1, n)
-        some = seen.join(F.broadcast(own) if small else own, F.xxhash64(window) == F.col("_gram_key"))
-        some = some.select("_id", "_text_hash", "start", (F.col("start") + n).alias("end"), window.alias("_seen"))
+        if small:
+            some = seen.join(F.broadcast(own), F.xxhash64(window) == F.col("_gram_key"))
+            some = some.select("_id", "_text_hash", "start", (F.col("start") + n).alias("end"), window.alias("_seen"))
+        else:  # places and hashes alone are shuffled; the words are fetched once for each document with a hit
+            some = seen.select("_id", "_text_hash", "start", F.xxhash64(window).alias("_window")).join(own, F.col("_window") == F.col("_gram_key")).select("_id", "_text_hash", "start")
+            starts = some.groupBy(F.col("_id").alias("_hit_id"), F.col("_text_hash").alias("_hit_hash")).agg(F.collect_set("start").alias("_starts"))
+            some = rows.join(starts, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_text_hash") == F.col("_hit_hash"))).select("_id", "_text_hash", "_words", F.explode("_starts").alias("start"))
+            some = some.select("_id", "_text_hash", "start", (F.col("start") + n).alias("end"), window.alias("_seen"))
         found = some if found is None else found.unionByName(some)
     texts = grams.select("_key", "_gram", "_in")
     found = found.join(F.broadcast(texts) if small else texts, (F.xxhash64("_seen") == F.col("_key")) & (F.col("_seen") == F.col("_gram")))

@@ -203,3 +203,17 @@ def test_toxicity_one_text_of_an_id(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0)], "doc_id long, toxic int")
     a, b = (toxicity.train(d, labels, min_df=1) for d in (docs, docs.repartition(3)))
     assert (a.weight == b.weight).all() and a.bias == b.bias
+
+
+def test_no_words_in_the_shuffle_of_windows(spark):
+    """Beyond the broadcast, an exchange of windows holds hashes and places; words travel once for each document that is hit."""
+    docs, bench = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "benchmark")
+    found = decontam.hits(docs, bench, broadcast_windows=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "Join Inner" in x and "_window" in x)
+    below = next(x for x in lines[at + 1 :] if "Project" in x)
+    assert "_window" in below and "_words" not in below.split("AS _window")[1] and below.count("_words") == below.split("AS _window")[0].count("_words")
+    names = ("doc_id", "_n_words", "_n_hit", "_items", "_contaminated")
+    both = [sorted((tuple(map(str, (r[c] for c in names))) for r in decontam.decontaminate(docs, bench, broadcast_windows=n).collect())) for n in (0, 1 << 20)]
+    assert both[0] == both[1] and any(r[4] == "True" for r in both[0])
