@@ -92,8 +92,8 @@ def mined(found: DataFrame, total: int, support: int = 15, most: int = 300) -> D
     """The `most` motifs that most records have, at least `support`: records, their share, occurrences, status, the first record."""
     rows = found.groupBy("motif", "atom_count").agg(F.count(F.lit(1)).alias("records"), F.sum("occurrences").alias("matches"), F.min("smiles").alias("example"))
     core = F.col("records") >= F.greatest(F.lit(50), F.ceil(F.lit(total * 0.004)))
-    rows = rows.filter(F.col("records") >= support).withColumn("share", F.col("records") / F.lit(float(total)))
-    return rows.withColumn("status", F.when(core, "accepted_core_candidate").otherwise("accepted_auxiliary_candidate")).orderBy(F.desc("records"), "motif").limit(most)
+    rows = rows.filter(F.col("records") >= support).withColumn("share", F.coalesce(F.try_divide(F.col("records").cast("double"), F.lit(float(total))), F.lit(0.0)))
+    return rows.withColumn("status", F.when(core, "accepted_core_candidate").otherwise("accepted_auxiliary_candidate")).orderBy(F.desc("records"), "atom_count", "motif").limit(most)
 
 
 def clusters(rows: DataFrame, most: int = 50) -> DataFrame:

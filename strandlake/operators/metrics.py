@@ -37,16 +37,16 @@ def key_quality(rows: DataFrame, instance: str, key: str) -> DataFrame:
 
 
 def presence(rows: DataFrame, record: str, label: str, labels: list[str]) -> DataFrame:
-    """A row for each record with a 0 or 1 for each label."""
-    return rows.groupBy(record).agg(*(F.max((F.col(label) == x).cast("int")).alias(x) for x in labels))
+    """A row for each record with a 0 or 1 for each label; a null label is none of them."""
+    return rows.groupBy(record).agg(*(F.coalesce(F.max((F.col(label) == x).cast("int")), F.lit(0)).alias(x) for x in labels))
 
 
 def stability(a: DataFrame, b: DataFrame, record: str, key: str) -> DataFrame:
     """One row: how two views of the same records agree: records, presence, mean Jaccard of their keys, equal counts.
 
-    Keys are joined one by one, so no record's keys are gathered."""
-    side = lambda t, n: t.groupBy(record, key).agg(F.count(F.lit(1)).alias(n))
-    both = side(a, "_a").join(side(b, "_b"), [record, key], "full")
+    Keys are counted one by one, so no record's keys are gathered. A null record is one record, a null key one key."""
+    side = lambda t, x, y: t.select(record, key, F.lit(x).alias("_x"), F.lit(y).alias("_y"))
+    both = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(record, key).agg(F.sum("_x").alias("_a"), F.sum("_y").alias("_b"))
     has = lambda c: F.count(F.when(F.col(c) > 0, 1))
     per = both.groupBy(record).agg(F.count(F.when((F.col("_a") > 0) & (F.col("_b") > 0), 1)).alias("shared"), F.count(F.lit(1)).alias("either"), has("_a").alias("in_a"), has("_b").alias("in_b"), F.min(F.col("_a").eqNullSafe(F.col("_b"))).alias("same"))
     return per.agg(

@@ -54,6 +54,18 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("status") != KEPT).groupBy("exclusive_group", "fragment_id", "by_fragment", "status").agg(F.count(F.lit(1)).alias("instances"), F.avg("overlap").alias("mean_overlap"))
 
 
+def atoms_shared(matches: DataFrame, record: str = "record") -> DataFrame:
+    """(a, b, records, shared_atoms, mean_jaccard, mean_containment): how far two fragments cover the same atoms of a record.
+
+    The atoms of all matches of a fragment in a record are one set; means are over the records that have both. A record has a
+    row for each fragment, so a pair of them is a row for each record, no more."""
+    sets = matches.filter(F.size("atoms") > 0).select(record, "fragment_id", F.explode("atoms").alias("_atom")).groupBy(record, "fragment_id").agg(F.collect_set("_atom").alias("_atoms"))
+    side = lambda x: sets.select(F.col(record).alias("_r"), F.col("fragment_id").alias(x), F.col("_atoms").alias(f"_{x}"))
+    both = side("a").join(side("b"), "_r").filter("a < b").withColumn("_shared", F.size(F.array_intersect("_a", "_b")))
+    either = F.size("_a") + F.size("_b") - F.col("_shared")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("records"), F.sum("_shared").alias("shared_atoms"), F.avg(F.col("_shared") / either).alias("mean_jaccard"), F.avg(F.col("_shared") / F.least(F.size("_a"), F.size("_b"))).alias("mean_containment"))
+
+
 def of_rules(matches: DataFrame, rules, groups: dict[str, str], parents: dict[str, str], with_children: frozenset[str] | None = None, record: str = "smiles") -> DataFrame:
     """Candidates from matches (record, fragment_id, atoms): a rule's priority, group and parent beside each.
 

@@ -85,10 +85,10 @@ def tri_level(raw: DataFrame, spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def coverage_summary(records: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """How many rule types a record has, those without any included."""
+    """How many rule types a record has, those without any included; zeros for no records."""
     types = found.groupBy("record_id").agg(F.count_distinct("fragment_id").alias("types"))
     per = records.select(F.col(id_col).alias("record_id")).join(types, "record_id", "left").fillna(0, ["types"])
-    return per.agg(F.count(F.lit(1)).alias("records"), F.sum(F.when(F.col("types") > 0, 1).otherwise(0)).alias("covered"), F.sum("types").alias("type_total"), F.expr("percentile(types, 0.5)").alias("median_types"))
+    return per.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.when(F.col("types") > 0, 1).otherwise(0)), F.lit(0)).alias("covered"), F.coalesce(F.sum("types"), F.lit(0)).alias("type_total"), F.expr("coalesce(percentile(types, 0.5), 0.0)").alias("median_types"))
 
 
 def selected(counts: DataFrame, total: int | Column, least: int = 50, share: float = 0.004, anchor: str | None = None) -> DataFrame:
@@ -116,6 +116,12 @@ def overlaps(membership: DataFrame, group: str, record: str, min_jaccard: float,
     return out.withColumn("jaccard", jaccard).withColumn("containment", contained).filter((F.col("shared") >= min_shared) & ((jaccard >= min_jaccard) | (contained >= min_containment))).select("a", "b", "n_a", "n_b", "shared", "jaccard", "containment").orderBy(F.desc("jaccard"), "a", "b")
 
 
+def overlap_report(pairs: DataFrame, most: int = 30) -> DataFrame:
+    """The `most` pairs of `overlaps` with the largest Jaccard, then the most shared records, then by name, with their place."""
+    order = (F.desc("jaccard"), F.desc("shared"), F.asc("a"), F.asc("b"))
+    return pairs.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # `most` rows
+
+
 def motifs(rows: DataFrame, support: int, most: int, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
     """Word n-grams with the number of records that have them, the most common ones."""
     # the words are bound once: named inside the inner function they would be split again for each n-gram

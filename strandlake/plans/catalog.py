@@ -224,6 +224,11 @@ def overlap_pairs_audit(spark, sf_dir):
     return rules.overlaps(brands(spark, sf_dir), "p_brand", "l_orderkey", 0.075, 0.9, 25)
 
 
+@query(f"{_PAIRS} SELECT *, row_number() OVER (ORDER BY jaccard DESC, shared DESC, a, b)::INT AS place FROM q WHERE shared >= 25 AND (jaccard >= 0.075::DOUBLE OR containment >= 0.9::DOUBLE) ORDER BY place LIMIT 30")
+def overlap_report(spark, sf_dir):
+    return rules.overlap_report(overlap_pairs_audit(spark, sf_dir))
+
+
 _MOTIF = """w AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i:i + 1], ' ') AS motif FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w)),
     t AS (SELECT motif, count(DISTINCT doc_id) AS records, count(*) AS matches FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 15 ORDER BY 2 DESC, 1 LIMIT 300)"""
 

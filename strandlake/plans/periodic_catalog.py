@@ -142,6 +142,15 @@ def overlap_labels(spark, sf_dir):
     return overlap.labels(overlap.decided(spans(spark, sf_dir))).groupBy("fragment_id").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(f"""WITH {_SPANS}, t AS (SELECT DISTINCT record, fragment_id, unnest(range(lo, hi + 1)) AS atom FROM c), n AS (SELECT record, fragment_id, count(*) AS size FROM t GROUP BY ALL),
+    s AS (SELECT x.record, x.fragment_id AS a, y.fragment_id AS b, count(*) AS shared FROM t x JOIN t y ON x.record = y.record AND x.atom = y.atom AND x.fragment_id < y.fragment_id GROUP BY ALL),
+    p AS (SELECT x.record, x.fragment_id AS a, y.fragment_id AS b, x.size AS n, y.size AS m FROM n x JOIN n y ON x.record = y.record AND x.fragment_id < y.fragment_id)
+    SELECT a, b, count(*) AS records, sum(coalesce(shared, 0)) AS shared_atoms, avg(coalesce(shared, 0) / (n + m - coalesce(shared, 0))::DOUBLE) AS mean_jaccard, avg(coalesce(shared, 0) / least(n, m)::DOUBLE) AS mean_containment
+    FROM p LEFT JOIN s USING (record, a, b) GROUP BY a, b""")
+def atom_overlap(spark, sf_dir):
+    return overlap.atoms_shared(spans(spark, sf_dir))
+
+
 # seed rules on units, groups and parents of the rule set: which fragments give way to which
 @query(f"""{_UNITS} SELECT fragment_id, by_fragment, status, count(*) AS instances FROM u JOIN (VALUES ('C(=O)O', 'FG_CARBONYL', 'FG_ESTER', 'presence_only'), ('C(=O)N', 'FG_CARBONYL', 'FG_AMIDE', 'presence_only')) t(linker, fragment_id, by_fragment, status) USING (linker) GROUP BY 1, 2, 3""")
 def seed_carbonyl_conflicts(spark, sf_dir):

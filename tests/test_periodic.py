@@ -158,3 +158,9 @@ def test_parents_keep_their_label(spark):
     assert {r.fragment_id for r in overlap.labels(done).collect()} == {"ester", "carbonyl"}
     strict = overlap.decided(spark.createDataFrame(rows, _SCHEMA), least=0.9)
     assert {r.fragment_id: r.status for r in strict.collect()}["ether"] == "kept"
+
+
+def test_atoms_shared_by_two_fragments(spark):
+    rows = [("m", "f", [1, 2]), ("m", "f", [2, 3]), ("m", "g", [3, 4]), ("n", "f", [1]), ("n", "g", [1, 2]), ("o", "g", [1]), ("o", "h", None), ("o", "h", [])]
+    got = overlap.atoms_shared(spark.createDataFrame(rows, "record string, fragment_id string, atoms array<int>")).collect()
+    assert [(r.a, r.b, r.records, r.shared_atoms, r.mean_jaccard, r.mean_containment) for r in got] == [("f", "g", 2, 2, pytest.approx((1 / 4 + 1 / 2) / 2), pytest.approx((1 / 2 + 1) / 2))]

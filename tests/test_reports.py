@@ -98,3 +98,20 @@ def test_boundaries_and_ownership(spark):
     df = spark.createDataFrame([(list(k), v) for k, v in cases.items()], "offsets array<int>, want string")
     assert df.filter(metrics.boundary(F.col("offsets")) != F.col("want")).count() == 0
     assert [r.anchor_offset for r in metrics.owned(spark.createDataFrame([(0,), (1,), (-1,)], "anchor_offset int")).collect()] == [0]
+
+
+def test_nulls_and_empty_tables_have_figures(spark):
+    from strandlake.operators import graphs, rules
+
+    views = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("b", "z"), ("b", "z")], "record string, key string")
+    same = metrics.stability(views, views, "record", "key").first()
+    assert (same.records, same.presence_consistency, same.key_jaccard, same.count_consistency, same.new_key_rate) == (3, 1.0, 1.0, 1.0, 0.0)
+    other = metrics.stability(views, views.filter("record = 'a'"), "record", "key").first()
+    assert other.records == 3 and other.presence_consistency == pytest.approx(1 / 3) and other.count_consistency == pytest.approx(1 / 3)
+    rows = spark.createDataFrame([("a", None), ("b", "x"), ("b", None)], "record string, label string")
+    assert {r.record: (r.x, r.y) for r in metrics.presence(rows, "record", "label", ["x", "y"]).collect()} == {"a": (0, 0), "b": (1, 0)}
+    none = spark.createDataFrame([], "record_id long, fragment_id string")
+    got = rules.coverage_summary(spark.createDataFrame([], "doc_id long"), none).first()
+    assert (got.records, got.covered, got.type_total, got.median_types) == (0, 0, 0, 0.0)
+    found = spark.createDataFrame([("s", "m", 2, 1)], "smiles string, motif string, atom_count int, occurrences long")
+    assert graphs.mined(found, 0, 1).first().share == 0.0
