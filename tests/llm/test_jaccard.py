@@ -79,3 +79,14 @@ def test_random_near_copies(spark, monkeypatch):
     comps = {(d, c) for d, _, c, _ in brute(docs, 5, 4, 5)}
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in comps})
     assert jaccard.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_query_against_sql(spark):
+    """All rows of sf0.01: sets, components and links."""
+    duckdb = pytest.importorskip("duckdb")
+    names = ("doc_id", "n_shingles", "component_id", "n_links")
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = c.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLE_SQL['op7_ngram_jaccard']})").fetchall()
+    got = [tuple(r[x] for x in names) for r in queries.op7_ngram_jaccard(spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got) == sorted(want) and sum(r[3] for r in want) > 100
