@@ -10,6 +10,13 @@ LINKERS = {"ECONOMY": "O", "STANDARD": "C(=O)O", "PROMO": "C(=O)N", "SMALL": "c1
 #: Spellings of the two attachment points by key modulo 5.
 SPELLINGS = (("*", "*"), ("[*]", "[*]"), ("[[*]]", "[[*]]"), ("[[[*]]]", "[[[*]]]"), ("[*:1]", "[*:2]"))
 
+#: Groups of wide units: those of every core rule, some twice in other surroundings.
+GROUPS = (
+    "C(=O)N C(=O)NC(=O) C(=O)O O OC(=O)O OC(=O)N NC(=O)N S S(=O)(=O) S(=O) C(C#N) C(O) N N(C) C(N) C(=O) C(C(=O)O) C1CC(C1) c1ccc(s1) C1CCC(C1) c1ccc(cc1) C1CCC(CC1)"
+    " C=C C#C N=N C(Cl) C(F)(F) C(C(F)(F)F) C(C(F)(F)C(F)(F)F) C(=S) C(=S)N NC(=S)N C(=NO) C([N+](=O)[O-]) C(S) [Si](C)(C) [Si](C)(C)O[Si](C)(C) P(C) OP(=O)(O)O P(C)(=NC)"
+    " S(=O)(=O)N S(=O)(=O)O Oc1ccc(cc1) c1ccc(cc1)N=Nc1ccc(cc1) c1ccc(cc1)C#Cc1ccc(cc1) C(c1ccc(cc1)O) C(c1ccc(cc1)C#N) C(c1ccc(cc1)F) C(c1ccc(cc1)C(=O)O) C(c1ccc(cc1)S) C(C)=C"
+).split()
+
 
 def _pick(key: Column, values) -> Column:
     out = F.lit(values[-1])
@@ -44,6 +51,15 @@ def poly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", text.alias("smiles"))
 
 
+def wide_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, first, second, smiles): a unit for each part, two groups in a chain of carbons; several hundred thousand differ."""
+    k, n = F.col("p_partkey"), len(GROUPS)
+    group = lambda i: F.get(F.array(*map(F.lit, GROUPS)), i.cast("int"))
+    chain = lambda length: F.repeat(F.lit("C"), length.cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", group(k % n).alias("first"), group(F.floor(k / n) % n).alias("second"), chain(F.col("p_size") % 6 + 1).alias("_a"), chain(k % 5 + 2).alias("_b"), chain(k % 7 + 1).alias("_c"))
+    return rows.select("p_partkey", "first", "second", F.concat(F.lit("*"), "_a", "first", "_b", "second", "_c", F.lit("*")).alias("smiles"))
+
+
 def property_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(smiles, property_category, property_name, value, unit, ord): many rows for a string, in an order of their own."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
