@@ -1,13 +1,14 @@
-"""Queries of all core rules and their extractors over units of two groups in a chain, each with the SQL that checks it."""
+"""Queries of all core rules and their extractors over units of two groups in a chain, of splits by component and of training
+views, each with the SQL that checks it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extracts, fragments
+from ..operators import extracts, fragments, splits, stats, views
 from ..operators.core_rules import CORE, LADDERS
 from ..sources import poly
-from .catalog import query
+from .catalog import query, read
 
 # worked out by hand from the patterns, for a group between carbons of a chain: group, then rule:raw,normalized,resolved
 _LEVELS = """
@@ -189,3 +190,56 @@ def extractor_main_chain(spark, sf_dir):
     rows = extracts.extracted(fragments.molecules(units(spark, sf_dir)), CORE, LADDERS)
     per = rows.groupBy("smiles", "fragment_id", "on_main_chain").agg(F.count(F.lit(1)).alias("_n"))
     return per.groupBy("fragment_id", "on_main_chain").agg(F.count(F.lit(1)).alias("records"), F.sum("_n").alias("matches"))
+
+
+_KEYS = """k AS (SELECT p_partkey AS record, 'price' AS kind, p_retailprice::VARCHAR AS key FROM part UNION ALL SELECT p_partkey, 'make', p_brand || '/' || p_type || '/' || p_size::VARCHAR FROM part),
+    e AS (SELECT DISTINCT x.record AS a, y.record AS b FROM k x JOIN k y USING (kind, key)), r AS (SELECT DISTINCT record AS p, record AS q FROM k UNION SELECT r.p, e.b FROM r JOIN e ON r.q = e.a),
+    o AS (SELECT p AS record, min(q) AS component FROM r GROUP BY p)"""
+_BYTE = "('0x' || sha256('s1' || {}::VARCHAR)[1:2])::INT"
+_SPLIT = f"CASE WHEN {_BYTE} < 179 THEN 'build' WHEN {_BYTE} < 218 THEN 'validation' ELSE 'stress' END"
+_OF = _SPLIT.replace("{}", "component")
+
+
+def _keys(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    make = F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string"))
+    pairs = F.array(F.struct(F.lit("price").alias("kind"), F.col("p_retailprice").cast("string").alias("key")), F.struct(F.lit("make").alias("kind"), make.alias("key")))
+    return part.select(F.col("p_partkey").alias("record"), F.inline(pairs))
+
+
+@query(f"WITH RECURSIVE {_KEYS} SELECT record, component, {_OF} AS split FROM o")
+def component_splits(spark, sf_dir):
+    return splits.by_component(splits.components(_keys(spark, sf_dir)), "s1")
+
+
+# a split by record leaks keys, one by component none
+@query(f"""WITH RECURSIVE {_KEYS}, c AS (SELECT record, 'component' AS unit, {_OF} AS split FROM o UNION ALL SELECT record, 'record', {_SPLIT.replace("{}", "record")} FROM o),
+    j AS (SELECT DISTINCT unit, kind, key, split FROM k JOIN c USING (record)), l AS (SELECT unit, kind, key, list(split) AS has FROM j GROUP BY ALL),
+    p AS (SELECT * FROM (VALUES ('build', 'validation'), ('build', 'stress'), ('validation', 'stress')) t("left", "right"))
+    SELECT unit, kind, "left", "right", count_if(list_contains(has, "left") OR list_contains(has, "right")) AS keys, count_if(list_contains(has, "left") AND list_contains(has, "right")) AS shared FROM l, p GROUP BY ALL""")
+def split_leak_pairs(spark, sf_dir):
+    keys = _keys(spark, sf_dir)
+    found = splits.components(keys)
+    whole = splits.by_component(found, "s1")
+    single = splits.by_component(found.withColumn("component", F.col("record")), "s1")
+    of = lambda unit, rows: splits.shared(keys, rows, ("price", "make")).withColumn("unit", F.lit(unit))
+    return of("component", whole).unionByName(of("record", single))
+
+
+_DRAW = "('0x' || sha256('v1:0:{}:' || id::VARCHAR || ':' || {}::VARCHAR)[1:8])::BIGINT"
+
+
+# tokens as rows: which are masked, which lie in the span of their block
+@query(f"""{_WIDE}, x AS (SELECT min(p_partkey) AS id, smiles FROM (SELECT p_partkey, '*' || repeat('C', p_size % 6 + 1) || a.grp || repeat('C', (p_partkey % 5 + 2)::INT) || b.grp || repeat('C', (p_partkey % 7 + 1)::INT) || '*' AS smiles
+        FROM part JOIN g a ON a.i = p_partkey % {len(_GROUPS)} JOIN g b ON b.i = p_partkey // {len(_GROUPS)} % {len(_GROUPS)}) GROUP BY smiles),
+    y AS (SELECT *, regexp_extract_all(smiles, '\\[[^\\]]*\\]|Cl|Br|%[0-9][0-9]|.') AS toks, ('0x' || sha256('v1' || smiles)[1:2])::INT AS byte FROM x),
+    z AS (SELECT id, smiles, byte, len(toks) AS n, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM y),
+    q AS (SELECT *, i // 12 AS blk, least(12, n - i // 12 * 12) - 3 AS room FROM z),
+    s AS (SELECT *, {_DRAW.format('mask', 'i')} < 644245094 AS hit, room >= 0 AND {_DRAW.format('span', 'blk')} < 1288490188 AND i % 12 - {_DRAW.format('start', 'blk')} % (greatest(room, 0) + 1) BETWEEN 0 AND 2 AS gone FROM q),
+    t AS (SELECT id, smiles, CASE WHEN byte < 205 THEN 'train' WHEN byte < 230 THEN 'valid' ELSE 'test' END AS split, string_agg(CASE WHEN hit THEN '[MASK]' ELSE tok END, '' ORDER BY i) AS masks,
+        coalesce(string_agg(CASE WHEN NOT gone THEN tok END, '' ORDER BY i), '') AS spans FROM s GROUP BY id, smiles, byte)
+    SELECT id AS record_id, sha256(smiles) AS canonical_hash, split, 'plain' AS view, smiles AS input, smiles AS target FROM t
+    UNION ALL SELECT id, sha256(smiles), split, 'token_mask', masks, smiles FROM t WHERE split = 'train' UNION ALL SELECT id, sha256(smiles), split, 'span_dropout', spans, smiles FROM t WHERE split = 'train'""")
+def text_views(spark, sf_dir):
+    rows = poly.wide_units(spark, sf_dir).groupBy("smiles").agg(F.min("p_partkey").alias("id"))
+    return views.views(stats.hash_split(rows, F.col("smiles"), "v1"), "id", "smiles", "v1")
