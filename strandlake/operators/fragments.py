@@ -24,7 +24,17 @@ CONSTRAINTS = {
 }
 
 
-KNOWN_CONSTRAINTS = {*CONSTRAINTS, "exact_fluorine_count", "fluorine_count_atom_role", "exclude_perfluoroalkyl_chain"}
+#: Constraints by value: patterns whose atoms must not meet the anchor or the match, numbers of atoms in the match, elements beside the anchor.
+CONSTRAINT_TYPES = {
+    "not_smarts_overlap_anchor": "patterns",
+    "not_smarts_overlap_match": "patterns",
+    "required_atom_count": "counts",
+    "forbid_atom_count_gt": "counts",
+    "anchor_neighbor_must_not_be": "elements",
+    "match_must_be_internal": "flag",
+}
+OF_ANCHOR = ("not_smarts_overlap_anchor", "anchor_neighbor_must_not_be")
+KNOWN_CONSTRAINTS = {*CONSTRAINTS, *CONSTRAINT_TYPES, "exact_fluorine_count", "fluorine_count_atom_role", "exclude_perfluoroalkyl_chain"}
 
 
 @dataclass(frozen=True)
@@ -90,9 +100,30 @@ def problems(rules) -> list[tuple[str, str]]:
             named.append(r.constraints.get("fluorine_count_atom_role", "trifluoromethyl_carbon"))
         if not set(named) <= set(r.atom_roles):
             bad("constraint_role_unknown")
+        if any(k in OF_ANCHOR for k in r.constraints) and r.anchor not in r.atom_roles:
+            bad("constraint_without_anchor")
+        for k, value in r.constraints.items():
+            if k in CONSTRAINT_TYPES and not _fits(CONSTRAINT_TYPES[k], value):
+                bad(f"constraint_value:{k}")
     return out
 
 
+def _fits(kind: str, value) -> bool:
+    """Whether a constraint's value is what its kind says; patterns have to be readable."""
+    if kind == "flag":
+        return isinstance(value, bool)
+    if kind == "counts":
+        return isinstance(value, dict) and all(isinstance(k, str) and isinstance(n, int) and not isinstance(n, bool) for k, n in value.items())
+    if not isinstance(value, (list, tuple)) or not all(isinstance(x, str) for x in value):
+        return False
+    if kind == "elements":
+        return all(x in patterns.NUMBERS.values() for x in value)
+    try:
+        return all(patterns.read(x) for x in value)
+    except ValueError:
+        return False
+
+
 def load_rules(path: str) -> list[Rule]:
     """Rules from a JSON file: a list of objects with match_rule, atom_roles by map number, anchor_rule, deduplication and overlap_policy.
 
@@ -189,6 +220,23 @@ def as_roles(value) -> tuple[str, ...]:
     return (value,) if isinstance(value, str) else tuple(value)
 
 
+def _constrained(rule: Rule, name: str, value, m: str) -> list[str]:
+    """The conditions that a constraint by value puts on a match."""
+    x, e = patterns.name(), patterns.name()
+    if name == "not_smarts_overlap_match":
+        return [f"NOT exists({patterns.matches(patterns.read(p))}, {x} -> arrays_overlap({x}, {m}))" for p in value]
+    if name == "match_must_be_internal":
+        return [f"forall({m}, {x} -> nodes[{x}].element <> '*')"] if value else []
+    if name in ("required_atom_count", "forbid_atom_count_gt"):
+        sign = "=" if name == "required_atom_count" else "<="
+        return [f"size(filter({m}, {x} -> nodes[{x}].element = '{element}')) {sign} {n}" for element, n in value.items()]
+    anchor = f"{m}[{rule.place(rule.anchor)}]"
+    if name == "not_smarts_overlap_anchor":
+        return [f"NOT exists({patterns.matches(patterns.read(p))}, {x} -> array_contains({x}, {anchor}))" for p in value]
+    unwanted = ", ".join(f"'{element}'" for element in value)
+    return [f"NOT exists(nodes[{anchor}].near, {e} -> nodes[{e}.to].element IN ({unwanted}))"] if value else []
+
+
 def _passes(rule: Rule, m: str) -> str:
     tests = ["true"]
     for name, value in rule.constraints.items():
@@ -200,6 +248,10 @@ def _passes(rule: Rule, m: str) -> str:
         elif name == "exclude_perfluoroalkyl_chain":
             if value and "attached_carbon" in rule.atom_roles:
                 tests.append(patterns.holds("!$(*~[#9])", f"{m}[{rule.place('attached_carbon')}]"))
+        elif name in CONSTRAINT_TYPES:
+            if not _fits(CONSTRAINT_TYPES[name], value):
+                raise ValueError(f"{rule.fragment_id}: {name} can't have the value {value}")
+            tests += _constrained(rule, name, value, m)
         elif name != "fluorine_count_atom_role":
             raise ValueError(f"{rule.fragment_id}: unknown constraint {name}")
     return " AND ".join(tests)

@@ -243,3 +243,41 @@ _DRAW = "('0x' || sha256('v1:0:{}:' || id::VARCHAR || ':' || {}::VARCHAR)[1:8]):
 def text_views(spark, sf_dir):
     rows = poly.wide_units(spark, sf_dir).groupBy("smiles").agg(F.min("p_partkey").alias("id"))
     return views.views(stats.hash_split(rows, F.col("smiles"), "v1"), "id", "smiles", "v1")
+
+
+_CARBONYL = ("[#6:1]=[#8:2]", ("carbon", "oxygen"), "carbon")
+#: One pattern under each type of constraint.
+CONSTRAINED = (
+    fragments.Rule("any", "carbonyl", "functional_group", 10, *_CARBONYL),
+    fragments.Rule("anchor_in_no_amide", "carbonyl", "functional_group", 10, *_CARBONYL, constraints={"not_smarts_overlap_anchor": ["[#7;!+][#6]=[#8]"]}),
+    fragments.Rule("match_meets_no_ester_oxygen", "carbonyl", "functional_group", 10, *_CARBONYL, constraints={"not_smarts_overlap_match": ["[#6](=[#8])[OX2][#6]", "[#6](=[#8])[OH]"]}),
+    fragments.Rule("no_oxygen_beside", "ether", "functional_group", 10, "[#6:1][OX2:2][*:3]", ("left", "oxygen", "right"), "oxygen", constraints={"anchor_neighbor_must_not_be": ["P", "S", "N"], "match_must_be_internal": True}),
+    fragments.Rule("three_fluorines", "fluorines", "side_group", 10, "[#6:1]([#9,#6:2])([#9,#6:3])[#9,#6:4]", ("carbon", "a", "b", "c"), "carbon", constraints={"required_atom_count": {"F": 3}}),
+    fragments.Rule("no_third_fluorine", "fluorines", "side_group", 10, "[#6:1]([#9:2])[#9:3]", ("carbon", "a", "b"), "carbon", constraints={"forbid_atom_count_gt": {"F": 1}}),
+)
+
+
+# group, then for each rule the matches that pass
+_PASS = """
+C(=O)N any:1 match_meets_no_ester_oxygen:1
+C(=O)NC(=O) any:2 match_meets_no_ester_oxygen:2
+C(=O)O any:1 anchor_in_no_amide:1 no_oxygen_beside:1
+O no_oxygen_beside:1
+OC(=O)O any:1 anchor_in_no_amide:1 no_oxygen_beside:2
+OC(=O)N any:1 no_oxygen_beside:1
+NC(=O)N any:1 match_meets_no_ester_oxygen:1
+C(=O) any:1 anchor_in_no_amide:1 match_meets_no_ester_oxygen:1
+C(C(=O)O) any:1 anchor_in_no_amide:1
+C(C(F)(F)F) three_fluorines:1
+C(C(F)(F)C(F)(F)F) three_fluorines:1
+Oc1ccc(cc1) no_oxygen_beside:1
+C(c1ccc(cc1)C(=O)O) any:1 anchor_in_no_amide:1
+"""
+_PASSED = ", ".join(_quoted([r[0], *cell.split(":")]) for r in _rows(_PASS) for cell in r[1:])
+
+
+@query(f"""{_WIDE}, h AS (SELECT * FROM (VALUES {_PASSED}) t(grp, f, n)), s AS (SELECT smiles, f, sum(n::INT) AS n FROM b JOIN h USING (grp) GROUP BY ALL)
+    SELECT i AS fragment_id, count(smiles) AS records, coalesce(sum(n), 0)::BIGINT AS matches FROM (VALUES {', '.join(f"('{r.fragment_id}')" for r in CONSTRAINED)}) t(i) LEFT JOIN s ON f = i GROUP BY i""")
+def constrained_levels(spark, sf_dir):
+    rows = fragments.statistics(fragments.levels(fragments.molecules(units(spark, sf_dir)), CONSTRAINED), spark, CONSTRAINED)
+    return rows.select("fragment_id", F.col("normalized_records").alias("records"), F.col("normalized_matches").alias("matches"))

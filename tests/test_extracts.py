@@ -50,3 +50,41 @@ def test_main_chain(spark):
 def test_empty_table(spark):
     none = fragments.molecules(spark.createDataFrame([], "smiles string"))
     assert extracts.distribution(extracts.extracted(none, CORE, LADDERS)).count() == 0
+
+
+def _rule(constraints, anchor="carbon"):
+    return fragments.Rule("x", "x", "functional_group", 10, "[#6:1]=[#8:2]", ("carbon", "oxygen"), anchor, roles=("carbon",), constraints=constraints)
+
+
+@pytest.mark.parametrize(
+    "constraints, fault",
+    [
+        ({"not_smarts_overlap_anchor": ["[#7][#6]"]}, None),
+        ({"not_smarts_overlap_anchor": "[#7][#6]"}, "constraint_value:not_smarts_overlap_anchor"),
+        ({"not_smarts_overlap_match": ["[#6"]}, "constraint_value:not_smarts_overlap_match"),
+        ({"required_atom_count": {"F": "3"}}, "constraint_value:required_atom_count"),
+        ({"forbid_atom_count_gt": {"F": True}}, "constraint_value:forbid_atom_count_gt"),
+        ({"anchor_neighbor_must_not_be": ["Xx"]}, "constraint_value:anchor_neighbor_must_not_be"),
+        ({"match_must_be_internal": 1}, "constraint_value:match_must_be_internal"),
+        ({"must_be_nice": True}, "unknown_constraint"),
+    ],
+)
+def test_constraint_registry(constraints, fault):
+    assert [why for _, why in fragments.problems([_rule(constraints)])] == ([fault] if fault else [])
+    if fault:
+        with pytest.raises(ValueError):
+            fragments._passes(_rule(constraints), "m")
+
+
+def test_constraint_of_an_anchor_needs_one():
+    assert ("x", "constraint_without_anchor") in fragments.problems([_rule({"not_smarts_overlap_anchor": ["[#7]"]}, None)])
+
+
+def test_constraints_on_strings(spark):
+    rows = fragments.molecules(spark.createDataFrame([("*C(=O)C(=O)N*",), ("*C=O",), (None,)], "smiles string"))
+    n = lambda c: {r.smiles: len(r.normalized) for r in fragments.levels(rows, [_rule(c)]).collect()}
+    assert n({}) == {"*C(=O)C(=O)N*": 2, "*C=O": 1}
+    assert n({"not_smarts_overlap_anchor": ["[#7][#6]"]}) == {"*C(=O)C(=O)N*": 1, "*C=O": 1}
+    assert n({"not_smarts_overlap_match": ["[#0][#6]"]}) == {"*C(=O)C(=O)N*": 1, "*C=O": 0}
+    assert n({"anchor_neighbor_must_not_be": ["*", "N"]}) == {"*C(=O)C(=O)N*": 0, "*C=O": 0}
+    assert n({"not_smarts_overlap_match": [], "anchor_neighbor_must_not_be": [], "match_must_be_internal": False}) == {"*C(=O)C(=O)N*": 2, "*C=O": 1}
