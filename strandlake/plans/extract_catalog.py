@@ -169,8 +169,8 @@ def wide_units(spark, sf_dir):
 
 
 @query(f"""{_WIDE}, h AS (SELECT * FROM (VALUES {_HELD}) t(grp, f, a, b, c)), s AS (SELECT smiles, f, sum(a::INT) AS a, sum(b::INT) AS b, sum(h.c::INT) AS c FROM b JOIN h USING (grp) GROUP BY 1, 2)
-    SELECT 'fragment_' || lpad(i::VARCHAR, 3, '0') AS fragment_id, count_if(a > 0) AS raw_records, coalesce(sum(a), 0)::BIGINT AS raw_matches, count_if(b > 0) AS normalized_records, coalesce(sum(b), 0)::BIGINT AS normalized_matches,
-        count_if(c > 0) AS resolved_records, coalesce(sum(c), 0)::BIGINT AS resolved_matches, coalesce(max(c), 0)::INT AS resolved_max FROM range(1, 32) r(i) LEFT JOIN s ON f::INT = i GROUP BY i""")
+    SELECT 'fragment_' || lpad(i::VARCHAR, 3, '0') AS fragment_id, count_if(a > 0)::BIGINT AS raw_records, coalesce(sum(a), 0)::BIGINT AS raw_matches, count_if(b > 0)::BIGINT AS normalized_records, coalesce(sum(b), 0)::BIGINT AS normalized_matches,
+        count_if(c > 0)::BIGINT AS resolved_records, coalesce(sum(c), 0)::BIGINT AS resolved_matches, coalesce(max(c), 0)::INT AS resolved_max FROM range(1, 32) r(i) LEFT JOIN s ON f::INT = i GROUP BY i""")
 def wide_fragment_levels(spark, sf_dir):
     rows = fragments.statistics(fragments.levels(fragments.molecules(units(spark, sf_dir)), CORE), spark, CORE)
     return rows.select("fragment_id", "raw_records", "raw_matches", "normalized_records", "normalized_matches", "resolved_records", "resolved_matches", "resolved_max")
@@ -216,7 +216,7 @@ def component_splits(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_KEYS}, c AS (SELECT record, 'component' AS unit, {_OF} AS split FROM o UNION ALL SELECT record, 'record', {_SPLIT.replace("{}", "record")} FROM o),
     j AS (SELECT DISTINCT unit, kind, key, split FROM k JOIN c USING (record)), l AS (SELECT unit, kind, key, list(split) AS has FROM j GROUP BY ALL),
     p AS (SELECT * FROM (VALUES ('build', 'validation'), ('build', 'stress'), ('validation', 'stress')) t("left", "right"))
-    SELECT unit, kind, "left", "right", count_if(list_contains(has, "left") OR list_contains(has, "right")) AS keys, count_if(list_contains(has, "left") AND list_contains(has, "right")) AS shared FROM l, p GROUP BY ALL""")
+    SELECT unit, kind, "left", "right", count_if(list_contains(has, "left") OR list_contains(has, "right"))::BIGINT AS keys, count_if(list_contains(has, "left") AND list_contains(has, "right"))::BIGINT AS shared FROM l, p GROUP BY ALL""")
 def split_leak_pairs(spark, sf_dir):
     keys = _keys(spark, sf_dir)
     found = splits.components(keys)
