@@ -10,7 +10,8 @@ from ..operators.core_rules import CORE, LADDERS
 from ..sources import poly
 from .catalog import query, read
 
-# worked out by hand from the patterns, for a group between carbons of a chain: group, then rule:raw,normalized,resolved
+# for a group between carbons of a chain, as the operators give it for a single group, read against the definitions by eye: group, then
+# rule:raw,normalized,resolved; so the SQL checks sums over units and groups, and guards against changes, but is no second matcher
 _LEVELS = """
 C(=O)N 01:1,1,1 13:2,0,0 14:1,1,0 23:1,0,0
 C(=O)NC(=O) 01:2,2,0 02:1,1,1 13:2,0,0 14:2,2,0 23:1,0,0
@@ -65,7 +66,7 @@ C(c1ccc(cc1)S) 19:1,1,1 29:1,1,1
 C(C)=C 21:2,1,1
 """
 
-# group, rule, resolved matches, whether the anchor lies on the main chain, values in the order of _NAMES
+# likewise: group, rule, resolved matches, whether the anchor lies on the main chain, values in the order of _NAMES
 _FOUND = """
 O 04 1 true dialkyl_ether C_aliphatic,C_aliphatic 0 2 0
 S 08 1 true dialkyl_thioether C_aliphatic,C_aliphatic 0 2 0
