@@ -268,8 +268,8 @@ def _normalised(column: str) -> Column:
     return F.expr(f"flatten(transform(array(filter(`{column}`, m -> m.passes)), x -> filter(x, (m, i) -> array_position(x.key, m.key) = i + 1)))")
 
 
-def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> DataFrame:
-    """(keep..., fragment_id, raw, normalized, resolved): a row for each record and active rule, with the arrays of atoms at each level.
+def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",), statuses: tuple[str, ...] = ("core",)) -> DataFrame:
+    """(keep..., fragment_id, raw, normalized, resolved): a row for each record and rule of one of `statuses`, with the arrays of atoms at each level.
 
     Covering matches are the normalised ones, so suppression doesn't chain and priorities play no part."""
     by_id = {r.fragment_id: r for r in rules}
@@ -277,7 +277,7 @@ def levels(found: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> Data
     rows = rows.withColumns({f"n_{r.fragment_id}": _normalised(f"_{r.fragment_id}") for r in rules})
     out = []
     for r in rules:
-        if r.status != "core":
+        if r.status not in statuses:
             continue
         stays = f"`n_{r.fragment_id}`"
         if r.covered_by:
@@ -311,6 +311,23 @@ def uncovered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("smiles").agg(F.sum(F.size("resolved")).alias("_n")).filter("_n = 0").select("smiles")
 
 
+def uncovered_hits(found: DataFrame, rules) -> DataFrame:
+    """(smiles, hits): records that no active rule hits, with the other rules that have a normalised match there, in order of their ids.
+
+    `found` comes from `molecules`; unreadable strings are no records. A record's list has no more entries than there are rules."""
+    active = F.col("fragment_id").isin(*(r.fragment_id for r in rules if r.status == "core"))
+    rows = levels(found, rules, statuses=STATUSES)
+    hit = F.collect_set(F.when(~active & (F.size("normalized") > 0), F.col("fragment_id")))
+    per = rows.groupBy("smiles").agg(F.coalesce(F.sum(F.when(active, F.size("resolved"))), F.lit(0)).alias("_n"), F.array_sort(hit).alias("hits"))
+    return per.filter("_n = 0").select("smiles", "hits")
+
+
+def inactive_hits(rows: DataFrame, most: int = 8) -> DataFrame:
+    """(fragment_id, records): the `most` inactive rules that hit most records of `uncovered_hits`, ties by id."""
+    counts = rows.select(F.explode("hits").alias("fragment_id")).groupBy("fragment_id").agg(F.count(F.lit(1)).alias("records"))
+    return counts.orderBy(F.desc("records"), "fragment_id").limit(most)
+
+
 def audit(units: DataFrame, periods: DataFrame, sources: DataFrame, spark: SparkSession, rules) -> DataFrame:
     """Each active rule's records and resolved matches among units, and among periods with the sources these come from; zeros where none.
 
@@ -393,3 +410,28 @@ def ring_attributes(found: DataFrame) -> DataFrame:
         aromatic.alias("ring_aromatic_atom_count"), F.when(aromatic == F.size(ring), "fully_aromatic").when(aromatic == 0, "nonaromatic").otherwise("partially_aromatic").alias("ring_aromaticity_class"), F.exists(ring, lambda i: _at(nodes, i)["ring_count"] > 1).alias("polycyclic"),
         F.size(external).alias("external_connection_count"), _topology(external, F.size(ring)).alias("external_connection_topology"), F.size(exocyclic).alias("exocyclic_substituent_count"), _topology(exocyclic, F.size(ring)).alias("exocyclic_substituent_topology"), F.size(fused).alias("polycyclic_connection_count"), _topology(fused, F.size(ring)).alias("polycyclic_connection_topology"), points.alias("attachment_count"), F.when(points >= 2, "true").otherwise("unknown").alias("mainchain_through_ring"),
     )
+
+
+# fixed values: the keys of a ring summary and the column of `ring_attributes` that each counts
+RING_KEYS = {
+    "ring_atom_class": "ring_atom_class", "hetero_atom_signature": "hetero_atom_signature", "aromaticity": "ring_aromaticity_class", "ring_aromatic_atom_count": "ring_aromatic_atom_count",
+    "ring_aromaticity_class": "ring_aromaticity_class", "polycyclic": "polycyclic", "external_connection_count": "external_connection_count", "external_connection_topology": "external_connection_topology",
+    "exocyclic_substituent_count": "exocyclic_substituent_count", "exocyclic_substituent_topology": "exocyclic_substituent_topology", "polycyclic_connection_count": "polycyclic_connection_count",
+    "polycyclic_connection_topology": "polycyclic_connection_topology", "substitution_count": "exocyclic_substituent_count", "substitution_topology": "exocyclic_substituent_topology",
+    "attachment_count": "attachment_count", "mainchain_through_ring": "mainchain_through_ring",
+}
+
+
+def ring_summary(rings: DataFrame, record: str = "smiles") -> DataFrame:
+    """(key, label, records, rings): for each of RING_KEYS its values; `record_count` and `ring_count` have the label `all`.
+
+    Null values are `unknown`. Records are counted by (key, label, record) first, so no label's records are gathered in one task;
+    no rings give the two counts as zeros and nothing else."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), text(c).alias("label")) for k, c in RING_KEYS.items()), F.struct(F.lit("ring_count").alias("key"), F.lit("all").alias("label")))
+    per = rings.select(F.col(record).alias("_r"), F.inline(pairs)).groupBy("key", "label", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    sums = per.groupBy("key", "label").agg(F.count(F.lit(1)).alias("records"), F.sum("_n").alias("rings"))
+    zero = rings.sparkSession.createDataFrame([("ring_count", "all", 0, 0)], "key string, label string, records long, rings long")
+    sums = sums.unionByName(zero).groupBy("key", "label").agg(F.sum("records").alias("records"), F.sum("rings").alias("rings"))
+    both = sums.filter("key = 'ring_count'").select(F.lit("record_count").alias("key"), "label", "records", "rings")
+    return sums.unionByName(both)

@@ -140,13 +140,13 @@ def expanded(rows: DataFrame, radius: int = 1, keep: tuple[str, ...] = ("smiles"
 def instances(rows: DataFrame, rules, keep: tuple[str, ...] = ("smiles",)) -> DataFrame:
     """(keep..., fragment_id, places, anchor_atom, anchor_offset, boundary, instance_key): every normalised match among nodes with places.
 
-    The anchor is the rule's, for rings the atom of the least canonical id. Matches that reach an end of the chain are none. The
+    The anchor is the rule's, for rings and rules without one the atom of the least canonical id. Matches that reach an end of the chain are none. The
     key names atoms by canonical id and by their offset from the anchor's unit, so equal matches of other units share it."""
     by_id = {r.fragment_id: r for r in rules}
     found = fragments.match_rows(fragments.levels(rows, rules, (*keep, "nodes")), "normalized")
     places = F.transform("atoms", lambda i: F.struct(_get("nodes", i)["canonical_atom_id"].alias("canonical_atom_id"), _get("nodes", i)["unit_offset"].alias("unit_offset")))
     found = fixed(found, places=places.cast(_PLACES)).filter(~F.exists("places", lambda p: p["unit_offset"].isNull()))
-    anchored = [f"WHEN fragment_id = '{f}' THEN get(places, {r.place(r.anchor)})" for f, r in by_id.items() if r.ring_size is None and not r.derived]
+    anchored = [f"WHEN fragment_id = '{f}' THEN get(places, {r.place(r.anchor)})" for f, r in by_id.items() if r.ring_size is None and not r.derived and r.anchor in r.atom_roles]
     anchor = F.expr(f"CASE {' '.join(anchored)} ELSE array_min(places) END" if anchored else "array_min(places)")
     found = fixed(found, _a=anchor)
     own = F.transform("places", lambda p: F.struct(p["canonical_atom_id"].alias("c"), (p["unit_offset"] - F.col("_a.unit_offset")).alias("o")))
@@ -215,14 +215,18 @@ def _coloured(atoms: Column, first, rounds) -> Column:
     return F.aggregate(F.sequence(F.lit(1), rounds), F.transform(atoms, first), round_)
 
 
+def colours(atoms: Column) -> Column:
+    """A hash for each atom of a chain of its surroundings of ROUNDS bonds."""
+    return _coloured(atoms, lambda a: F.xxhash64(a["element"], a["aromatic"], a["charge"], a["hydrogens"]), F.lit(ROUNDS))
+
+
 def primitive(rows: DataFrame) -> DataFrame:
     """`rows` of `chains` with the hash of the endless chain: `primitive_hash`, `primitive_segments`, `repeats` of them in the unit.
 
     Atoms are coloured by their surroundings of ROUNDS bonds in the chain; a segment's label is its sorted colours. The labels'
     smallest period, read from the place and in the direction that gives the least array, is the chain. Chains whose atoms
     colours can't tell apart count as one."""
-    colours = _coloured(F.col("atoms"), lambda a: F.xxhash64(a["element"], a["aromatic"], a["charge"], a["hydrogens"]), F.lit(ROUNDS))
-    out = fixed(rows.filter("reason is null"), _colour=colours)
+    out = fixed(rows.filter("reason is null"), _colour=colours(F.col("atoms")))
     out = fixed(out, _label=F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda k: F.xxhash64(F.array_sort(F.filter("_colour", lambda c, i: _get("segment", i) == k)))))
     m = F.col("segments")
     places = F.sequence(F.lit(0), m - 1)

@@ -318,10 +318,17 @@ def stratified_sample(spark, sf_dir):
     return stats.sampled(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 3, "a").select("source", "place", "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('A', 'duplicate_id'), ('A', 'duplicate_id;missing_pattern'), ('B', 'unknown_status;self_cover'), ('C', '')) t(fragment_id, errors)")
+_FAULTY = """f AS (SELECT 'P' || (p_partkey - (p_partkey % 11 = 0)::INT)::VARCHAR AS fragment_id, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END AS pattern,
+    CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'core' END AS status, p_partkey % 17 = 0 AS self FROM part)"""
+
+
+@query(f"""WITH {_FAULTY} SELECT fragment_id, concat_ws(';', CASE WHEN count(*) OVER (PARTITION BY fragment_id) > 1 THEN 'duplicate_id' END, CASE WHEN coalesce(pattern, '') = '' THEN 'missing_pattern' END,
+    CASE WHEN status <> 'core' THEN 'unknown_status' END, CASE WHEN self THEN 'self_cover' END) AS errors FROM f""")
 def rule_validate(spark, sf_dir):
-    rows = [("A", "x", "core", []), ("A", None, "core", []), ("B", "y", "odd", ["B"]), ("C", "z", "rejected", ["A"])]
-    return rules.rule_errors(spark.createDataFrame(rows, "fragment_id string, pattern string, status string, covered_by array<string>"))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("P"), (k - (k % 11 == 0).cast("int")).cast("string"))
+    rows = read(spark, sf_dir, "part").select(name.alias("fragment_id"), F.when(k % 7 == 0, None).when(k % 13 == 0, "").otherwise(F.col("p_type")).alias("pattern"), F.when(k % 3 == 0, F.col("p_brand")).otherwise("core").alias("status"), F.when(k % 17 == 0, F.array(name)).otherwise(F.array()).alias("covered_by"))
+    return rules.rule_errors(rows)
 
 
 # closed forms of the generated repeat units: what each linker holds, and how long its backbone is
@@ -378,13 +385,6 @@ def period_dedup(spark, sf_dir):
     return periods.deduplicated(rows).agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'anchor_not_in_roles'), ('a', 'duplicate_id'), ('b', 'pattern_does_not_compile'), ('c', 'unknown_covering_rule')) t(fragment_id, problem)")
-def fragment_rule_problems(spark, sf_dir):
-    R = fragments.Rule
-    bad = [R("a", "", "", 1, "[C:1]", ("x",), "y"), R("b", "", "", 1, "[C:1", ("x",), "x"), R("c", "", "", 1, "[C:1]", ("x",), "x", covered_by=(("z", ("x",)),)), R("a", "", "", 1, "[C:1]", ("x",), "x")]
-    return spark.createDataFrame(fragments.problems(bad), "fragment_id string, problem string").distinct()
-
-
 @query()
 def fragment_audit(spark, sf_dir):
     units = main_units(spark, sf_dir)

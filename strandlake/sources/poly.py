@@ -65,3 +65,38 @@ def property_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
     joined = items.join(poly(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select("smiles", F.col("l_returnflag").alias("property_category"), F.col("l_linestatus").alias("property_name"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.lit("u").alias("unit"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+
+
+#: Patterns of the rule table, three that can be read.
+PATTERNS = ("[#6:1][OX2:2][#6:3]", "[CX3:1](=[OX1:2])", "[C:1", "[#7:1]")
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of `rule_checks.FIELDS` for each part, many of them with faults."""
+    k, text = F.col("p_partkey"), lambda *values: [F.lit(v) for v in values]
+    key = lambda n: F.concat(F.lit("F"), n.cast("string"))
+    roles = F.create_map(*text("1", "a", "2", "b", "3", "c"))
+    fields = F.array(*text("fragment_id", "anchor_type"))
+    columns = {
+        "fragment_id": F.when(k % 101 != 0, key(k - (k % 19 == 0).cast("int"))),
+        "fragment_name": F.when(k % 23 != 0, F.col("p_name")),
+        "version": F.lit("1"),
+        "category": F.split_part("p_type", F.lit(" "), F.lit(1)),
+        "semantic_tags": F.array("p_brand"),
+        "match_type": F.when(k % 7 == 0, "rdkit_ring").when(k % 7 == 1, "derived_view").when(k % 7 == 2, "sql").otherwise("smarts"),
+        "pattern": F.get(F.array(*text(*PATTERNS)), (k % 5).cast("int")),
+        "atom_roles": F.map_filter(roles, lambda i, _: i.cast("int") <= 3 - (k % 5 != 0).cast("int") - (k % 5 == 3).cast("int") + (k % 17 == 0).cast("int")),
+        "anchor_type": F.when(k % 13 == 0, "angle").otherwise("atom"),
+        "anchor_role": F.when(k % 29 == 0, "c").when(k % 31 != 0, "a"),
+        "ownership_rule": F.when(k % 37 == 0, "first").otherwise("anchor_in_RU0"),
+        "periodic_radius": (k % 9 - 2).cast("int"),
+        "allow_boundary_crossing": k % 2 == 0,
+        "enable_cut_shift_scan": F.lit(True),
+        "max_cut_shift": (k % 8 - 1).cast("int"),
+        "dedup_key_fields": F.when(k % 10 == 0, F.array_append(fields, F.lit("colour"))).otherwise(fields),
+        "exclusive_group": F.col("p_brand"),
+        "priority": F.col("p_size").cast("int"),
+        "allow_child_fragments": F.lit(True),
+        "parent_fragment_ids": F.array_compact(F.array(F.when(k % 6 == 0, key(k + 1)), F.when(k % 41 == 0, key(k)))),
+    }
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(*(v.alias(n) for n, v in columns.items()))
