@@ -62,3 +62,26 @@ def views(rows: DataFrame, record: str, text: str, seed: str, epoch: int = 0, sh
     varied = F.array(view("plain", found), view("token_mask", masked(found, of, draw, share)), view("span_dropout", without_spans(found, of, draw, span_share, length, block)))
     all_views = F.when(F.col("split") == training, varied).otherwise(F.array(view("plain", found)))
     return rows.withColumn("canonical_hash", stable_hash(F.col("target"))).select("record_id", "canonical_hash", "split", F.inline(all_views), "target")
+
+
+# fixed values: the tags of prompts and the end of a target
+END = "<|endoftext|>"
+
+
+def tagged(tag: str, text: Column) -> Column:
+    """A text between its opening and closing tag, each on a line of its own; null is empty."""
+    return F.concat(F.lit(f"<{tag}>\n"), F.coalesce(text, F.lit("")), F.lit(f"\n</{tag}>"))
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """`views` rows with `prompt` (the plain view under its own tag) and `completion`, the target with its end."""
+    plain = F.coalesce(F.col("view") == "plain", F.lit(False))
+    text = F.when(plain, tagged("polymer_smiles", F.col("input"))).otherwise(tagged("polymer_view_smiles", F.col("input")))
+    return rows.withColumns({"prompt": text, "completion": F.concat(F.coalesce("target", F.lit("")), F.lit(END))})
+
+
+def described(fragment_id: Column, name: Column, category: Column, description: Column) -> Column:
+    """The description of a fragment as a prompt has it; null fields are empty."""
+    fields = (("id", fragment_id), ("name", name), ("category", category), ("description", description))
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in fields]
+    return tagged("fragment_description", F.concat_ws("\n", *lines))

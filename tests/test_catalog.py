@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from strandlake.plans import catalog, checks_catalog, extract_catalog, periodic_catalog, reports_catalog  # noqa: F401
+from strandlake.plans import catalog, checks_catalog, extract_catalog, periodic_catalog, reports_catalog, validation_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
