@@ -14,12 +14,18 @@ CANDIDATES = ("monomer_or_descriptor_record", "copolymer_candidate")
 
 
 def by_string(records: DataFrame) -> DataFrame:
-    """One row per distinct string: its records, distinct categories, and the first and last value in the table's order."""
+    """One row per distinct string: its records, distinct categories, and the values of the least and the greatest `ord`.
+
+    Null values are passed over. Of records with the same `ord` the first in the table counts, at both ends: `place` says where each
+    stands. Records without a `place` leave that open."""
+    place = ["place"] if "place" in records.columns else []
+    # null orders are passed over by min_by
+    end = lambda order: F.min_by("value", F.when(F.col("value").isNotNull() & F.col("ord").isNotNull(), F.struct(order.alias("ord"), *place)))
     return records.groupBy("smiles").agg(
         F.count(F.lit(1)).alias("property_record_count"),
         F.count_distinct("property_category").alias("categories"),
-        F.min_by("value", "ord").alias("first_value"),
-        F.max_by("value", "ord").alias("last_value"),
+        end(F.col("ord")).alias("first_value"),
+        end(-F.col("ord")).alias("last_value"),
     )
 
 

@@ -61,10 +61,13 @@ def wide_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def property_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(smiles, property_category, property_name, value, unit, ord): many rows for a string, in an order of their own."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    """(smiles, property_category, property_name, value, unit, ord, place): many rows for a string, in an order of their own.
+
+    Several lines of an order may have one number, so `ord` has ties; `place` is the row's place in the table."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", place)
     joined = items.join(poly(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select("smiles", F.col("l_returnflag").alias("property_category"), F.col("l_linestatus").alias("property_name"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.lit("u").alias("unit"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+    return joined.select("smiles", F.col("l_returnflag").alias("property_category"), F.col("l_linestatus").alias("property_name"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.lit("u").alias("unit"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), "place")
 
 
 #: Patterns of the rule table, three that can be read.
