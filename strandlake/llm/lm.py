@@ -101,8 +101,10 @@ class Model:
 
     def attend(self, x: np.ndarray, first: np.ndarray):
         """Attention of each position over those before it in its text; first: where the text of each position begins."""
-        p, n = self.p, len(x) // STRIDE
-        q, k, v = (self.two(x @ p["q"] * np.float32(self.d**-0.5), False), self.two(x @ p["k"]), self.two(x @ p["v"]))
+        p, n, d = self.p, len(x) // STRIDE, self.d
+        both = np.zeros((len(x) + STRIDE, 3 * d), x.dtype)  # a block of zeros stands before the first
+        np.matmul(x, np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], 1), out=both[STRIDE:])
+        q, k, v = both[STRIDE:, :d].reshape(n, STRIDE, d), self.windows(both[:, d : 2 * d]), self.windows(both[:, 2 * d :])
         a = np.matmul(q, k.transpose(0, 2, 1))
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
         a += np.where(j <= i, p["far"][np.clip(i - j, 0, 2 * STRIDE - 1)], -np.inf).astype(np.float32)
@@ -114,9 +116,10 @@ class Model:
         return q, k, v, a, np.matmul(a, v).reshape(len(x), -1)
 
     @staticmethod
-    def two(x: np.ndarray, both: bool = True) -> np.ndarray:
-        b = x.reshape(-1, STRIDE, x.shape[1])
-        return np.concatenate([np.concatenate([np.zeros_like(b[:1]), b[:-1]]), b], 1) if both else b
+    def windows(x: np.ndarray) -> np.ndarray:
+        """A view: each block of rows with the block before, without a copy; the first block of x has no window of its own."""
+        row, column = x.strides
+        return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, x.shape[1]), (STRIDE * row, row, column), writeable=False)
 
     def forward(self, units: np.ndarray, target: np.ndarray, first: np.ndarray):
         """Natural log probability of each target after its unit; and what a training step needs."""
@@ -132,10 +135,11 @@ class Model:
         order = np.argsort(c.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(c[order], np.arange(self.side + 1))
         ho = h[order]
-        within = np.empty((len(h), self.side), np.float32)
+        within = np.empty((len(h), self.side), h.dtype)
         for g in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[g], cuts[g + 1])
-            within[s] = ho[s] @ p["m"][g] + p["mb"][g]
+            np.matmul(ho[s], p["m"][g], out=within[s])
+            within[s] += p["mb"][g]
         np.exp(np.minimum(within, 60, out=within), out=within)
         all_m = within.sum(1)
         row = np.arange(len(h))
@@ -165,9 +169,10 @@ class Model:
         dh *= 1 - h * h
         g["w"], g["b"] = z.T @ dh, dh.sum(0)
         dz = dh @ p["w"].T
-        dx, do = dz[:, : self.d].copy(), self.two(np.ascontiguousarray(dz[:, self.d :]), False)
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        dx, do = dz[:, : self.d].copy(), np.ascontiguousarray(dz[:, self.d :]).reshape(-1, STRIDE, self.d)
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        ds -= np.matmul(ds[:, :, None, :], a[:, :, :, None])[:, :, 0]
+        ds *= a
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
         g["far"] = np.bincount(np.clip(i - j, 0, 2 * STRIDE - 1).ravel(), np.where(j <= i, ds.sum(0), 0).ravel(), 2 * STRIDE).astype(np.float32)
 
@@ -182,7 +187,10 @@ class Model:
             g[name] = x.T @ y
             dx += y @ p[name].T
         g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], units, dx)
+        by_unit = np.argsort(units.astype(np.uint16), kind="stable") if self.side <= 256 else np.argsort(units, kind="stable")
+        of = units[by_unit]
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        g["e"][of[begins]] = np.add.reduceat(dx[by_unit], begins, axis=0)
         return logp, g
 
     def laid_out(self, ids: np.ndarray, ends: np.ndarray):
@@ -193,7 +201,7 @@ class Model:
         before[first[first < len(before)]] = 0
         return before, target, np.repeat(first, np.diff(np.append(first, len(ids)))), np.where(target == 1, self.rest[ids], 0.0)
 
-    def score(self, ids: np.ndarray, ends: np.ndarray, batch: int = 1 << 14) -> np.ndarray:
+    def score(self, ids: np.ndarray, ends: np.ndarray, batch: int = 1 << 11) -> np.ndarray:
         """log10 probability of each text."""
         before, target, first, more = self.laid_out(ids, ends)
         if not self.p:
@@ -276,10 +284,20 @@ class Descent:
             self.seen += int(live.sum())
             lr = self.rate * left(self.n) * min(1, self.n / 20)
             for k, x in grads.items():
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.v[k] += 0.01 * (x * x - self.v[k])
+                m, v = self.m[k], self.v[k]
                 young = (1 - 0.9**self.n, 1 - 0.99**self.n) if self.fresh else (1, 1)
-                self.model.p[k] -= (lr * (self.m[k] / young[0]) / (np.sqrt(self.v[k] / young[1]) + 1e-8)).astype(np.float32)
+                m *= 0.9
+                m += 0.1 * x
+                np.multiply(x, x, out=x)
+                x *= 0.01
+                v *= 0.99
+                v += x
+                # x is the gradient no longer but the divisor
+                np.sqrt(np.multiply(v, 1 / young[1], out=x), out=x)
+                x += 1e-8
+                np.divide(m, x, out=x)
+                x *= lr / young[0]
+                self.model.p[k] -= x
 
 
 def fit(ids: np.ndarray, ends: np.ndarray, side: int = 40, epochs: int = 3, batch: int = 1024, rate: float = 1.5e-2, seed: int = 5, model: Model | None = None) -> Model:
@@ -320,14 +338,13 @@ def id_counts(packed: DataFrame) -> tuple[np.ndarray, int]:
     return out, texts
 
 
-def train(packed: DataFrame, side: int = 40, warm_ids: int = 800_000, warm_epochs: int = 6, rounds: int = 2, share: float = 0.1, batch: int = 2048, rate: float = 1e-2, seed: int = 5) -> Model:
+def train(packed: DataFrame, side: int = 40, warm_ids: int = 800_000, warm_epochs: int = 6, rounds: int = 1, share: float = 1.0, batch: int = 2048, rate: float = 1e-2, seed: int = 5) -> Model:
     """Fit on all texts (`_row`, `_ids`: packed ids), in parallel.
 
     The units, their biases and the shares of rare ids come from the counts of all ids. A first fit on the driver, on about
     `warm_ids` ids in pieces drawn from all texts, only finds a common start. Then in each round every task descends from
-    the model of the round before over its own texts, of which it takes each piece with probability `share`, and the tasks'
-    models are averaged, weighted by the ids they have seen. So what is learnt from grows with the input: share * rounds of
-    all training ids."""
+    the model of the round before over all of its own texts (with `share` below 1: over that part of their pieces), and the
+    tasks' models are averaged, weighted by the ids they have seen. By default each id of each training text is learnt once."""
     spark = packed.sparkSession
     counts, texts = id_counts(packed)
     total = int(counts.sum()) + texts

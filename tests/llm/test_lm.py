@@ -124,6 +124,24 @@ def test_learns_from_all_parts(spark):
     assert warm < some < every
 
 
+def test_learns_from_every_id_by_default(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").repartition(4, "doc_id")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5
+
+    def scores(**more):
+        return {r.doc_id: r._score for r in lm.score(docs, rest != 1, warm_ids=20000, warm_epochs=1, **more).collect()}
+
+    default, whole, part = scores(), scores(share=1.0, rounds=1), scores(share=0.1, rounds=1)
+    assert default == pytest.approx(whole, rel=1e-6)
+    assert default != pytest.approx(part, rel=1e-6)
+
+
+def test_windows_are_blocks_with_the_one_before():
+    x = np.arange(3 * lm.STRIDE * 2.0).reshape(-1, 2)
+    w = lm.Model.windows(x)
+    assert w.shape == (2, 2 * lm.STRIDE, 2) and (w[0] == x[: 2 * lm.STRIDE]).all() and (w[1] == x[lm.STRIDE :]).all()
+
+
 def test_packed_ids_come_back(spark):
     import pyarrow as pa
 
