@@ -3,8 +3,10 @@
 A document is the set of its distinct shingles of `width` lower-cased (A-Z) words; a shorter one is one shingle, one
 without words is empty and linked with nothing. Two documents link when den * |both| >= num * |either|.
 
-1. One exchange tells which shingles occur in one document only. They stand first in the common order of tokens, the
-   others follow by hash. Links lie in the others, so a document with too few of those is out at once.
+1. One exchange tells which shingles occur in one document only. They stand first in the common order of tokens. Links lie
+   in the others, so a document with too few of those is out at once. The others follow by the number of sets that hold them,
+   in powers of two from `RARE` on, and by hash: what many sets share stands last, so prefixes seldom reach it and lists
+   stay short as the collection grows.
 2. The l-prefix of a set of n tokens has n - ceil(t * n) + l tokens; linked sets share l tokens of their l-prefixes at
    least. Each document takes the l whose cost is least: the summed lengths of the prefix's lists, and what verifying
    costs, since at most one in l of the rows counted can become a candidate. A pair needs min(l, l') shared tokens.
@@ -15,7 +17,7 @@ without words is empty and linked with nothing. Two documents link when den * |b
    Where links are asked for, all pairs of sets of a component are compared the same way, and each document's are counted.
 4. Components grow by alternating large-star and small-star steps over DataFrames, each step a written table.
 
-Sets are compared by 64-bit hashes of their shingles, and equal sets found by 128 bits.
+Sets are compared by 60-bit hashes of their shingles, and equal sets found by 128 bits.
 
 Defined cases: null text is empty; rows of equal id and text are copies like others; a null id is nobody's smallest id
 unless all are null; an empty table gives an empty result; `drop_near_duplicates` passes all columns, whatever their names.
@@ -34,6 +36,8 @@ from .common import buffers, mix, numbers, prefix_hash, repeated, slices, span_h
 BLOCK_BYTES = 4 << 20
 #: Pairs of one set that are verified in one task, about.
 SHARE = 256
+#: A token in this many sets at most is rare; more frequent ones stand behind, the more the later.
+RARE = 32
 #: Sets in a block of those whose links are counted.
 LINK_BLOCK = 512
 OTHER = np.uint64(0x2545F4914F6CDD1D)
@@ -85,6 +89,38 @@ def sets(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col:
     return stored(rows.select("_id", "_hash", "_text", "_at").mapInArrow(made, "_id long, _hash long, _n long, _k binary, _shared binary"), "sets", release=True)
 
 
+def by_frequency(reps: DataFrame) -> DataFrame:
+    """`reps` with the tokens of `_shared` named anew: the upper 4 bits say how frequent one is, so frequent ones stand last."""
+
+    def tokens(it):
+        for b in it:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("_shared")]
+            k = b.column("_k").take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), k], names=["_token", "_k"])
+
+    def named(it):
+        for b in it:
+            out = []
+            for x, found, level in zip(b.column("_shared"), b.column("_found"), b.column("_level")):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                new = own >> np.uint64(4)
+                if found.is_valid:
+                    which = np.searchsorted(own, np.asarray(found.values).view(np.uint64))
+                    new[which] |= np.asarray(level.values).astype(np.uint64) << np.uint64(60)
+                new.sort()
+                out.append(new.tobytes())
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "_shared"])
+
+    kept = [c for c in reps.columns if c != "_shared"]
+    rows = reps.select("_k", "_shared").mapInArrow(tokens, "_token long, _k long")
+    # an entry each for the frequent tokens alone is joined back; 15 levels of twice the sets each
+    level = F.least(F.ceil(F.log2(F.count(F.lit(1)) / F.lit(float(RARE)))), F.lit(15)).cast("long")
+    often = stored(rows.groupBy("_token").agg(level.alias("_level")).filter("_level > 0"), "frequent")
+    found = rows.join(often, "_token").groupBy("_k").agg(F.collect_list(F.struct("_token", "_level")).alias("_f"))
+    found = found.select("_k", F.col("_f._token").alias("_found"), F.col("_f._level").alias("_level"))
+    return reps.join(found, "_k", "left").select(*kept, "_shared", "_found", "_level").mapInArrow(named, reps.select(*kept, "_shared").schema)
+
+
 def postings(reps: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """(_token, _k, _n, _l): the tokens of each set's adaptive prefix that another prefix of length `most` has too."""
 
@@ -258,6 +294,7 @@ def labelled(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, most:
     hopeful = rows.filter("_shared is not null")
     reps = hopeful.groupBy(F.col("_k").alias("_name")).agg(F.first("_n").alias("_n"), F.first("_shared").alias("_shared"), F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
     reps = stored(reps.withColumn("_k", F.monotonically_increasing_id()), "reps")  # short names, fixed by the table
+    reps = stored(by_frequency(reps), "ordered", release=True)
     lists = stored(postings(reps, num, den, most), "postings")
 
     # first round: every list's pivot with its other members
