@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, slices, word_hashes, word_spans
+from .common import buffers, released, slices, word_hashes, word_spans
 
 #: Bytes that stand between terms: ASCII but letters and digits.
 BETWEEN = np.zeros(256, bool)
@@ -167,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, bits: int
     rows = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("_d") == F.col("_id"))  # at most max_train ids
     rows = rows.select("_id", F.col("_label").alias("label"), "text").mapInArrow(hashed, kind)
     got = rows.groupBy("_id").agg(F.min(F.struct("terms", "label")).alias("_r")).select("_id", "_r.*").toArrow().sort_by("_id")  # one row of an id
-    return fit([np.asarray(x, np.int64) for x in got["terms"].to_numpy()], got["label"].to_numpy().astype(float), bits, seed=seed, **more)
+    model = fit([np.asarray(x, np.int64) for x in got["terms"].to_numpy()], got["label"].to_numpy().astype(float), bits, seed=seed, **more)
+    del got
+    released()  # the driver has more to do after this
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
