@@ -46,6 +46,9 @@ PARTIAL = T.StructType([T.StructField("_doc", T.StructType()), *(T.StructField(k
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _CODERS: dict[int, object] = {}
+#: Words whose ids a worker keeps at most, and what it keeps: sorted hashes, where their ids begin, how many there are, ids.
+KEPT_WORDS = 1 << 19
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def coder(vocabulary: bytes):
@@ -59,26 +62,45 @@ def coder(vocabulary: bytes):
     return _CODERS[key]
 
 
+def known_words(distinct: np.ndarray, vocabulary: bytes, spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of these word hashes where its ids begin in the last array returned, and how many there are.
+
+    spelled(numbers): lines with the words of these numbers. It is asked only for words that this worker has not split yet;
+    a worker keeps the ids of `KEPT_WORDS` words at most and then starts anew."""
+    key, enc = hash(vocabulary), coder(vocabulary)
+    none = np.zeros(0, np.int32)
+    known, begin, size, pool = _KEPT.get(key, (np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint16)))
+    if len(known) + len(distinct) > KEPT_WORDS:
+        known, begin, size, pool = np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint16)
+    at = np.searchsorted(known, distinct)
+    new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != distinct) if len(known) else np.arange(len(distinct))
+    if len(new):
+        ids = enc.encode_to_numpy(spelled(new).decode(), disallowed_special=())
+        stop = np.flatnonzero(ids == enc.encode_single_token(b"\n"))
+        starts = np.concatenate([[0], stop[:-1] + 1])
+        known, begin, size = (np.insert(x, at[new], y) for x, y in ((known, distinct[new]), (begin, starts + len(pool)), (size, stop - starts)))
+        pool = np.concatenate([pool, ids.astype(np.uint16)])
+        _KEPT[key] = known, begin, size, pool
+        at = np.searchsorted(known, distinct)
+    return begin[at], size[at], pool
+
+
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, vocabulary: bytes):
-    """Word hashes, and for each text its ids with -1 at the end: distinct words are split once. Also where each text ends."""
+    """Distinct word hashes, the place of each word's among them, and for each text its ids with -1 at the end. Also where each text ends."""
     hashes = word_hashes(data, start, end, True)
     if not len(hashes):
         n = len(first) - 1
-        return hashes, np.full(n, -1, np.int64), np.arange(1, n + 1)
-    _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        return hashes, np.zeros(0, np.int64), np.full(n, -1, np.int64), np.arange(1, n + 1)
+    distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
     raw = LOWER[data].tobytes()
-    lines = b"\n".join([b" " + raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist())]) + b"\n"
-    enc = coder(vocabulary)
-    ids = enc.encode_to_numpy(lines.decode(), disallowed_special=()).astype(np.int64)
-    stop = np.flatnonzero(ids == enc.encode_single_token(b"\n"))
-    begin = np.concatenate([[0], stop[:-1] + 1])
-    size = (stop - begin)[back]
-    upto = np.concatenate([[0], np.cumsum(size)])
+    begin, size, pool = known_words(distinct, vocabulary, lambda new: b"\n".join([b" " + raw[s:e] for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist())]) + b"\n")
+    size = size[back]
+    upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out = np.full(upto[-1] + len(first) - 1, -1, np.int64)
     at = np.arange(upto[-1]) + np.repeat(text, size)  # one place more for the end of each text before
-    out[at] = ids[np.arange(upto[-1]) + np.repeat(begin[back] - upto[:-1], size)]
-    return hashes, out, upto[first[1:]] + np.arange(1, len(first))
+    out[at] = pool[np.arange(upto[-1]) + np.repeat(begin[back] - upto[:-1], size)]
+    return distinct, back, out, upto[first[1:]] + np.arange(1, len(first))
 
 
 @dataclass
@@ -99,21 +121,40 @@ class Model:
         scale = {"e": 0.5, "q": d**-0.5, "k": d**-0.5, "v": d**-0.5, "w": (2 * d) ** -0.5, "c": 0.1, "m": 0.1}
         self.p = {k: (rng.normal(0, scale[k], v) if k in scale else np.zeros(v)).astype(np.float32) for k, v in shape.items()}
 
-    def attend(self, x: np.ndarray, first: np.ndarray):
-        """Attention of each position over those before it in its text; first: where the text of each position begins."""
-        p, n, d = self.p, len(x) // STRIDE, self.d
-        both = np.zeros((len(x) + STRIDE, 3 * d), x.dtype)  # a block of zeros stands before the first
-        np.matmul(x, np.concatenate([p["q"] * np.float32(d**-0.5), p["k"], p["v"]], 1), out=both[STRIDE:])
+    def joined(self) -> tuple:
+        """Parameters as `forward` multiplies with them, biases as one row more: of queries, keys and values; of distances,
+        -inf to what comes later; of the hidden layer, with one unit more that is always 1; of classes and of members."""
+        p = self.p
+        dtype = p["w"].dtype
+        qkv = np.concatenate([p["q"] * dtype.type(self.d**-0.5), p["k"], p["v"]], 1)
+        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
+        far = np.where(j <= i, p["far"][np.clip(i - j, 0, 2 * STRIDE - 1)], -np.inf).astype(dtype)
+        w = np.zeros((2 * self.d + 1, self.h + 1), dtype)
+        w[:-1, :-1], w[-1, :-1], w[-1, -1] = p["w"], p["b"], 40  # tanh(40) is 1
+        c, m = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["m"], p["mb"][:, None]], 1)
+        return qkv, far, w, c, m
+
+    def attend(self, x: np.ndarray, first: np.ndarray, qkv: np.ndarray, far: np.ndarray, capped: bool):
+        """Attention of each position over those before it in its text; first: where the text of each position begins.
+
+        The values have a column of ones, whose attended sum is what the weights `a` are divided by; it comes back as ones."""
+        n, d = len(x) // STRIDE, self.d
+        both = np.zeros((len(x) + STRIDE, 3 * d + 1), x.dtype)  # a block of zeros stands before the first
+        np.matmul(x, qkv, out=both[STRIDE:, :-1])
+        both[:, -1] = 1
         q, k, v = both[STRIDE:, :d].reshape(n, STRIDE, d), self.windows(both[:, d : 2 * d]), self.windows(both[:, 2 * d :])
         a = np.matmul(q, k.transpose(0, 2, 1))
-        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
-        a += np.where(j <= i, p["far"][np.clip(i - j, 0, 2 * STRIDE - 1)], -np.inf).astype(np.float32)
+        a += far
         begin = (first - np.arange(len(x)) // STRIDE * STRIDE + STRIDE).reshape(n, STRIDE)
         cut = np.flatnonzero(begin.max(1) > 0)
-        a[cut] = np.where(j >= begin[cut][:, :, None], a[cut], -np.inf)
-        np.exp(np.minimum(a, 60, out=a), out=a)
-        a /= a.sum(2, keepdims=True)
-        return q, k, v, a, np.matmul(a, v).reshape(len(x), -1)
+        a[cut] = np.where(np.arange(2 * STRIDE) >= begin[cut][:, :, None], a[cut], -np.inf)
+        if capped:
+            np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        o = np.matmul(a, v).reshape(len(x), -1)
+        all_a = o[:, -1:].copy()
+        o /= all_a
+        return q, k, v, a, o, all_a
 
     @staticmethod
     def windows(x: np.ndarray) -> np.ndarray:
@@ -121,77 +162,97 @@ class Model:
         row, column = x.strides
         return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, x.shape[1]), (STRIDE * row, row, column), writeable=False)
 
-    def forward(self, units: np.ndarray, target: np.ndarray, first: np.ndarray):
-        """Natural log probability of each target after its unit; and what a training step needs."""
-        p = self.p
-        x = p["e"][units]
-        q, k, v, a, o = self.attend(x, first)
-        z = np.concatenate([x, o], 1)
-        h = np.tanh(z @ p["w"] + p["b"])
-        c, m = np.divmod(target, self.side)
-        soft = h @ p["c"] + p["cb"]
-        np.exp(np.minimum(soft, 60, out=soft), out=soft)
-        all_c = soft.sum(1)
+    @np.errstate(over="ignore", invalid="ignore")
+    def forward(self, units: np.ndarray, target: np.ndarray, first: np.ndarray, joined: tuple | None = None, capped: bool = False):
+        """Natural log probability of each target after its unit; and what a training step needs.
+
+        After attention the rows stand in order of the targets' classes, so that the members of a class are one product.
+        capped: logits count 60 at most. That is asked for only once sums of their powers show that some are higher."""
+        joined = joined or self.joined()
+        qkv, far, w, wc, wm = joined
+        side = self.side
+        x = self.p["e"][units]
+        q, k, v, a, o, all_a = self.attend(x, first, qkv, far, capped)
+        c, m = np.divmod(target.astype(np.int32), np.int32(side))
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.side + 1))
-        ho = h[order]
-        within = np.empty((len(h), self.side), h.dtype)
-        for g in np.flatnonzero(np.diff(cuts)):
+        c, m = c[order], m[order]
+        cuts = np.searchsorted(c, np.arange(side + 1))
+        z = np.concatenate([x, o], 1)[order]
+        h = z @ (w * w.dtype.type(-2))
+        np.exp(h, out=h)  # tanh by its power, which numpy takes faster
+        h += 1
+        np.divide(2, h, out=h)
+        h -= 1
+        soft = np.empty((len(h), 2 * side), h.dtype)  # of classes, then of members of the target's class
+        np.matmul(h, wc, out=soft[:, :side])
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[g], cuts[g + 1])
-            np.matmul(ho[s], p["m"][g], out=within[s])
-            within[s] += p["mb"][g]
-        np.exp(np.minimum(within, 60, out=within), out=within)
-        all_m = within.sum(1)
+            np.matmul(h[s], wm[g], out=soft[s, side:])
+        if capped:
+            np.minimum(soft, 60, out=soft)
+        np.exp(soft, out=soft)
+        sums = soft @ np.repeat(np.eye(2, dtype=h.dtype), side, 0)
+        if not capped and not (sums.max() < math.exp(60) and all_a.max() < math.exp(60)):
+            return self.forward(units, target, first, joined, True)
         row = np.arange(len(h))
-        out = np.log(soft[row, c] / all_c)
-        out[order] += np.log(within[row, m[order]] / all_m)
-        return out, (x, q, k, v, a, z, h, c, m, soft, all_c, order, cuts, ho, within, all_m)
-
-    def step(self, units, target, first, live):
-        """Gradients of the mean loss over live positions."""
-        p, side = self.p, self.side
-        logp, (x, q, k, v, a, z, h, c, m, soft, all_c, order, cuts, ho, within, all_m) = self.forward(units, target, first)
-        weight = (live / max(live.sum(), 1)).astype(np.float32)[:, None]
+        out = np.empty(len(h), h.dtype)
+        out[order] = np.log(soft[row, c] / sums[:, 0]) + np.log(soft[row, m + side] / sums[:, 1])
+        return out, (x, q, k, v, a, o, all_a, z, h, c, m, soft, sums, order, cuts)
+
+    def step(self, units, target, first, live, into: dict | None = None):
+        """Gradients of the mean loss over live positions, written to `into` if given."""
+        p, side, d = self.p, self.side, self.d
+        qkv, _, w, wc, wm = joined = self.joined()
+        logp, (x, q, k, v, a, o, all_a, z, h, c, m, soft, sums, order, cuts) = self.forward(units, target, first, joined)
         row, g = np.arange(len(h)), {}
-        soft /= all_c[:, None]
+        cells = soft.reshape(len(h), 2, side)
+        cells /= sums[:, :, None]
         soft[row, c] -= 1
-        soft *= weight
-        within /= all_m[:, None]
-        within[row, m[order]] -= 1
-        within *= weight[order]
-        g["c"], g["cb"] = h.T @ soft, soft.sum(0)
-        dh = soft @ p["c"].T
-        g["m"], g["mb"], back = np.zeros_like(p["m"]), np.zeros_like(p["mb"]), np.zeros_like(ho)
-        for n in range(side):
+        soft[row, m + side] -= 1
+        if not live.all():
+            soft[~live[order]] = 0
+        of_c, of_m = h.T @ soft[:, :side], np.zeros_like(wm)
+        back = np.empty((len(h), self.h), h.dtype)
+        for n in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[n], cuts[n + 1])
-            g["m"][n], g["mb"][n], back[s] = ho[s].T @ within[s], within[s].sum(0), within[s] @ p["m"][n].T
-        dh[order] += back
-        dh *= 1 - h * h
-        g["w"], g["b"] = z.T @ dh, dh.sum(0)
-        dz = dh @ p["w"].T
-        dx, do = dz[:, : self.d].copy(), np.ascontiguousarray(dz[:, self.d :]).reshape(-1, STRIDE, self.d)
+            np.matmul(h[s].T, soft[s, side:], out=of_m[n])
+            np.matmul(soft[s, side:], wm[n, :-1].T, out=back[s])
+        g["c"], g["cb"], g["m"], g["mb"] = of_c[:-1], of_c[-1], of_m[:, :-1], of_m[:, -1]
+        back += soft[:, :side] @ wc[:-1].T
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h[:, :-1]
+        of_w = z.T @ back
+        g["w"], g["b"] = of_w[:-1], of_w[-1]
+        dz = np.empty((len(h), 2 * d), h.dtype)
+        dz[order] = back @ w[:-1, :-1].T
+        # gradients of what is divided by the sums, with what the sums themselves lose in the column of the ones
+        do = np.empty_like(o)
+        np.divide(dz[:, d:], all_a, out=do[:, :-1])
+        np.negative(np.einsum("ij,ij->i", do[:, :-1], o[:, :-1]), out=do[:, -1])
+        do = do.reshape(-1, STRIDE, d + 1)
         ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds -= np.matmul(ds[:, :, None, :], a[:, :, :, None])[:, :, 0]
         ds *= a
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
-        g["far"] = np.bincount(np.clip(i - j, 0, 2 * STRIDE - 1).ravel(), np.where(j <= i, ds.sum(0), 0).ravel(), 2 * STRIDE).astype(np.float32)
-
-        def folded(y):  # what both blocks of a window say about a position
-            out = y[:, STRIDE:].copy()
-            out[:-1] += y[1:, :STRIDE]
-            return out.reshape(len(x), -1)
-
-        dq = np.matmul(ds, k).reshape(len(x), -1) * np.float32(self.d**-0.5)
-        dk, dv = folded(np.matmul(ds.transpose(0, 2, 1), q)), folded(np.matmul(a.transpose(0, 2, 1), do))
-        for name, y in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = x.T @ y
-            dx += y @ p[name].T
+        g["far"] = np.bincount(np.clip(i - j, 0, 2 * STRIDE - 1).ravel(), ds.sum(0).ravel(), 2 * STRIDE).astype(x.dtype)
+        of_qkv = np.empty((len(x), 3 * d), x.dtype)
+        blocks = of_qkv.reshape(-1, STRIDE, 3 * d)
+        np.matmul(ds, k, out=blocks[:, :, :d])
+        for at, y in ((d, np.matmul(ds.transpose(0, 2, 1), q)), (2 * d, np.matmul(a.transpose(0, 2, 1), do[:, :, :-1]))):
+            # what both blocks of a window say about a position
+            blocks[:, :, at : at + d] = y[:, STRIDE:]
+            blocks[:-1, :, at : at + d] += y[1:, :STRIDE]
+        g["q"], g["k"], g["v"] = np.split(x.T @ of_qkv, 3, axis=1)
+        g["q"] *= x.dtype.type(d**-0.5)
+        dx = of_qkv @ qkv.T
+        dx += dz[:, :d]
         g["e"] = np.zeros_like(p["e"])
-        by_unit = np.argsort(units.astype(np.uint16), kind="stable") if self.side <= 256 else np.argsort(units, kind="stable")
+        by_unit = np.argsort(units.astype(np.uint16), kind="stable") if side <= 256 else np.argsort(units, kind="stable")
         of = units[by_unit]
         begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         g["e"][of[begins]] = np.add.reduceat(dx[by_unit], begins, axis=0)
-        return logp, g
+        share = x.dtype.type(1 / max(live.sum(), 1))
+        return logp, {k: np.multiply(y, share, out=into and into[k]) for k, y in g.items()}
 
     def laid_out(self, ids: np.ndarray, ends: np.ndarray):
         """Units before and at each position, the place where its text begins, and what rare ids cost more."""
@@ -215,10 +276,11 @@ class Model:
             n = int(room.sum())
             units, wanted, begin, out = np.zeros(n, before.dtype), np.zeros(n, target.dtype), np.arange(n), np.empty(n)
             units[place], wanted[place], begin[place] = before, target, first + np.repeat(shift, size)
+            joined = self.joined()
             for at in range(0, n, batch - STRIDE):
                 low = max(at - STRIDE, 0)  # one block of context; positions are laid out anew from `low`
                 to = min(at + batch - STRIDE, n)
-                out[at:to] = self.forward(units[low:to], wanted[low:to], np.maximum(begin[low:to] - low, 0))[0][at - low :]
+                out[at:to] = self.forward(units[low:to], wanted[low:to], np.maximum(begin[low:to] - low, 0), joined)[0][at - low :]
             logp = out[place] / math.log(10) + more
         total = np.concatenate([[0.0], np.cumsum(logp)])
         return total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0)
@@ -259,10 +321,20 @@ class Descent:
 
     def __init__(self, model: Model, rate: float):
         self.model, self.rate, self.n, self.seen, self.fresh = model, rate, 0, 0, not model.squares
-        self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
+        size = sum(x.size for x in model.p.values())
+        # one array each, of which the model's are views: means, mean squares, gradients and parameters
+        self.m, self.v, self.g, self.x = np.zeros((4, size), next(iter(model.p.values())).dtype)
         if self.fresh:
             model.squares = {k: np.zeros_like(x) for k, x in model.p.items()}
-        self.v = model.squares
+        model.squares, model.p = self.views(self.v, model.squares), self.views(self.x, model.p)
+        self.grads = self.views(self.g, model.p)
+
+    def views(self, flat: np.ndarray, had: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Views of `flat` that hold what `had` holds."""
+        out = {k: y.reshape(had[k].shape) for (k, y) in zip(self.model.p, np.split(flat, np.cumsum([x.size for x in self.model.p.values()])[:-1]))}
+        for k, y in out.items():
+            y[...] = had[k]
+        return out
 
     def learn(self, ids: np.ndarray, ends: np.ndarray, rng, share: float, batch: int, left=lambda n: 1.0) -> None:
         """left(n): the part of the rate that the n-th step has."""
@@ -270,34 +342,37 @@ class Descent:
         places = np.arange(0, len(ids), PIECE)
         places = rng.permutation(places[rng.random(len(places)) < share])
         for at in range(0, len(places), max(batch // PIECE, 1)):
-            parts, base = ([], [], [], []), 0
-            for low in places[at : at + max(batch // PIECE, 1)]:
-                own = slice(low, min(low + PIECE, len(ids)))
-                n = own.stop - low
-                size = -n % STRIDE
-                for x, y in zip(parts, (np.pad(before[own], (0, size)), np.pad(target[own], (0, size)), np.maximum(np.pad(first[own], (0, size), constant_values=own.stop) - low, 0) + base, np.arange(n + size) < n)):
-                    x.append(y)
-                base += n + size
-            units, wanted, begin, live = map(np.concatenate, parts)
-            _, grads = self.model.step(units, wanted, begin, live)
+            some = places[at : at + max(batch // PIECE, 1)]
+            size = np.minimum(len(ids) - some, PIECE)
+            room = -(-size // STRIDE) * STRIDE
+            units, wanted, begin, live = np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.int32), np.arange(room.sum()), np.zeros(room.sum(), bool)
+            for low, n, base in zip(some.tolist(), size.tolist(), (np.cumsum(room) - room).tolist()):
+                own, to = slice(low, low + n), slice(base, base + n)
+                units[to], wanted[to], live[to] = before[own], target[own], True
+                np.maximum(first[own] - low, 0, out=begin[to])
+                begin[to] += base
+            self.model.step(units, wanted, begin, live, self.grads)
             self.n += 1
             self.seen += int(live.sum())
-            lr = self.rate * left(self.n) * min(1, self.n / 20)
-            for k, x in grads.items():
-                m, v = self.m[k], self.v[k]
-                young = (1 - 0.9**self.n, 1 - 0.99**self.n) if self.fresh else (1, 1)
-                m *= 0.9
-                m += 0.1 * x
-                np.multiply(x, x, out=x)
-                x *= 0.01
-                v *= 0.99
-                v += x
-                # x is the gradient no longer but the divisor
-                np.sqrt(np.multiply(v, 1 / young[1], out=x), out=x)
-                x += 1e-8
-                np.divide(m, x, out=x)
-                x *= lr / young[0]
-                self.model.p[k] -= x
+            self.moved(self.rate * left(self.n) * min(1, self.n / 20))
+
+    def moved(self, lr: float, block: int = 1 << 13) -> None:
+        """One step along the gradients, a block at a time, which stays in the cache."""
+        young = (1 - 0.9**self.n, 1 - 0.99**self.n) if self.fresh else (1, 1)
+        root = math.sqrt(100 * young[1])
+        for at in range(0, len(self.x), block):
+            m, v, g, x = (y[at : at + block] for y in (self.m, self.v, self.g, self.x))
+            m *= 0.9
+            m += g  # ten times the mean; v is a hundred times the mean square
+            g *= g
+            v *= 0.99
+            v += g
+            # g is the gradient no longer but the divisor
+            np.sqrt(v, out=g)
+            g += 1e-8 * root
+            np.divide(m, g, out=g)
+            g *= 0.1 * root * lr / young[0]
+            x -= g
 
 
 def fit(ids: np.ndarray, ends: np.ndarray, side: int = 40, epochs: int = 3, batch: int = 1024, rate: float = 1.5e-2, seed: int = 5, model: Model | None = None) -> Model:
@@ -454,16 +529,17 @@ def score(docs: DataFrame, trains: Column, vocabulary_file: str | None = None, t
             for i, j in slices(off):
                 own, lines = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 start, end, first = word_spans(own, lines)
-                hashes, ids, ends = subwords(own, start, end, first, vocabulary)
+                distinct, back, ids, ends = subwords(own, start, end, first, vocabulary)
                 # the ends are words too
-                words = np.insert(hashes, first[1:], END).view(np.int64)
+                distinct, back = np.append(distinct, END).view(np.int64), np.insert(back, first[1:], len(distinct))
                 edges = first + np.arange(len(first))
-                at = np.minimum(np.searchsorted(top, words), max(len(top) - 1, 0))
-                found = top[at] == words if len(top) else np.zeros(len(words), bool)
-                sums = np.concatenate([[0.0], np.cumsum(gain[np.where(found, at, -1)])])
+                at = np.minimum(np.searchsorted(top, distinct), max(len(top) - 1, 0))
+                found = top[at] == distinct if len(top) else np.zeros(len(distinct), bool)
+                sums = np.concatenate([[0.0], np.cumsum(gain[np.where(found, at, -1)][back])])
+                found = found[back]
                 hits = np.concatenate([[0], np.cumsum(found)])
                 text = np.repeat(np.arange(j - i), np.diff(edges))[~found]
-                rest = words[~found]
+                rest = distinct[back[~found]]
                 order = np.lexsort((rest, text))
                 text, rest = text[order], rest[order]
                 begin = np.flatnonzero(np.concatenate([np.ones(min(len(rest), 1), bool), (rest[1:] != rest[:-1]) | (text[1:] != text[:-1])]))

@@ -154,3 +154,50 @@ def test_columns_of_any_name_pass(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_doc", "_row", "_ids", "_others", "_learns", "_text", "_r", "_word")})
     out = lm.score(df, F.lit(True), rounds=0)
     assert out.filter(" and ".join(f"{c} = 'x'" for c in df.columns[2:])).count() == 2 and "text" not in out.columns
+
+
+def test_words_are_split_once_by_a_worker(monkeypatch):
+    from strandlake.llm.common import LOWER, word_spans
+
+    asked, real = [], lm.coder(open(lm.VOCABULARY, "rb").read())
+
+    class Counting:
+        def encode_to_numpy(self, lines, **more):
+            asked.append(lines)
+            return real.encode_to_numpy(lines, **more)
+
+        encode_single_token = staticmethod(real.encode_single_token)
+
+    vocabulary = b"of this test"
+    monkeypatch.setattr(lm, "coder", lambda _: Counting())
+
+    def ids(*texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+        got = lm.subwords(data, *word_spans(data, off), vocabulary)[-2:]
+        want = [i for x in texts for i in [*(k for w in LOWER[np.frombuffer(x.encode(), np.uint8)].tobytes().split() for k in real.encode(" " + w.decode())), -1]]
+        assert got[0].tolist() == want and got[1][-1] == len(want)
+
+    ids("Some words, sOme more", "", "ünknown words,")
+    ids("words, some", "more")
+    assert len(asked) == 1 and sorted(asked[0].splitlines()) == [" more", " some", " words,", " ünknown"]
+    ids("brandnew words,")
+    assert asked[1:] == [" brandnew\n"]
+    monkeypatch.setattr(lm, "KEPT_WORDS", 3)
+    for _ in range(2):
+        ids("some more words,", "ünknown brandnew")
+    assert len(asked) > 2
+
+
+def test_high_logits_are_capped():
+    ids, ends = made()
+    model = lm.fit(ids, ends, side=4, epochs=1, batch=64)
+    before, target, first, _ = model.laid_out(ids[:64], np.append(ends[ends < 64], 64))
+    for name, by in (("c", 300), ("m", 300), ("q", 3000)):
+        had = model.p[name].copy()
+        model.p[name] *= by
+        got = model.forward(before, target, first)[0]
+        assert not np.isnan(got).any()
+        assert got == pytest.approx(model.forward(before, target, first, capped=True)[0], rel=1e-6), name
+        model.p[name][...] = had
+    assert model.forward(before, target, first)[0] == pytest.approx(model.forward(before, target, first, capped=True)[0], rel=1e-6)
