@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z) words, each written with a space before it and split into the ids of a given public vocabulary,
 with one end at the end. The model embeds ids, attends over the ids before in a window with a learned weight for each
-distance, and predicts the next id by two softmax layers (class, member of the class). Ids rare in the corpus share one
-unit, and within it have their smoothed share, so the probabilities of all ids sum to one.
+distance, and predicts the next id by two softmax layers (class, member of the class); classes of frequent ids are small.
+Ids rare in the corpus share one unit, and within it have their smoothed share, so the probabilities of all ids sum to one.
 
 All texts of a batch are one sequence cut into blocks of `STRIDE` positions. A block's queries attend over its own and the
 block before, so windows overlap by half and each id is scored once, with at least STRIDE ids of context where there are
@@ -25,6 +25,7 @@ import base64
 import copy
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,9 @@ VOCABULARY, VOCABULARY_SETTING = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken",
 STRIDE = 16
 #: Ids that are learnt from in one piece, and parts in which parameters are averaged.
 PIECE, PARTS = 1024, 16
+#: How far each position of a window's second block is from those of the window; the last number stands for what comes later.
+APART = np.arange(STRIDE, 2 * STRIDE)[:, None] - np.arange(2 * STRIDE)
+APART[APART < 0] = 2 * STRIDE
 RESULTS = ("_n_tokens", "_n_known", "_train_tokens", "_base_score", "_score")
 #: What is known of a text before the model is: `_doc` holds its other columns, `_ids` two bytes for each subword.
 PARTIAL = T.StructType([T.StructField("_doc", T.StructType()), *(T.StructField(k, t) for k, t in {"_row": T.LongType(), "_learns": T.BooleanType(), "_n_tokens": T.LongType(), "_n_known": T.LongType(), "_base_score": T.DoubleType(), "_ids": T.BinaryType(), "_others": T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("times", T.LongType())]))}.items())])
@@ -105,56 +109,67 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.nda
 
 @dataclass
 class Model:
-    """side: classes, and members of a class; units are 0 the end (also before a text), 1 the rare ids, then ids by frequency."""
+    """side: the root of the number of units. Units are 0 the end (also before a text), 1 the rare ids, then ids by frequency;
+    a class is a run of them, from one of `edges` to the next (`classes`)."""
 
     side: int = 40
     d: int = 16
     h: int = 32
     unit: np.ndarray = field(default_factory=lambda: np.ones(1 << 16, np.int32))
     rest: np.ndarray = field(default_factory=lambda: np.full(1 << 16, -16 * math.log10(2)))
+    edges: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     p: dict[str, np.ndarray] = field(default_factory=dict)
     squares: dict[str, np.ndarray] = field(default_factory=dict)  # of gradients, of the first fit
 
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """The class of each unit."""
+        return np.repeat(np.arange(len(self.edges) - 1, dtype=np.uint16), np.diff(self.edges))
+
     def start(self, seed: int) -> None:
-        rng, d, h, s = np.random.default_rng(seed), self.d, self.h, self.side
-        shape = {"e": (s * s, d), "q": (d, d), "k": (d, d), "v": (d, d), "far": (2 * STRIDE,), "w": (2 * d, h), "b": (h,), "c": (h, s), "cb": (s,), "m": (s, h, s), "mb": (s, s)}
+        """Parameters; the last row of `c` and the last column of `m` are biases."""
+        rng, d, h, n = np.random.default_rng(seed), self.d, self.h, self.side**2
+        shape = {"e": (n, d), "q": (d, d), "k": (d, d), "v": (d, d), "far": (2 * STRIDE,), "w": (2 * d, h), "b": (h,), "c": (h + 1, len(self.edges) - 1), "m": (n, h + 1)}
         scale = {"e": 0.5, "q": d**-0.5, "k": d**-0.5, "v": d**-0.5, "w": (2 * d) ** -0.5, "c": 0.1, "m": 0.1}
         self.p = {k: (rng.normal(0, scale[k], v) if k in scale else np.zeros(v)).astype(np.float32) for k, v in shape.items()}
 
     def joined(self) -> tuple:
-        """Parameters as `forward` multiplies with them, biases as one row more: of queries, keys and values; of distances,
-        -inf to what comes later; of the hidden layer, with one unit more that is always 1; of classes and of members."""
-        p = self.p
+        """Parameters as `forward` multiplies with them: what a unit's vector and a one give to queries and the hidden layer;
+        of distances, -inf to what comes later; what attended vectors give to the hidden layer.
+
+        Keys and values are linear in the units' vectors, so their matrices are multiplied into those of the queries and the
+        hidden layer, and attention works on the vectors as they are. The hidden layer has one unit more that is always 1."""
+        p, d = self.p, self.d
         dtype = p["w"].dtype
-        qkv = np.concatenate([p["q"] * dtype.type(self.d**-0.5), p["k"], p["v"]], 1)
-        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
-        far = np.where(j <= i, p["far"][np.clip(i - j, 0, 2 * STRIDE - 1)], -np.inf).astype(dtype)
-        w = np.zeros((2 * self.d + 1, self.h + 1), dtype)
-        w[:-1, :-1], w[-1, :-1], w[-1, -1] = p["w"], p["b"], 40  # tanh(40) is 1
-        c, m = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["m"], p["mb"][:, None]], 1)
-        return qkv, far, w, c, m
-
-    def attend(self, x: np.ndarray, first: np.ndarray, qkv: np.ndarray, far: np.ndarray, capped: bool):
+        of_x, of_o = np.zeros((d + 1, d + self.h + 1), dtype), np.zeros((d + 1, self.h + 1), dtype)
+        np.matmul(p["q"] * dtype.type(d**-0.5), p["k"].T, out=of_x[:-1, :d])
+        of_x[:-1, d:-1], of_x[-1, d:-1], of_x[-1, -1] = p["w"][:d], p["b"], 1
+        np.matmul(p["v"], p["w"][d:], out=of_o[:-1, :-1])
+        e = np.ones((len(p["e"]), d + 1), dtype)
+        e[:, :-1] = p["e"]
+        return e, of_x, np.append(p["far"], dtype.type(-np.inf)).take(APART), of_o
+
+    def attend(self, x: np.ndarray, q: np.ndarray, first: np.ndarray, far: np.ndarray, capped: bool):
         """Attention of each position over those before it in its text; first: where the text of each position begins.
 
-        The values have a column of ones, whose attended sum is what the weights `a` are divided by; it comes back as ones."""
-        n, d = len(x) // STRIDE, self.d
-        both = np.zeros((len(x) + STRIDE, 3 * d + 1), x.dtype)  # a block of zeros stands before the first
-        np.matmul(x, qkv, out=both[STRIDE:, :-1])
-        both[:, -1] = 1
-        q, k, v = both[STRIDE:, :d].reshape(n, STRIDE, d), self.windows(both[:, d : 2 * d]), self.windows(both[:, 2 * d :])
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        x: vectors with a column of ones, after a block of zeros. The attended sum of the ones is what the weights `a` are
+        divided by; it comes back as ones. `both` has room for the weights' gradients before the weights of each block."""
+        rows, d = len(x) - STRIDE, self.d
+        n, near = rows // STRIDE, self.windows(x)
+        both = np.empty((n, 2 * STRIDE, 2 * STRIDE), x.dtype)
+        a = both[:, STRIDE:]
+        np.matmul(q.reshape(n, STRIDE, d), near[:, :, :-1].transpose(0, 2, 1), out=a)
         a += far
-        begin = (first - np.arange(len(x)) // STRIDE * STRIDE + STRIDE).reshape(n, STRIDE)
+        begin = first.reshape(n, STRIDE) - np.arange(-STRIDE, rows - STRIDE, STRIDE)[:, None]
         cut = np.flatnonzero(begin.max(1) > 0)
         a[cut] = np.where(np.arange(2 * STRIDE) >= begin[cut][:, :, None], a[cut], -np.inf)
         if capped:
-            np.minimum(a, 60, out=a)
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        o = np.matmul(a, v).reshape(len(x), -1)
+        o = np.matmul(a, near).reshape(rows, -1)
         all_a = o[:, -1:].copy()
         o /= all_a
-        return q, k, v, a, o, all_a
+        return near, both, o, all_a
 
     @staticmethod
     def windows(x: np.ndarray) -> np.ndarray:
@@ -163,96 +178,105 @@ class Model:
         return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, x.shape[1]), (STRIDE * row, row, column), writeable=False)
 
     @np.errstate(over="ignore", invalid="ignore")
-    def forward(self, units: np.ndarray, target: np.ndarray, first: np.ndarray, joined: tuple | None = None, capped: bool = False):
+    def forward(self, units: np.ndarray, target: np.ndarray, first: np.ndarray, joined: tuple | None = None, capped: bool = False, table: np.ndarray | None = None):
         """Natural log probability of each target after its unit; and what a training step needs.
 
         After attention the rows stand in order of the targets' classes, so that the members of a class are one product.
-        capped: logits count 60 at most. That is asked for only once sums of their powers show that some are higher."""
+        Classes differ in size, so the members' logits of all rows stand in one line, `soft`, a row after the other.
+        capped: logits are taken less the highest of their row. That is asked for only once sums of their powers are so high or
+        low that it matters.
+        table: what `joined` makes of each unit, where that was made before."""
         joined = joined or self.joined()
-        qkv, far, w, wc, wm = joined
-        side = self.side
-        x = self.p["e"][units]
-        q, k, v, a, o, all_a = self.attend(x, first, qkv, far, capped)
-        c, m = np.divmod(target.astype(np.int32), np.int32(side))
-        order = np.argsort(c.astype(np.uint16), kind="stable")
-        c, m = c[order], m[order]
-        cuts = np.searchsorted(c, np.arange(side + 1))
-        z = np.concatenate([x, o], 1)[order]
-        h = z @ (w * w.dtype.type(-2))
-        np.exp(h, out=h)  # tanh by its power, which numpy takes faster
-        h += 1
-        np.divide(2, h, out=h)
-        h -= 1
-        soft = np.empty((len(h), 2 * side), h.dtype)  # of classes, then of members of the target's class
-        np.matmul(h, wc, out=soft[:, :side])
-        for g in np.flatnonzero(np.diff(cuts)).tolist():
-            s = slice(cuts[g], cuts[g + 1])
-            np.matmul(h[s], wm[g], out=soft[s, side:])
+        e, of_x, far, of_o = joined
+        n, d, edges = len(units), self.d, self.edges
+        x = np.empty((n + STRIDE, d + 1), e.dtype)
+        x[:STRIDE] = 0  # a block of zeros stands before the first
+        e.take(units, 0, x[STRIDE:], "clip")
+        y = x[STRIDE:] @ of_x if table is None else table.take(units, 0)
+        near, both, o, all_a = self.attend(x, y[:, :d], first, far, capped)
+        h = o @ of_o
+        h += y[:, d:]
+        np.maximum(h, 0, out=h)
+        c = self.classes[target]
+        order = np.argsort(c, kind="stable")
+        c, h = c[order], h.take(order, 0)
+        cuts = np.searchsorted(c, np.arange(len(edges), dtype=c.dtype))
+        width = np.diff(edges)[c]
+        start = np.cumsum(width) - width
+        soft = np.empty(start[-1] + width[-1], h.dtype)
+        parts, at, cuts, ends, m = [], 0, cuts.tolist(), edges.tolist(), self.p["m"]
+        for low, to, begin, end in zip(cuts, cuts[1:], ends, ends[1:]):
+            if low < to:
+                part = soft[at : at + (to - low) * (end - begin)].reshape(to - low, end - begin)
+                np.dot(h[low:to], m[begin:end].T, part)
+                parts.append((slice(low, to), slice(begin, end), part))
+                at += part.size
+        of_c = h @ self.p["c"]
         if capped:
-            np.minimum(soft, 60, out=soft)
+            soft -= np.repeat(np.maximum.reduceat(soft, start), width)
+            of_c -= of_c.max(1, keepdims=True)
+        hit, row = start + (target[order] - edges[c]), np.arange(n)
+        logp = of_c[row, c] + soft[hit]
         np.exp(soft, out=soft)
-        sums = soft @ np.repeat(np.eye(2, dtype=h.dtype), side, 0)
-        if not capped and not (sums.max() < math.exp(60) and all_a.max() < math.exp(60)):
-            return self.forward(units, target, first, joined, True)
-        row = np.arange(len(h))
-        out = np.empty(len(h), h.dtype)
-        out[order] = np.log(soft[row, c] / sums[:, 0]) + np.log(soft[row, m + side] / sums[:, 1])
-        return out, (x, q, k, v, a, o, all_a, z, h, c, m, soft, sums, order, cuts)
+        np.exp(of_c, out=of_c)
+        sums, all_c = np.add.reduceat(soft, start), of_c @ np.ones(of_c.shape[1], h.dtype)
+        if not capped and not all(z.max() < math.exp(60) and z.min() > math.exp(-60) for z in (sums, all_c, all_a)):
+            return self.forward(units, target, first, joined, True, table)
+        logp -= np.log(all_c)
+        logp -= np.log(sums)
+        out = np.empty(n, h.dtype)
+        out[order] = logp
+        return out, (x, y, near, both, o, all_a, h, c, width, soft, of_c, sums, all_c, hit, row, order, parts)
 
     def step(self, units, target, first, live, into: dict | None = None):
         """Gradients of the mean loss over live positions, written to `into` if given."""
-        p, side, d = self.p, self.side, self.d
-        qkv, _, w, wc, wm = joined = self.joined()
-        logp, (x, q, k, v, a, o, all_a, z, h, c, m, soft, sums, order, cuts) = self.forward(units, target, first, joined)
-        row, g = np.arange(len(h)), {}
-        cells = soft.reshape(len(h), 2, side)
-        cells /= sums[:, :, None]
-        soft[row, c] -= 1
-        soft[row, m + side] -= 1
-        if not live.all():
-            soft[~live[order]] = 0
-        of_c, of_m = h.T @ soft[:, :side], np.zeros_like(wm)
-        back = np.empty((len(h), self.h), h.dtype)
-        for n in np.flatnonzero(np.diff(cuts)).tolist():
-            s = slice(cuts[n], cuts[n + 1])
-            np.matmul(h[s].T, soft[s, side:], out=of_m[n])
-            np.matmul(soft[s, side:], wm[n, :-1].T, out=back[s])
-        g["c"], g["cb"], g["m"], g["mb"] = of_c[:-1], of_c[-1], of_m[:, :-1], of_m[:, -1]
-        back += soft[:, :side] @ wc[:-1].T
-        h *= h
-        np.subtract(1, h, out=h)
-        back *= h[:, :-1]
-        of_w = z.T @ back
-        g["w"], g["b"] = of_w[:-1], of_w[-1]
-        dz = np.empty((len(h), 2 * d), h.dtype)
-        dz[order] = back @ w[:-1, :-1].T
+        p, d = self.p, self.d
+        _, of_x, _, of_o = joined = self.joined()
+        logp, (x, y, near, both, o, all_a, h, c, width, soft, of_c, sums, all_c, hit, row, order, parts) = self.forward(units, target, first, joined)
+        g = into or {name: np.empty_like(z) for name, z in p.items()}
+        share = live[order] * x.dtype.type(1 / max(live.sum(), 1))
+        soft *= np.repeat(share / sums, width)
+        soft[hit] -= share
+        of_c *= (share / all_c)[:, None]
+        of_c[row, c] -= share
+        back = np.empty((len(h), self.h + 1), h.dtype)
+        g["m"][...] = 0
+        for s, own, part in parts:
+            np.dot(part.T, h[s], g["m"][own])
+            np.dot(part, p["m"][own], back[s])
+        np.matmul(h.T, of_c, out=g["c"])
+        back += of_c @ p["c"].T
+        back *= h > 0
+        # gradients of all that comes from a unit's vector, side by side as in `of_x`
+        of_y = np.empty((len(h), d + self.h + 1), x.dtype)
+        of_h = of_y[:, d:]
+        of_h[order] = back
+        of_a = o[:, :-1].T @ of_h[:, :-1]
         # gradients of what is divided by the sums, with what the sums themselves lose in the column of the ones
-        do = np.empty_like(o)
-        np.divide(dz[:, d:], all_a, out=do[:, :-1])
-        np.negative(np.einsum("ij,ij->i", do[:, :-1], o[:, :-1]), out=do[:, -1])
-        do = do.reshape(-1, STRIDE, d + 1)
-        ds = np.matmul(do, v.transpose(0, 2, 1))
+        n = len(both)
+        q_do = np.empty((n, 2 * STRIDE, d + 1), x.dtype)
+        q_do[:, :STRIDE, :-1] = y[:, :d].reshape(n, STRIDE, d)
+        do = q_do[:, STRIDE:]
+        np.divide((of_h[:, :-1] @ of_o[:-1, :-1].T).reshape(n, STRIDE, d), all_a.reshape(n, STRIDE, 1), out=do[:, :, :-1])
+        np.negative(np.einsum("nij,nij->ni", do[:, :, :-1], o.reshape(n, STRIDE, -1)[:, :, :-1]), out=do[:, :, -1])
+        ds, a = both[:, :STRIDE], both[:, STRIDE:]
+        np.matmul(do, near.transpose(0, 2, 1), out=ds)
         ds *= a
-        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)
-        g["far"] = np.bincount(np.clip(i - j, 0, 2 * STRIDE - 1).ravel(), ds.sum(0).ravel(), 2 * STRIDE).astype(x.dtype)
-        of_qkv = np.empty((len(x), 3 * d), x.dtype)
-        blocks = of_qkv.reshape(-1, STRIDE, 3 * d)
-        np.matmul(ds, k, out=blocks[:, :, :d])
-        for at, y in ((d, np.matmul(ds.transpose(0, 2, 1), q)), (2 * d, np.matmul(a.transpose(0, 2, 1), do[:, :, :-1]))):
-            # what both blocks of a window say about a position
-            blocks[:, :, at : at + d] = y[:, STRIDE:]
-            blocks[:-1, :, at : at + d] += y[1:, :STRIDE]
-        g["q"], g["k"], g["v"] = np.split(x.T @ of_qkv, 3, axis=1)
-        g["q"] *= x.dtype.type(d**-0.5)
-        dx = of_qkv @ qkv.T
-        dx += dz[:, :d]
-        g["e"] = np.zeros_like(p["e"])
-        by_unit = np.argsort(units.astype(np.uint16), kind="stable") if side <= 256 else np.argsort(units, kind="stable")
-        of = units[by_unit]
-        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        g["e"][of[begins]] = np.add.reduceat(dx[by_unit], begins, axis=0)
-        share = x.dtype.type(1 / max(live.sum(), 1))
-        return logp, {k: np.multiply(y, share, out=into and into[k]) for k, y in g.items()}
+        g["far"][...] = np.bincount(APART.ravel(), ds.sum(0).ravel(), 2 * STRIDE + 1)[:-1]
+        np.matmul(ds, near[:, :, :-1], out=of_y.reshape(n, STRIDE, -1)[:, :, :d])
+        # vectors get the gradients of keys and values of both windows they are in
+        dx = (of_y @ of_x[:-1].T).reshape(n, STRIDE, d)
+        of_near = np.matmul(both.transpose(0, 2, 1), q_do[:, :, :-1])
+        dx += of_near[:, STRIDE:]
+        dx[:-1] += of_near[1:, :STRIDE]
+        of_p = x[STRIDE:].T @ of_y
+        of_qk = of_p[:-1, :d] * x.dtype.type(d**-0.5)
+        g["q"][...], g["k"][...], g["v"][...] = of_qk @ p["k"], of_qk.T @ p["q"], of_a @ p["w"][d:].T
+        g["w"][:d], g["w"][d:], g["b"][...] = of_p[:-1, d:-1], p["v"].T @ of_a, of_p[-1, d:-1]
+        g["e"][...] = 0
+        at = units[:, None] * d
+        np.add.at(g["e"].reshape(-1), (at + np.arange(d)).reshape(-1), dx.reshape(-1))
+        return logp, g
 
     def laid_out(self, ids: np.ndarray, ends: np.ndarray):
         """Units before and at each position, the place where its text begins, and what rare ids cost more."""
@@ -262,7 +286,7 @@ class Model:
         before[first[first < len(before)]] = 0
         return before, target, np.repeat(first, np.diff(np.append(first, len(ids)))), np.where(target == 1, self.rest[ids], 0.0)
 
-    def score(self, ids: np.ndarray, ends: np.ndarray, batch: int = 1 << 11) -> np.ndarray:
+    def score(self, ids: np.ndarray, ends: np.ndarray, batch: int = 1 << 12) -> np.ndarray:
         """log10 probability of each text."""
         before, target, first, more = self.laid_out(ids, ends)
         if not self.p:
@@ -277,10 +301,11 @@ class Model:
             units, wanted, begin, out = np.zeros(n, before.dtype), np.zeros(n, target.dtype), np.arange(n), np.empty(n)
             units[place], wanted[place], begin[place] = before, target, first + np.repeat(shift, size)
             joined = self.joined()
+            table = joined[0] @ joined[1]
             for at in range(0, n, batch - STRIDE):
                 low = max(at - STRIDE, 0)  # one block of context; positions are laid out anew from `low`
                 to = min(at + batch - STRIDE, n)
-                out[at:to] = self.forward(units[low:to], wanted[low:to], np.maximum(begin[low:to] - low, 0), joined)[0][at - low :]
+                out[at:to] = self.forward(units[low:to], wanted[low:to], np.maximum(begin[low:to] - low, 0), joined, table=table)[0][at - low :]
             logp = out[place] / math.log(10) + more
         total = np.concatenate([[0.0], np.cumsum(logp)])
         return total[ends] - total[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0)
@@ -295,21 +320,38 @@ def prepared(counts: np.ndarray, ends: int, side: int, seed: int) -> Model:
     model.unit[common] = np.arange(2, 2 + len(common))
     rare = np.where(model.unit == 1, counts + 0.5, 0)
     model.rest = np.log10(np.maximum(rare, 1e-300) / rare.sum())
-    model.start(seed)
     share = np.bincount(model.unit, counts, side * side) + 0.5
     share[0] += ends
-    model.p["cb"] = np.log(share.reshape(side, side).sum(1) / share.sum()).astype(np.float32)
-    model.p["mb"] = np.log(share.reshape(side, side) / share.reshape(side, side).sum(1, keepdims=True)).astype(np.float32)
+    share /= share.sum()
+    model.edges = runs(share)
+    model.start(seed)
+    total = np.add.reduceat(share, model.edges[:-1])
+    model.p["c"][-1] = np.log(total)
+    model.p["m"][:, -1] = np.log(share / total[model.classes])
     return model
 
 
+def runs(share: np.ndarray) -> np.ndarray:
+    """Edges of classes, whole fours: a class ends once its share times its members reaches 1.5.
+
+    A position has a logit for each class, and one for each member of its own class. C classes of one product of share and
+    members have C times that product of the latter, which goes down as 1/C, so the sum of both is least where it is 1; it is
+    a little more as a class costs its own small products."""
+    edges, total = [0], 0.0
+    for i, x in enumerate(share.tolist(), 1):
+        total += x
+        if i % 4 == 0 and total * (i - edges[-1]) >= 1.5:
+            edges.append(i)
+            total = 0.0
+    return np.array(edges if edges[-1] == len(share) else [*edges, len(share)])
+
+
 def closed(model: Model) -> Model:
     """Units that no id has get no probability."""
     used = np.zeros(model.side**2, bool)
     used[np.append(model.unit, 0)] = True
-    used = used.reshape(model.side, model.side)
-    model.p["mb"][~used] = -200
-    model.p["cb"][~used.any(1)] = -200
+    model.p["m"][~used, -1] = -200
+    model.p["c"][-1, ~np.logical_or.reduceat(used, model.edges[:-1])] = -200
     return model
 
 

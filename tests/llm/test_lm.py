@@ -201,3 +201,45 @@ def test_high_logits_are_capped():
         assert got == pytest.approx(model.forward(before, target, first, capped=True)[0], rel=1e-6), name
         model.p[name][...] = had
     assert model.forward(before, target, first)[0] == pytest.approx(model.forward(before, target, first, capped=True)[0], rel=1e-6)
+
+
+def test_model_is_plain_attention():
+    """Each probability, worked out position by position from the parameters as they are."""
+    ids, ends = made(n=200)
+    model = lm.fit(ids, ends, side=4, epochs=2, batch=64)
+    p = model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    before, target, first, _ = model.laid_out(ids[:96], np.append(ends[ends < 96], 96))
+    got = model.forward(before, target, first)[0]
+    x = p["e"][before]
+    for i in range(96):
+        near = range(max(first[i], i // lm.STRIDE * lm.STRIDE - lm.STRIDE), i + 1)
+        a = np.exp([x[i] @ p["q"] @ (x[j] @ p["k"]) / math.sqrt(model.d) + p["far"][i - j] for j in near])
+        o = (a / a.sum()) @ (x[list(near)] @ p["v"])
+        h = np.append(np.maximum(np.append(x[i], o) @ p["w"] + p["b"], 0), 1)
+        c = model.classes[target[i]]
+        own = slice(model.edges[c], model.edges[c + 1])
+        of_c, of_m = np.exp(h @ p["c"]), np.exp(p["m"] @ h)
+        assert got[i] == pytest.approx(math.log(of_c[c] / of_c.sum() * of_m[target[i]] / of_m[own].sum()), rel=1e-6), i
+
+
+def test_classes_are_as_large_as_their_units_are_rare():
+    """A position's logits, of classes and of its class's members, are fewer than with classes of one size, and no unit is left out."""
+    share = 1 / np.arange(1, 1601)
+    share /= share.sum()
+    edges = lm.runs(share)
+    width = np.diff(edges)
+    assert edges[0] == 0 and edges[-1] == 1600 and (width > 0).all() and width[0] < width[-1]
+    assert len(width) + (np.add.reduceat(share, edges[:-1]) * width).sum() < 0.75 * 80
+    for n in (1, 3, 16):
+        edges = lm.runs(np.full(n, 1 / n))
+        assert edges[0] == 0 and edges[-1] == n and (np.diff(edges) > 0).all()
+
+
+def test_low_logits_are_no_zeros():
+    ids, ends = made()
+    model = lm.fit(ids, ends, side=4, epochs=1, batch=64)
+    before, target, first, _ = model.laid_out(ids[:64], np.append(ends[ends < 64], 64))
+    want = model.forward(before, target, first)[0]
+    model.p["c"][-1] -= 500
+    model.p["m"][:, -1] -= 500
+    assert model.forward(before, target, first)[0] == pytest.approx(want, abs=1e-3)
